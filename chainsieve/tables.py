@@ -141,7 +141,16 @@ class Tables:
 
     @cached_property
     def known_smart(self) -> DataFrame:
-        return self.trades.where(F.col("wallet") % 13 == 0).select("wallet").distinct()
+        """Wallets that sold for at least 20 % more than they bought."""
+        from chainsieve.operators.matching import wallet_volumes
+
+        return wallet_volumes(self.trades).where(F.col("sell_volume_usd") > 1.2 * F.col("buy_volume_usd")).select("wallet")
+
+    @cached_property
+    def busiest(self) -> DataFrame:
+        """The one wallet with most trades: the subject of single-wallet reports."""
+        n = self.trades.groupBy("wallet").agg(F.count(F.lit(1)).alias("n"))
+        return n.orderBy(F.col("n").desc(), "wallet").limit(1).select("wallet")
 
     @cached_property
     def listings(self) -> DataFrame:
@@ -206,7 +215,9 @@ FROM customer""",
     "v_equity": """SELECT date_trunc('day', ts) AS day,
        CAST(sum(CAST(CASE WHEN side = 'sell' THEN amount_usd ELSE -amount_usd END AS DECIMAL(18,2))) AS DOUBLE) AS pnl
 FROM v_trades GROUP BY date_trunc('day', ts)""",
-    "v_smart": "SELECT DISTINCT wallet FROM v_trades WHERE wallet % 13 = 0",
+    "v_smart": """SELECT wallet FROM v_trades GROUP BY wallet HAVING sum(CASE WHEN side = 'sell' THEN CAST(amount_usd AS DECIMAL(18,2)) ELSE 0 END)
+       > 1.2 * CAST(sum(CASE WHEN side = 'buy' THEN CAST(amount_usd AS DECIMAL(18,2)) ELSE 0 END) AS DOUBLE)""",
+    "v_busiest": "SELECT wallet FROM v_trades GROUP BY wallet ORDER BY count(*) DESC, wallet LIMIT 1",
     "v_listings": "SELECT token, min(ts) AS listed_ts FROM v_trades GROUP BY token",
 }
 
