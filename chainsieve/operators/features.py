@@ -240,8 +240,8 @@ def time_window_agg(features: DataFrame, as_of: Column, windows=("1h", "6h", "24
     rows = features.withColumn("ring", ring).where(F.col("ring").isNotNull()).select("entity_id", "ring", F.explode("features").alias("key", "value"))
     folded = rows.groupBy("entity_id", "key", "ring").agg(F.sum("value").alias("s"), F.count("value").alias("c"), F.max("value").alias("hi"), F.min("value").alias("lo"))
     names = F.array(*[F.lit(w) for _, w in spans])
-    wide = folded.select("entity_id", "key", "s", "c", "hi", "lo", F.explode(F.slice(names, F.col("ring") + 1, len(spans))).alias("window"))
-    return wide.groupBy("entity_id", "window", "key").agg(
+    wide = folded.select("entity_id", "key", "s", "c", "hi", "lo", F.explode(F.slice(names, F.col("ring") + 1, len(spans))).alias("time_window"))
+    return wide.groupBy("entity_id", "time_window", "key").agg(
         (F.sum("s") / F.sum("c")).alias("mean"), F.max("hi").alias("max"), F.min("lo").alias("min"))
 
 

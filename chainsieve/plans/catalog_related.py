@@ -22,12 +22,12 @@ def _(t):
     return r.token_overlap(t.trades, t.busiest).select("wallet", "overlap_count", "strength", F.array_join("common_tokens", ",").alias("common_tokens"))
 
 
-TEMP_HOUR = TEMP.replace("5 MINUTE", "60 MINUTE")
+TEMP_HOUR = TEMP.replace("5 MINUTE", "600 MINUTE")
 
 
 @query("temporal_correlation", f"WITH {TEMP_HOUR} SELECT wallet, correlated_trades, total_trades, round(correlated_trades / total_trades, 6) AS strength FROM tc WHERE correlated_trades / total_trades > 0.1")
 def _(t):
-    return r.temporal_correlation(t.trades, t.busiest, minutes=60).drop("relationship_type")
+    return r.temporal_correlation(t.trades, t.busiest, minutes=600).drop("relationship_type")
 
 
 @query("copies_wallet", """SELECT o.wallet AS copies_wallet, count(DISTINCT b.trade_id) AS correlated_trades FROM v_trades b JOIN v_trades o ON b.wallet IN (FROM v_busiest) AND o.token = b.token

@@ -92,7 +92,7 @@ def _raw_transfers(t):
 @query("normalize_transfers", """SELECT CASE WHEN chain = 'solana' THEN 's' ELSE 'h' END || trade_id AS hash, CASE WHEN chain = 'solana' THEN 'AB' ELSE '0xab' END || counterparty AS from_address,
  CASE WHEN chain = 'solana' THEN 'CD' ELSE '0xcd' END || wallet AS to_address, amount_tokens * CASE WHEN chain = 'solana' THEN 1000 ELSE 1000000 END AS value, CASE WHEN chain = 'solana' THEN 'sym' ELSE 'SYM' END AS token_symbol,
  CASE WHEN trade_id % 3 = 0 THEN CASE WHEN chain = 'solana' THEN 5 ELSE 6 END ELSE CASE WHEN chain = 'solana' THEN 9 ELSE 18 END END AS token_decimal,
- CASE WHEN chain = 'solana' THEN make_timestamp(epoch_ms(ts) * 1000) ELSE make_timestamp(CAST(floor(epoch(ts)) AS BIGINT) * 1000000) END AS ts,
+ CASE WHEN chain = 'solana' THEN make_timestamp(epoch_us(ts) // 1000 * 1000) ELSE make_timestamp(CAST(floor(epoch(ts)) AS BIGINT) * 1000000) END AS ts,
  CASE WHEN chain = 'solana' THEN trade_id + 7 ELSE trade_id END AS block_number, chain FROM v_trades""")
 def _(t):
     return rd.normalize_transfers(_raw_transfers(t)).drop("token_name").withColumn("value", F.col("value").cast("double"))
@@ -168,7 +168,7 @@ def _(t):
     return t.events.select("event_id", nz.normalize_timestamp(text).alias("ts"))
 
 
-@query("normalize_epoch", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN make_timestamp(CAST(floor(epoch(ts)) AS BIGINT) * 1000000) ELSE make_timestamp(epoch_ms(ts) * 1000) END AS ts FROM events")
+@query("normalize_epoch", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN make_timestamp(CAST(floor(epoch(ts)) AS BIGINT) * 1000000) ELSE make_timestamp(epoch_us(ts) // 1000 * 1000) END AS ts FROM events")
 def _(t):
     raw = F.when(F.col("event_id") % 2 == 0, F.unix_seconds("ts")).otherwise(F.unix_millis("ts"))
     return t.events.select("event_id", nz.normalize_epoch(raw).alias("ts"))
