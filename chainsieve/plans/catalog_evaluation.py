@@ -282,8 +282,8 @@ def _(t):
 
 
 @query("pair_signals_with_costs", """WITH s AS (SELECT token, wallet, trade_id, ts, side, price, lag(side) OVER w AS ps, lag(price) OVER w AS pp, lag(amount_tokens) OVER w AS pa, lag(ts) OVER w AS pt FROM v_trades WINDOW w AS (PARTITION BY token, wallet ORDER BY ts, trade_id))
- SELECT token, wallet, trade_id, pt AS entry_ts, ts AS exit_ts, pa AS amount, round(pp * 1.001, 8) AS entry_price, round(price * 0.999, 8) AS exit_price, round(pa * pp * 1.001 * 1.003, 8) AS cost, round(pa * price * 0.999 * 0.997, 8) AS proceeds,
-  round(pa * price * 0.999 * 0.997 - pa * pp * 1.001 * 1.003, 8) AS pnl FROM s WHERE side = 'sell' AND ps = 'buy'""", digits=8)
+ SELECT token, wallet, trade_id, pt AS entry_ts, ts AS exit_ts, pa AS amount, round(pp * 1.001, 10) AS entry_price, round(price * 0.999, 10) AS exit_price, round(pa * pp * 1.001 * 1.003, 10) AS cost, round(pa * price * 0.999 * 0.997, 10) AS proceeds,
+  round(pa * price * 0.999 * 0.997 - pa * pp * 1.001 * 1.003, 10) AS pnl FROM s WHERE side = 'sell' AND ps = 'buy'""", digits=10)
 def _(t):
     signals = t.trades.select("token", "wallet", "ts", "trade_id", "side", "price", F.col("amount_tokens").alias("amount"))
     return st.pair_signals_with_costs(signals, ["token", "wallet"], ["ts", "trade_id"], time_slice("ts"))
