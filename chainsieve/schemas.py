@@ -25,7 +25,13 @@ DDL = {
     "alert_subscriptions": "id string, webhook_url string, token_addresses array<string>, wallet_addresses array<string>, min_probability_2x double, min_probability_10x double, max_risk_score double, dev_sell_threshold double, active boolean, created_at timestamp",
     "audit_log": "id bigint, ts timestamp, actor string, action string, resource string, details map<string,string>",
 }
-SCHEMAS = {name: T.StructType.fromDDL(ddl) for name, ddl in DDL.items()}
+
+
+def schema(name: str) -> T.StructType:
+    """Column types of a table; needs a running session."""
+    return T.StructType.fromDDL(DDL[name])
+
+
 
 # Partition column -> timestamp it is the date of (or the column itself).
 PARTITIONS = {
@@ -53,4 +59,4 @@ def range_violations(df: DataFrame, ranges: dict[str, tuple[float, float]] = RAN
 def conforms(df: DataFrame, name: str) -> list[str]:
     """Columns missing from ``df`` or of another type than the table declares."""
     have = dict(df.dtypes)
-    return reduce(lambda bad, f: bad + ([f.name] if have.get(f.name) != f.dataType.simpleString() else []), SCHEMAS[name].fields, [])
+    return reduce(lambda bad, f: bad + ([f.name] if have.get(f.name) != f.dataType.simpleString() else []), schema(name).fields, [])

@@ -20,6 +20,7 @@ SECURITY_SCHEMA = (
     "token string, is_honeypot string, is_open_source string, is_proxy string, is_mintable string, can_take_back_ownership string, "
     "owner_change_balance string, hidden_owner string, selfdestruct string, holder_count string, total_supply string, creator_address string")
 HOLDER_SCHEMA = "TokenHolderAddress string, TokenHolderQuantity string"
+CONTRACT_SCHEMA = "ContractName string, CompilerVersion string, SourceCode string, Proxy string"
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, fmt: str = "parquet") -> DataFrame:
@@ -141,3 +142,11 @@ def token_holders(raw: DataFrame, column: str = "payload") -> DataFrame:
     page = F.from_json(column, f"array<struct<{HOLDER_SCHEMA.replace(' string', ':string')}>>")
     rows = raw.select("token", F.explode(page).alias("h"))
     return rows.select("token", F.col("h.TokenHolderAddress").alias("address"), nz.clean_numeric(F.col("h.TokenHolderQuantity")).alias("balance"))
+
+
+def contract_feed(raw: DataFrame, column: str = "payload") -> DataFrame:
+    """Contract metadata; a contract counts as verified when its source is published."""
+    c = F.from_json(column, CONTRACT_SCHEMA).alias("c")
+    return raw.select("token", c).select(
+        "token", F.col("c.ContractName").alias("contract_name"), F.coalesce("c.CompilerVersion", F.lit("")).alias("compiler_version"),
+        (F.coalesce("c.SourceCode", F.lit("")) != "").alias("is_verified"), (F.coalesce("c.Proxy", F.lit("0")) == "1").alias("is_proxy"))
