@@ -25,6 +25,26 @@ def money(column: str | F.Column) -> F.Column:
     return c.cast("decimal(18,2)")
 
 
+def trade_rows(events: DataFrame) -> DataFrame:
+    """Trades made of the generic event rows; the same projection serves batch and stream."""
+    lot = (1 + F.col("event_id") % 7).cast("double")
+    return events.where(F.col("event_type") != "error").select(
+        F.col("event_id").alias("trade_id"),
+        (F.regexp_extract("props", "[0-9]+", 0).cast("int") % 10).alias("token"),
+        F.when(F.col("user_id") % 3 == 0, "ethereum").when(F.col("user_id") % 3 == 1, "bsc").otherwise("solana").alias("chain"),
+        F.col("user_id").alias("wallet"),
+        (F.col("user_id") + 1 + F.col("event_id") % 11).alias("counterparty"),
+        F.when(F.col("event_type").isin("purchase", "signup"), "sell").otherwise("buy").alias("side"),
+        "ts",
+        lot.alias("amount_tokens"),
+        F.col("value").alias("amount_usd"),
+        (F.col("value") / lot).alias("price"),
+        F.element_at(F.array(*[F.lit(d) for d in ("uniswap", "sushiswap", "raydium", "orca")]), (F.col("event_id") % 4 + 1).cast("int")).alias("dex"),
+        (20 + F.col("event_id") % 13).cast("double").alias("gas_price"),
+        (F.col("event_id") % 72).cast("double").alias("token_age_hours"),
+    )
+
+
 class Tables:
     """Lazy canonical tables under one input folder."""
 
@@ -41,22 +61,7 @@ class Tables:
 
     @cached_property
     def trades(self) -> DataFrame:
-        lot = (1 + F.col("event_id") % 7).cast("double")
-        return self.events.where(F.col("event_type") != "error").select(
-            F.col("event_id").alias("trade_id"),
-            (F.regexp_extract("props", "[0-9]+", 0).cast("int") % 10).alias("token"),
-            F.when(F.col("user_id") % 3 == 0, "ethereum").when(F.col("user_id") % 3 == 1, "bsc").otherwise("solana").alias("chain"),
-            F.col("user_id").alias("wallet"),
-            (F.col("user_id") + 1 + F.col("event_id") % 11).alias("counterparty"),
-            F.when(F.col("event_type").isin("purchase", "signup"), "sell").otherwise("buy").alias("side"),
-            "ts",
-            lot.alias("amount_tokens"),
-            F.col("value").alias("amount_usd"),
-            (F.col("value") / lot).alias("price"),
-            F.element_at(F.array(*[F.lit(d) for d in ("uniswap", "sushiswap", "raydium", "orca")]), (F.col("event_id") % 4 + 1).cast("int")).alias("dex"),
-            (20 + F.col("event_id") % 13).cast("double").alias("gas_price"),
-            (F.col("event_id") % 72).cast("double").alias("token_age_hours"),
-        )
+        return trade_rows(self.events)
 
     @cached_property
     def prices(self) -> DataFrame:
