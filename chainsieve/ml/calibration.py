@@ -36,12 +36,12 @@ def fit_calibration(predictions: DataFrame, *, method: str = "isotonic", steps:
         own = points.where((F.col("horizon") == key["horizon"]) & (F.col("multiplier") == key["multiplier"]))
         name = (key["horizon"], key["multiplier"])
         if method == "platt":
-            rows = VectorAssembler(inputCols=["probability"], outputCol="features").transform(own.select("probability", "label", "weight"))
+            rows = VectorAssembler(inputCols=["probability"], outputCol="features").transform(own.select("probability", "label", "weight").coalesce(1))  # at most 2 * steps rows
             model = LogisticRegression(weightCol="weight", probabilityCol="fitted", regParam=1e-6, maxIter=100).fit(rows)
             pieces.append((*name, None, None, None, None, float(model.coefficients[0]), float(model.intercept)))
             continue
         cell = own.groupBy("cell").agg(
-            (F.sum(F.col("label") * F.col("weight")) / F.sum("weight")).alias("label"), (F.sum(F.col("probability") * F.col("weight")) / F.sum("weight")).alias("p"), F.sum("weight").alias("w"))
+            (F.sum(F.col("label") * F.col("weight")) / F.sum("weight")).alias("label"), (F.sum(F.col("probability") * F.col("weight")) / F.sum("weight")).alias("p"), F.sum("weight").alias("w")).coalesce(1)
         model = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="w").fit(cell)
         xs, ys = [float(x) for x in model.boundaries], [float(y) for y in model.predictions]
         pieces.append((*name, float("-inf"), xs[0], ys[0], ys[0], None, None))

@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Call-site capture costs several JVM round trips per column expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -29,6 +31,9 @@ def build_session(app: str = "chainsieve", master: str | None = None, partitions
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     spark = builder.getOrCreate()
+    if not partitions and not master:
+        # On a cluster: start high, let runtime coalescing bring small stages down.
+        spark.conf.set("spark.sql.shuffle.partitions", str(max(200, 3 * spark.sparkContext.defaultParallelism)))
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
