@@ -171,7 +171,7 @@ def pnl_features(closed: DataFrame, keys=("wallet",)) -> DataFrame:
     )
 
 
-def profitability_signals(closed: DataFrame, keys=("token", "wallet")) -> DataFrame:
+def profitability_signals(closed: DataFrame, keys=("token", "wallet"), with_hold: bool = False) -> DataFrame:
     ks, sd = list(keys), F.stddev_pop("roi")
     base = closed.groupBy(*ks).agg(
         F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"), F.avg("roi").alias("avg_roi"),
@@ -179,6 +179,7 @@ def profitability_signals(closed: DataFrame, keys=("token", "wallet")) -> DataFr
         F.avg(seconds_between(F.col("entry_ts"), F.col("exit_ts")) / 3600.0).alias("avg_holding_duration_hours"),
         F.when((F.count(F.lit(1)) >= 2) & (sd > 1e-12), F.avg("roi") / sd).otherwise(0.0).alias("sharpe_ratio"),
         F.max("roi").alias("best_roi"), F.min("roi").alias("worst_roi"),
+        *([F.avg("holding_hours").alias("avg_hold_hours")] if with_hold else []),
     )
     return with_median(base, closed, ks, "roi", "median_roi")
 
@@ -194,29 +195,24 @@ def preferred_hours(trades: DataFrame, keys=("wallet",), k: int = 3) -> DataFram
     )
 
 
-def behavioral_signals(trades: DataFrame, holding: DataFrame | None = None, keys=("token", "wallet")) -> DataFrame:
-    """Frequency, venues, gas regularity and pattern tags.
-
-    ``holding`` supplies ``avg_hold_hours`` per key; without it the tags that
-    need a holding time stay off, as with trades that carry none.
-    """
-    ks = list(keys)
+def behavioral_counts(trades: DataFrame, keys=("token", "wallet")) -> DataFrame:
+    """Frequency, venues and gas regularity, with the counts the pattern tags need."""
     gas_mean, gas_sd = F.avg("gas_price"), F.stddev_pop("gas_price")
     n = F.count(F.lit(1))
     days = seconds_between(F.min("ts"), F.max("ts")) / DAY
-    out = trades.groupBy(*ks).agg(
+    return trades.groupBy(*keys).agg(
         n.alias("n"),
         F.when((n >= 2) & (days > 0), n / days).otherwise(0.0).alias("trade_frequency_per_day"),
         F.count_distinct(F.coalesce("dex", F.lit("unknown"))).alias("dex_diversity"),
         F.when((F.count("gas_price") >= 2) & (gas_mean != 0), F.greatest(F.lit(0.0), 1.0 - F.least(gas_sd / gas_mean, F.lit(1.0))))
         .otherwise(0.0).alias("gas_pattern_consistency"),
         F.count_if(F.coalesce("token_age_hours", F.lit(999.0)) < 24).alias("early"),
-        *([] if "token" in ks else [F.count_distinct("token").alias("unique_tokens_traded")]),
+        *([] if "token" in keys else [F.count_distinct("token").alias("unique_tokens_traded")]),
     )
-    if holding is not None:
-        out = out.join(holding, ks, "left")
-    else:
-        out = out.withColumn("avg_hold_hours", F.lit(0.0))
+
+
+def with_pattern_tags(counts: DataFrame) -> DataFrame:
+    """Tags from behavioural counts and ``avg_hold_hours``; a missing holding time sets no holding tag."""
     hold = F.coalesce("avg_hold_hours", F.lit(0.0))
     tags = F.array_compact(F.array(
         F.when(F.col("early") / F.col("n") > 0.5, F.lit("early_adopter")),
@@ -224,7 +220,18 @@ def behavioral_signals(trades: DataFrame, holding: DataFrame | None = None, keys
         F.when((hold > 1) & (hold < 168), F.lit("swing_trader")),
         F.when(F.col("trade_frequency_per_day") > 10, F.lit("high_frequency")),
     ))
-    return out.withColumn("pattern_tags", tags).drop("n", "early", "avg_hold_hours")
+    return counts.withColumn("pattern_tags", tags).drop("n", "early", "avg_hold_hours")
+
+
+def behavioral_signals(trades: DataFrame, holding: DataFrame | None = None, keys=("token", "wallet")) -> DataFrame:
+    """Frequency, venues, gas regularity and pattern tags.
+
+    ``holding`` supplies ``avg_hold_hours`` per key; without it the tags that
+    need a holding time stay off, as with trades that carry none.
+    """
+    out = behavioral_counts(trades, keys)
+    out = out.withColumn("avg_hold_hours", F.lit(0.0)) if holding is None else out.join(holding, list(keys), "left")
+    return with_pattern_tags(out)
 
 
 def alternation_wash_score(trades: DataFrame) -> DataFrame:

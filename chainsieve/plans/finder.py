@@ -11,7 +11,7 @@ from chainsieve.functions import scoring
 from chainsieve.operators.graph import graph_signals
 from chainsieve.operators.matching import fifo_match
 from chainsieve.operators.timing import timing_signals
-from chainsieve.operators.wallet import behavioral_signals, profitability_signals
+from chainsieve.operators.wallet import behavioral_counts, profitability_signals, with_pattern_tags
 
 KEYS = ["token", "wallet"]
 NO_GRAPH = {"centrality_score": 0.0, "clustering_coefficient": 0.0, "common_funding_sources": 0, "connected_smart_wallets": 0, "total_connections": 0}
@@ -27,10 +27,10 @@ def wallet_signals(
     closed trade in the token are kept.
     """
     closed = match(trades)
-    hold = closed.groupBy(*KEYS).agg(F.avg("holding_hours").alias("avg_hold_hours"))
-    out = (
-        profitability_signals(closed)
-        .join(behavioral_signals(trades, hold), KEYS)
+    # The holding time comes out of the same aggregation as profitability, so matching is not repeated for it.
+    out = with_pattern_tags(
+        profitability_signals(closed, with_hold=True)
+        .join(behavioral_counts(trades), KEYS)
         .join(timing(trades, prices), KEYS)
     )
     if edges is not None:

@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Wide plans have more generated classes than the default cache of 100 holds.
+    "spark.sql.codegen.cache.maxEntries": "4000",
     # Call-site capture costs several JVM round trips per column expression.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
