@@ -18,6 +18,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chainsieve.session import cut_lineage
+
 SLICE = "__slice"
 
 _FOLD = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
@@ -34,8 +36,12 @@ def time_slice(ts: Column | str, seconds: int = 3600) -> Column:
 
 def value_slice(value: Column | str, per_octave: int = 64) -> Column:
     """Bands of equal width on a signed logarithmic scale: monotone, and fit for
-    long-tailed amounts without a pass over the data."""
-    v = _name(value).cast("double")
+    long-tailed amounts without a pass over the data.
+
+    A derived value may differ in its last bits between two computations of the
+    same plan. Going through nine decimals keeps such a value in one band.
+    """
+    v = F.rint(_name(value).cast("double") * 1.0e9) / 1.0e9
     return F.floor(F.signum(v) * F.log2(1.0 + F.abs(v) * 1.0e6) * per_octave)
 
 
@@ -242,9 +248,15 @@ def rank_desc(
     Counts per distinct metric value give each value its starting rank, so a
     ranking over all wallets never sorts them in one task; rows that share a
     value are numbered in slices of the tie column.
+
+    Values are joined with their own counts, so a floating-point metric is
+    written out once first: a sum computed twice may differ in its last bits,
+    and such a row would find no count.
     """
     m = "__metric"
     base = df.withColumn(m, -F.col(metric).cast("double"))
+    if dict(df.dtypes)[metric] in ("double", "float"):
+        base = cut_lineage(base)
     values = base.groupBy(*keys, m).agg(F.count(F.lit(1)).alias("__n"))
     starts = ordered_scan(
         values, keys, [m], value_slice(m),
