@@ -229,7 +229,7 @@ def snapshots(t):
 
 @query("time_window_agg", f"""WITH x AS (SELECT CAST(wallet AS VARCHAR) AS entity_id, ts, unnest([{{'k': 'usd', 'v': amount_usd}}, {{'k': 'price', 'v': price}}]) AS f FROM v_trades),
  wn(time_window, s) AS (VALUES ('1h', 3600), ('6h', 21600), ('24h', 86400), ('7d', 604800), ('30d', 2592000))
- SELECT entity_id, time_window, f.k AS key, round(avg(f.v), 6) AS mean, round(max(f.v), 6) AS max, round(min(f.v), 6) AS min FROM x JOIN wn ON epoch_us({NOW}) - epoch_us(ts) <= CAST(s AS BIGINT) * 1000000 GROUP BY 1, 2, 3""")
+ SELECT entity_id, time_window, f.k AS key, round(avg(f.v), 10) AS mean, round(max(f.v), 10) AS max, round(min(f.v), 10) AS min FROM x JOIN wn ON epoch_us({NOW}) - epoch_us(ts) <= CAST(s AS BIGINT) * 1000000 GROUP BY 1, 2, 3""", digits=10)
 def _(t):
     return ft.time_window_agg(snapshots(t), as_of())
 
