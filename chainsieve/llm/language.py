@@ -129,7 +129,7 @@ class LanguageModel:
         score = 1 / (1 + np.exp(-np.clip(_features(bits, n) @ self.weights, -40, 40)))
         mean, spread = self.usual[best].T
         # a typical text of n characters lies within a few standard errors of its language's mean
-        accepted = bits.min(axis=1) <= mean + 1.0 + 6 * spread / np.sqrt(np.maximum(n, 1))
+        accepted = bits.min(axis=1) <= mean + 2.0 + 6 * spread / np.sqrt(np.maximum(n, 1))
         return best, score, accepted
 
 

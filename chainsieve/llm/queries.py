@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chainsieve.llm import bpe, chat, language, mixing
+from chainsieve.llm import bpe, chat, language, mixing, passages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -44,3 +44,8 @@ def op7_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_language_id")
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify_languages(table(spark, folder, "documents"))
+
+
+@query("op6_substring_dedup", passages.PASSAGES_SQL)
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.dedup_passages(table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
