@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chainsieve.llm import bpe, chat, language, mixing, passages
+from chainsieve.llm import bpe, chat, language, mixing, passages, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -49,3 +49,8 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_substring_dedup", passages.PASSAGES_SQL)
 def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return passages.dedup_passages(table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.dedup_bytes(table(spark, folder, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
