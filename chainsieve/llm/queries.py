@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chainsieve.llm import bpe, chat, language, mixing, passages, suffixes
+from chainsieve.llm import bpe, chat, jaccard, language, mixing, passages, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -54,3 +54,8 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_suffix_dedup")
 def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.dedup_bytes(table(spark, folder, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op1_ngram_jaccard_join", jaccard.JACCARD_SQL)
+def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, folder, "documents"))
