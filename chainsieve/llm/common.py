@@ -14,7 +14,7 @@ from chainsieve.session import cut_lineage  # noqa: F401  (re-exported: reliable
 #: A word, as a Java and Python pattern.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one numpy step works on.
-STEP = 4 << 20
+STEP = 1 << 20
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

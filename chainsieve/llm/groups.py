@@ -101,9 +101,9 @@ class Asked:
         return np.searchsorted(cuts, np.arange(self.buckets + 1, dtype=np.uint64) << np.uint64(self.bits))
 
     @staticmethod
-    def of(groups: Groups, values_per_byte: float, spare_bits: int) -> Asked:
+    def of(groups: Groups, values_per_byte: float, spare_bits: int, per_bucket: int = 1 << 20) -> Asked:
         """Enough bits that a value meets a foreign one by chance once in 2^spare_bits."""
-        buckets = groups.buckets(values_per_byte)
+        buckets = groups.buckets(values_per_byte, per_bucket)
         total = math.ceil(math.log2(max(2.0, groups.bytes * values_per_byte))) + spare_bits
         top = buckets.bit_length() - 1
         return Asked(buckets, min(62 - top, max(8, total - top)))
