@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chainsieve.llm import bpe, chat, jaccard, language, mixing, passages, suffixes
+from chainsieve.llm import bpe, chat, jaccard, language, mixing, neighbours, passages, suffixes, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -59,3 +60,13 @@ def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_ngram_jaccard_join", jaccard.JACCARD_SQL)
 def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, folder, "documents"))
+
+
+@query("op5_exact_top_k", topk.TOP_K_SQL)
+def op5_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query("op10_nearest_neighbours")
+def op10_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.approximate_top_k(table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
