@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainsieve.llm import bpe, chat, jaccard, language, mixing, neighbours, passages, suffixes, topk
+from chainsieve.llm import bpe, chat, jaccard, language, mixing, neighbours, passages, quality, suffixes, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -70,3 +70,8 @@ def op5_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_nearest_neighbours")
 def op10_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.approximate_top_k(table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query("op2_quality_classifier")
+def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
