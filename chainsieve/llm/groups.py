@@ -30,7 +30,7 @@ TOLD = "g int, bucket long, payload binary"
 
 @dataclass
 class Groups:
-    docs: DataFrame  # g, doc_id, text
+    docs: DataFrame  # g, doc_id, text, and row if carried
     bytes: int
     count: int
 
@@ -41,14 +41,19 @@ class Groups:
         return 1 << max(0, math.ceil(math.log2(min(wanted, most))))
 
 
-def grouped(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> Groups:
-    """Deals ``doc_id, text`` out by a hash of the row; rows with null text stay as empty texts."""
-    rows = texts(docs).withColumn("text", F.coalesce("text", F.lit("")))
+def grouped(docs: DataFrame, group_bytes: int = GROUP_BYTES, carry: bool = False) -> Groups:
+    """Deals ``doc_id, text`` out by a hash of the row; rows with null text stay as empty texts.
+
+    With ``carry`` all columns of a document come along in the struct ``row``, the text
+    only where it is null.
+    """
+    own = [F.when(F.col("text").isNull(), F.col("text")).alias(c) if c == "text" else F.col(c) for c in docs.columns]
+    rows = texts(docs, *([F.struct(*own, F.when(F.isnull("text"), F.lit(True)).alias("__null")).alias("row")] if carry else [])).withColumn("text", F.coalesce("text", F.lit("")))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     floor = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = max(floor, math.ceil(total / group_bytes))
     g = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("g")
-    return Groups(rows.select(g, "doc_id", "text").repartition(n, "g"), int(total), n)
+    return Groups(rows.select(g, *rows.columns).repartition(n, "g"), int(total), n)
 
 
 def in_order(table: pa.Table) -> pa.Table:
