@@ -6,10 +6,13 @@ have one in common. Documents meet on prefix shingles; lengths and positions rul
 pairs out before, a suffix filter after their sets are fetched, and what is left is
 verified once per pair.
 
-Equal sets are one class and join through its smallest doc_id. Pairs are made in two
-rounds: first every document with the first of each prefix shingle's documents, then
-the pairs that still lie in different components, so a group of near copies costs
-about one pair per member and none of its links is lost between components.
+Equal sets are one class and join through its smallest doc_id. Links are found in two
+rounds, so that a group of near copies costs about one pair per member. First every
+document meets a hub, the first document with its prefix shingle among those of about
+its size. What two documents differ in from a common hub tells what they differ in
+from each other: those that lie in different components can link only if they share
+enough of these differences. So the second round is a prefix-filtered join again, on
+differences from the hub, which are few and, in their prefixes, rare.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainsieve.llm.common import buffers, cut_lineage, gram_hashes, lower_ascii, mix, steps, word_bounds, word_hashes
@@ -231,41 +234,98 @@ def overlap_reaches(x: np.ndarray, y: np.ndarray, need: int, depth: int = 2) ->
 
 
 def _verify(share: tuple[int, int]):
-    """Pairs (a, b) with both key sets: those that link."""
+    """Pairs (a, b, deltas) with both key sets: whether they link, both sizes and, where ``deltas``, the keys of one alone."""
+    p, q = share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = np.zeros(batch.num_rows, bool)
+            n = batch.num_rows
+            linked, sizes, deltas = np.zeros(n, bool), np.zeros((2, n), np.int64), [None] * n
             last, x = None, np.zeros(0, np.uint64)
-            for i, (a, p, q) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3))):
+            for i, (a, want, r, s) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4))):
                 if a != last:
-                    last, x = a, unpack_sorted(bytes_of(p))
-                y = unpack_sorted(bytes_of(q))
-                need = -(-share[0] * (len(x) + len(y)) // (share[0] + share[1]))
-                if overlap_reaches(x, y, need):
+                    last, x = a, unpack_sorted(bytes_of(r))
+                y = unpack_sorted(bytes_of(s))
+                sizes[:, i] = len(x), len(y)
+                if want or overlap_reaches(x, y, -(-p * (len(x) + len(y)) // (p + q))):
                     both = np.concatenate([x, y])
                     both.sort()
-                    common = int((both[1:] == both[:-1]).sum())
-                    ok[i] = share[1] * common >= share[0] * (len(x) + len(y) - common)
-            keep = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+                    same = both[1:] == both[:-1]
+                    common = int(same.sum())
+                    linked[i] = q * common >= p * (len(x) + len(y) - common)
+                    if want:
+                        alone = np.ones(len(both), bool)
+                        alone[1:] &= ~same
+                        alone[:-1] &= ~same
+                        deltas[i] = both[alone].astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(sizes[0]), pa.array(sizes[1]), pa.array(linked), pa.array(deltas, pa.list_(pa.int64()))],
+                names=["a", "b", "na", "nb", "linked", "delta"],
+            )
 
     return run
 
 
-def _possible(share: tuple[int, int], x: str, y: str):
-    """Length and positional filter on the aliases x and y of prefix rows."""
-    p, q = share
-    nx, ny, ax, ay = (F.col(c) for c in (f"{x}.n", f"{y}.n", f"{x}.at", f"{y}.at"))
-    length = q * F.least(nx, ny) >= p * F.greatest(nx, ny)
-    # at the first common shingle nothing before it is common
-    most = F.least(ax, ay) + 1 + F.least(nx - ax - 1, ny - ay - 1)
-    return length & ((p + q) * most >= p * (nx + ny))
+def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    first, second = sets.select(F.col("doc").alias("a"), F.col("keys").alias("x")), sets.select(F.col("doc").alias("b"), F.col("keys").alias("y"))
+    joined = pairs.join(first, "a").join(second, "b").select("a", "b", "deltas", "x", "y")
+    return joined.mapInArrow(_verify(share), "a long, b long, na long, nb long, linked boolean, delta array<long>")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    first, second = sets.select(F.col("doc").alias("a"), F.col("keys").alias("x")), sets.select(F.col("doc").alias("b"), F.col("keys").alias("y"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(_verify(share), "a long, b long")
+def _hub_pairs(entries: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Distinct pairs (a, b) of a document and a hub; ``deltas`` where the hub has other documents too.
+
+    Sizes of two that link lie in the same band or in neighbouring ones, so with the
+    hubs of three bands every two documents that share a prefix shingle and may link
+    have a hub in common. A pair whose hub has nobody else is subject to the length
+    and positional filters at once.
+    """
+    p, q = share
+    often = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("token")
+    banded = entries.join(often, "token").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(q / p) if p < q else F.col("n").cast("double")))
+    hubs = banded.groupBy("token", "band").agg(F.min(F.struct("doc", "n", "at")).alias("h")).select("token", F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))).alias("band"), F.col("h.doc").alias("hub"), F.col("h.n").alias("hn"), F.col("h.at").alias("hat"))
+    met = banded.join(hubs, ["token", "band"]).where(F.col("doc") != F.col("hub"))
+    # a bound on the common shingles: those before the token in both, the token, and those behind it
+    most = F.least("at", "hat") + 1 + F.least(F.col("n") - F.col("at"), F.col("hn") - F.col("hat")) - 1
+    met = met.groupBy(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).agg(
+        F.bool_or(F.col("hub") < F.col("doc")).alias("hub_a"), F.bool_or(F.col("hub") > F.col("doc")).alias("hub_b"), F.min(most).alias("most"), F.min("n").alias("n"), F.min("hn").alias("hn")
+    )
+    met = cut_lineage(met)
+    crowd = met.select(F.explode(F.array_compact(F.array(F.when(F.col("hub_a"), F.col("a")), F.when(F.col("hub_b"), F.col("b"))))).alias("hub")).groupBy("hub").agg((F.count(F.lit(1)) > 1).alias("crowded"))
+    met = met.join(crowd.select(F.col("hub").alias("a"), F.col("crowded").alias("ca")), "a", "left").join(crowd.select(F.col("hub").alias("b"), F.col("crowded").alias("cb")), "b", "left")
+    met = met.withColumn("deltas_a", F.col("hub_a") & F.col("ca")).withColumn("deltas_b", F.col("hub_b") & F.col("cb")).fillna(False, ["deltas_a", "deltas_b"])
+    met = met.withColumn("deltas", F.col("deltas_a") | F.col("deltas_b"))
+    possible = (q * F.least("n", "hn") >= p * F.greatest("n", "hn")) & ((p + q) * F.col("most") >= p * (F.col("n") + F.col("hn")))
+    return met.where(F.col("deltas") | possible).select("a", "b", "deltas", "deltas_a", "deltas_b")
+
+
+def _delta_pairs(met: DataFrame, parts: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Pairs in different components that share enough of their differences from a common hub.
+
+    x and y link if they differ in at most c (nx + ny) shingles. With dx and dy
+    differences from the hub, o = (dx + dy - c (nx + ny)) / 2 of them have to be
+    common. If that is 0 or less, both link to the hub itself and are in one component.
+    """
+    c = (share[1] - share[0]) / (share[1] + share[0])
+    row = lambda flag, hub, doc, n, m: F.when(F.col(flag), F.struct(F.col(hub).alias("hub"), F.col(doc).alias("doc"), F.col(n).alias("n"), F.col(m).alias("hn")))
+    sides = F.array_compact(F.array(row("deltas_a", "a", "b", "nb", "na"), row("deltas_b", "b", "a", "na", "nb")))
+    rows = met.where(F.col("delta").isNotNull()).select(F.explode(sides).alias("s"), "delta").select("s.*", "delta", F.size("delta").alias("d"))
+    rows = rows.join(parts, "doc", "left").withColumn("part", F.coalesce("part", "doc"))
+    mixed = rows.groupBy("hub").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where(F.col("lo") < F.col("hi")).select("hub")
+    rows = rows.join(mixed, "hub")
+    ceil = lambda x: F.ceil(x - 1e-9)
+    over = F.col("d") - c * (F.col("n") + F.col("hn"))
+    fewest = F.greatest(F.lit(1), F.when(over <= 1e-9, ceil(F.col("d") * (1 - c) / 2)).otherwise(ceil((over + 1 - c) / 2)))
+    items = rows.withColumn("fewest", fewest).select("hub", "doc", "n", "d", "part", "fewest", F.explode("delta").alias("item"))
+    counted = items.groupBy("hub", "item").agg(F.count(F.lit(1)).alias("times"))
+    place = Window.partitionBy("hub", "doc").orderBy("times", "item")
+    items = items.join(counted, ["hub", "item"]).withColumn("at", F.row_number().over(place) - 1)
+    items = items.where((F.col("times") > 1) & (F.col("at") <= F.col("d") - F.col("fewest"))).drop("times", "fewest")
+    other = items.select("hub", "item", *(F.col(x).alias(f"{x}2") for x in ("doc", "n", "d", "part", "at")))
+    need = ceil((F.col("d") + F.col("d2") - c * (F.col("n") + F.col("n2"))) / 2)
+    behind = F.least("at", "at2") + 1 + F.least(F.col("d") - F.col("at"), F.col("d2") - F.col("at2")) - 1
+    fits = (F.col("part") < F.col("part2")) & (F.col("at") <= F.col("d") - need) & (F.col("at2") <= F.col("d2") - need) & (behind >= need) & (share[1] * F.least("n", "n2") >= share[0] * F.greatest("n", "n2"))
+    return items.join(other, ["hub", "item"]).where(fits).select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, share: tuple[int, int] = (90, 100)) -> DataFrame:
@@ -285,25 +345,32 @@ def jaccard_components(docs: DataFrame, k: int = 3, share: tuple[int, int] = (90
     sets = rows.where(F.col("keys").isNotNull()).select("doc", "keys")
     entries = cut_lineage(sets.mapInArrow(_prefixes(share), "token long, doc long, n long, at long"))
 
-    hubs = entries.groupBy("token").agg(F.min(F.struct("doc", "n", "at")).alias("h"), F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("token", "h.*")
-    least, most = F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")
-    near = (F.col("x.doc") != F.col("y.doc")) & _possible(share, "x", "y")
-    pairs = cut_lineage(entries.alias("x").join(hubs.alias("y"), "token").where(near).select(least, most).distinct())
-    links = cut_lineage(_links(pairs, sets, share))
+    pairs = cut_lineage(_hub_pairs(entries, share))
+    met = cut_lineage(_verified(pairs, sets, share))
+    links = met.where("linked").select("a", "b")
     parts = connected_components(links).select(F.col("vertex").alias("doc"), F.col("component").alias("part"))
-
-    placed = entries.join(parts, "doc", "left").withColumn("part", F.coalesce("part", "doc"))
-    mixed = placed.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where(F.col("lo") < F.col("hi")).select("token")
-    open_ = cut_lineage(placed.join(mixed, "token"))
-    near = (F.col("x.part") < F.col("y.part")) & _possible(share, "x", "y")
-    rest = open_.alias("x").join(open_.alias("y"), "token").where(near).select(least, most).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = cut_lineage(_links(rest, sets, share))
+    rest = _delta_pairs(met.join(pairs.select("a", "b", "deltas_a", "deltas_b"), ["a", "b"]), parts, share)
+    rest = rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti").withColumn("deltas", F.lit(False))
+    more = cut_lineage(_verified(rest, sets, share).where("linked").select("a", "b"))
     at = connected_components(links.unionByName(more)).select(F.col("vertex").alias("rep"), "component")
     found = rows.select("doc", "n", "rep").join(at, "rep", "left")
     real = lambda c: F.when(c != F.lit(int(NO_ID)), c)
     return found.select(real(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component", "rep")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, k: int = 3, share: tuple[int, int] = (90, 100)) -> DataFrame:
+    """``docs`` with one document of each component: the smallest doc_id, and of several rows with it the one of least text.
+
+    Documents without words link with nothing and stay. So do rows without doc_id,
+    which can't be told apart.
+    """
+    stay = jaccard_components(docs, k, share).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
+    with_id = docs.where(F.col("doc_id").isNotNull()).withColumn("__id", F.col("doc_id").cast("long"))
+    first = Window.partitionBy("__id").orderBy("text")
+    kept = with_id.join(stay, "__id", "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1")
+    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 #: The same rows in DuckDB, by brute force over the pairs that share a shingle.
 JACCARD_SQL = r"""
 WITH RECURSIVE words AS (
