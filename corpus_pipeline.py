@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainsieve.llm import bpe, language, mixing
+from chainsieve.llm import bpe, jaccard, language, mixing, suffixes
+from chainsieve.session import cut_lineage
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,6 +15,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.select(*docs.columns)
 
 
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies."""
+    return jaccard.one_of_each(docs)
+
+
+def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes strings of 100 bytes and more that occur earlier out of the texts."""
+    return suffixes.cut_repeats(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     return mixing.mixed_documents(docs)
@@ -24,14 +35,22 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs)
 
 
-STAGES = [("language_id", identify_language), ("mixing", mix), ("bpe", encode)]
+STAGES = [
+    ("language_id", identify_language),
+    ("ngram_jaccard_join", one_of_near_copies),
+    ("suffix_array_dedup", cut_repeated_strings),
+    ("mix_sources", mix),
+    ("bpe", encode),
+]
 
-#: The stages are trained models and byte-level work, which SQL can't express.
+#: The stages include trained models and byte-level work, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:  # each stage reads its input more than once
+            docs = cut_lineage(docs)
     return docs
