@@ -1,8 +1,7 @@
 """Calibration maps per key, kept as a small table and applied by a join.
 
-Predictions are folded into a fine grid of probability before a map is fitted, so
-the fit sees at most ``steps`` weighted points per key however many rows there
-are. A fitted map is a list of line pieces (isotonic) or two coefficients
+Predictions with equal probability and outcome are counted before a map is fitted,
+so the fit sees weighted distinct points and gives the map of all rows. A fitted map is a list of line pieces (isotonic) or two coefficients
 (Platt); applying it is one pass over the predictions for all keys.
 """
 
@@ -18,30 +17,27 @@ CELLS = 1000
 PIECES = "horizon string, multiplier string, lo double, hi double, y_lo double, y_hi double, slope double, intercept double"
 
 
-def grid_points(predictions: DataFrame, steps: int = 10_000) -> DataFrame:
-    """Weighted (mean probability, outcome) points per key."""
-    cell = F.least(F.floor(F.col("probability") * steps), F.lit(steps - 1))
-    return predictions.groupBy("horizon", "multiplier", cell.alias("cell"), F.col("outcome").cast("double").alias("label")).agg(
-        F.count(F.lit(1)).cast("double").alias("weight"), F.avg("probability").alias("probability"))
+def distinct_points(predictions: DataFrame) -> DataFrame:
+    """Weighted (probability, outcome) points per key."""
+    return predictions.groupBy("horizon", "multiplier", "probability", F.col("outcome").cast("double").alias("label")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-def fit_calibration(predictions: DataFrame, *, method: str = "isotonic", steps: int = 10_000) -> DataFrame:
+def fit_calibration(predictions: DataFrame, *, method: str = "isotonic") -> DataFrame:
     """Calibration table for every key of the predictions (horizon, multiplier, probability, outcome)."""
     if method not in ("isotonic", "platt"):
         raise ValueError(f"unknown method: {method}")
     spark: SparkSession = predictions.sparkSession
-    points = grid_points(predictions, steps).persist()
+    points = distinct_points(predictions).persist()
     pieces = []
     for key in points.select("horizon", "multiplier").distinct().collect():  # one row per key
         own = points.where((F.col("horizon") == key["horizon"]) & (F.col("multiplier") == key["multiplier"]))
         name = (key["horizon"], key["multiplier"])
         if method == "platt":
-            rows = VectorAssembler(inputCols=["probability"], outputCol="features").transform(own.select("probability", "label", "weight").coalesce(1))  # at most 2 * steps rows
+            rows = VectorAssembler(inputCols=["probability"], outputCol="features").transform(own.select("probability", "label", "weight"))
             model = LogisticRegression(weightCol="weight", probabilityCol="fitted", regParam=1e-6, maxIter=100).fit(rows)
             pieces.append((*name, None, None, None, None, float(model.coefficients[0]), float(model.intercept)))
             continue
-        cell = own.groupBy("cell").agg(
-            (F.sum(F.col("label") * F.col("weight")) / F.sum("weight")).alias("label"), (F.sum(F.col("probability") * F.col("weight")) / F.sum("weight")).alias("p"), F.sum("weight").alias("w")).coalesce(1)
+        cell = own.groupBy(F.col("probability").alias("p")).agg((F.sum(F.col("label") * F.col("weight")) / F.sum("weight")).alias("label"), F.sum("weight").alias("w"))
         model = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="w").fit(cell)
         xs, ys = [float(x) for x in model.boundaries], [float(y) for y in model.predictions]
         pieces.append((*name, float("-inf"), xs[0], ys[0], ys[0], None, None))

@@ -7,6 +7,8 @@ values, on the map side; no group is gathered.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -233,13 +235,15 @@ def ensemble_predict(predictions: DataFrame, weights: dict[str, float], row_keys
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", part.alias("c"))))).alias("contributions"))
 
 
-def ensemble_weights(errors: DataFrame, models: list[str], *, rate: float = 0.1, floor: float = 0.05, recent: int = 100, memory: int = 400) -> DataFrame:
+def ensemble_weights(errors: DataFrame, models: list[str], *, rate: float = 0.1, floor: float = 0.05, recent: int = 100, memory: int | None = None) -> DataFrame:
     """Weights after the newest update: reciprocal recent error, moved by ``rate`` per update, floored and renormalised.
 
     Columns: step, model, error. An update older than ``memory`` steps weighs
-    less than (1 - rate) ** memory, which is below double precision, so only that
-    many steps are folded; the size of the fold does not grow with the history.
+    less than (1 - rate) ** memory. By default that is below double precision, so
+    the fold of that many steps is the fold of all, and doesn't grow with the history.
     """
+    if memory is None:
+        memory = math.ceil(math.log(1e-18) / math.log(1 - rate)) if rate < 1 else 1
     names = sorted(models)
     back = Window.partitionBy("model").orderBy(F.col("step").desc())
     last = errors.withColumn("back", F.row_number().over(back)).where(F.col("back") <= memory + recent)

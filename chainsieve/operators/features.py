@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chainsieve.functions.normalize import parse_duration
 from chainsieve.operators.ordered import ordered_scan, value_slice
 from chainsieve.operators.wallet import ratio, seconds_between
+from chainsieve.tables import money, tokens
 
 
 # ---------------------------------------------------------------- market and liquidity
@@ -38,7 +39,7 @@ def pool_activity(events: DataFrame, as_of: Column, window_hours: int = 24) -> D
     """Added and removed liquidity per pool within the trailing window."""
     recent = seconds_between(F.col("ts"), as_of) / 3600.0 < window_hours
     add, remove = recent & (F.col("type") == "add_liquidity"), recent & (F.col("type") == "remove_liquidity")
-    usd = F.col("value_usd").cast("decimal(18,2)")
+    usd = money("value_usd")
     return events.groupBy("pool").agg(
         F.count_if(add).alias("liq_add_count"), F.count_if(remove).alias("liq_remove_count"),
         F.sum(F.when(add, usd).when(remove, -usd).otherwise(0)).cast("double").alias("net_liq_change_usd"))
@@ -96,7 +97,7 @@ def top_holders(holders: DataFrame, n: int = 10, contracts: DataFrame | None = N
 
 def holders_from_transfers(transfers: DataFrame) -> DataFrame:
     """Positive balances as received minus sent amounts."""
-    amount = F.col("amount").cast("decimal(38,6)")
+    amount = tokens("amount")
     legs = transfers.select("token", F.explode(F.array(
         F.struct(F.col("dst").alias("address"), amount.alias("delta")), F.struct(F.col("src").alias("address"), (-amount).alias("delta")))).alias("l"))
     return legs.groupBy("token", F.col("l.address").alias("address")).agg(F.sum("l.delta").cast("double").alias("balance")).where(F.col("balance") > 0)
@@ -110,7 +111,7 @@ def smart_money_flow(transfers: DataFrame, known: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     return smart.groupBy("token").agg(
         n.alias("smart_money_activity"), F.sum("buy").alias("smart_buys"), (n - F.sum("buy")).alias("smart_sells"),
-        F.sum(F.col("amount").cast("decimal(18,2)")).cast("double").alias("smart_money_volume"), (F.sum("buy") / n).alias("smart_money_buy_ratio"))
+        F.sum(tokens("amount")).cast("double").alias("smart_money_volume"), (F.sum("buy") / n).alias("smart_money_buy_ratio"))
 
 
 def dev_and_growth(holdings: DataFrame, transfers: DataFrame, developers: DataFrame, as_of: Column) -> DataFrame:

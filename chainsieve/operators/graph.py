@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,8 +74,10 @@ def smart_connections(edges: DataFrame, known: DataFrame) -> DataFrame:
     return hits.groupBy("wallet").agg(F.count(F.lit(1)).alias("connected_smart_wallets"))
 
 
-def graph_neighbors(edges: DataFrame, cap: int = 50) -> DataFrame:
-    """Counterparties of each wallet, lowest ids first; the cap is the size of the report."""
+def graph_neighbors(edges: DataFrame, cap: int | None = None) -> DataFrame:
+    """Counterparties of each wallet, lowest ids first; ``cap`` is the size of a report."""
+    if cap is None:
+        return neighbour_pairs(edges)
     w = Window.partitionBy("wallet").orderBy("other")
     return neighbour_pairs(edges).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap).drop("rn")
 
@@ -111,16 +115,17 @@ def fund_flow_bfs(edges: DataFrame, seeds: DataFrame, min_amount: float = 0.0, d
     return found.withColumn("strength", F.least(F.lit(1.0), F.col("amount") / 10000.0))
 
 
-def connected_components(pairs: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(pairs: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(vertex, component = smallest member) by alternating large-star and small-star steps.
 
     Every round joins edges with a per-vertex minimum, so no neighbour list is
     ever gathered; the number of rounds grows with log of the diameter. Lineage
-    is cut by a reliable checkpoint per round.
+    is cut by a reliable checkpoint per round. Rounds go on until nothing changes;
+    ``max_rounds`` raises where that takes longer.
     """
     edges = cut_lineage(pairs.where(F.col("a") != F.col("b")).select("a", "b").distinct())
     mark = None
-    for _ in range(max_rounds):
+    for _ in itertools.count() if max_rounds is None else range(max_rounds):
         # large star: every larger neighbour is attached to the smallest of the neighbourhood
         sym = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = sym.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))

@@ -6,8 +6,8 @@ into hour rows (their points, their extremes) and day rows (24 hour extremes, th
 extremes of the days that follow). From a point, the first crossing is searched
 in its own hour, then in the later hours of its day, then in the next days, and
 only the one hour that holds the crossing is opened. Every array is bounded by
-the clock: 3600 points in an hour (the series is kept at one point per second),
-24 hours in a day, one entry per day of the longest horizon.
+the clock: the points of one hour, 24 hours in a day, one entry per day of the
+longest horizon.
 """
 
 from __future__ import annotations
@@ -27,17 +27,11 @@ def _first(items: Column, keep) -> Column:
     return F.get(F.filter(items, keep), F.lit(0))
 
 
-def per_second(prices: DataFrame) -> DataFrame:
-    """At most one point per token and second, the last one."""
-    vals = F.struct("ts", "price", "liquidity_usd", "volume_24h")
-    return prices.groupBy("token", F.unix_seconds("ts").alias("sec")).agg(F.max_by(vals, "ts").alias("v")).select("token", "v.*")
-
-
 def hour_rows(prices: DataFrame, min_liquidity: float) -> DataFrame:
     us = F.unix_micros("ts")
     liquid = F.col("liquidity_usd") >= min_liquidity
     return (
-        per_second(prices).withColumn("us", us).groupBy("token", F.floor(us / HOUR).alias("hour"))
+        prices.withColumn("us", us).groupBy("token", F.floor(us / HOUR).alias("hour"))
         .agg(
             F.array_sort(F.collect_list(F.struct("us", "price", F.col("liquidity_usd").alias("liq"), F.col("volume_24h").alias("vol")))).alias("pts"),
             F.max(F.when(liquid, F.col("price"))).alias("hi"), F.min(F.when(liquid, F.col("price"))).alias("lo"), F.max("price").alias("top"))
@@ -128,9 +122,9 @@ def horizon_extremes(prices: DataFrame, horizons=HORIZONS, *, start: Column) ->
     rows = rows.select("token", "hour", "us", "horizon", "end_us", "end_hour", F.when(F.col("end_day") > F.col("day"), day_part).alias("day_top"), "inner_top")
     rows = rows.join(hours.select("token", F.col("hour").alias("end_hour"), F.col("pts").alias("end_pts")), ["token", "end_hour"], "left")
     hour_part = F.array_max(F.transform(F.filter("end_pts", lambda x: x["us"] <= F.col("end_us")), lambda x: x["price"]))
-    rows = rows.select("token", "us", "horizon", "end_us", F.greatest("inner_top", "day_top", F.when(F.col("end_hour") > F.col("hour"), hour_part)).alias("max_price"))
+    rows = rows.select("token", "us", "horizon", "end_us", F.greatest("inner_top", "day_top", F.when(F.col("end_hour") > F.col("hour"), hour_part)).alias("max_price")).distinct()  # points of one time share their extremes
     at = F.timestamp_micros("end_us")
-    liq = read_as_of(rows, per_second(prices), ["token"], ["us", "horizon"], at, F.col("ts"), {"final_liquidity": F.col("liquidity_usd")}, ahead=False, ties=True)
+    liq = read_as_of(rows, prices, ["token"], ["us", "horizon"], at, F.col("ts"), {"final_liquidity": F.col("liquidity_usd")}, ahead=False, ties=True)
     return rows.join(liq, ["token", "us", "horizon"]).select("token", "us", "horizon", "end_us", "max_price", "final_liquidity")
 
 
@@ -199,7 +193,7 @@ def exit_points(prices: DataFrame, *, up: float = 10.0, down: float = 0.5, hold:
     days = parse_duration(hold) // 86400
     cross = first_crossings(prices, {"exit": (up, down)}, start=start, min_liquidity=float("-inf"), max_days=days, strictly_after=True)
     late = F.timestamp_micros(F.col("us") + parse_duration(hold) * 1_000_000)
-    marks = per_second(prices)
+    marks = prices
     out = read_as_of(cross.select("token", "us", "price", "hit_us", "hit_price"), marks, ["token"], ["us", "price", "hit_us", "hit_price"], late, F.col("ts"),
                      {"late_ts": F.col("ts"), "late_price": F.col("price")}, ahead=True, ties=False)
     early = F.col("hit_us").isNotNull() & (F.col("hit_us") <= F.coalesce(F.unix_micros("late_ts"), F.col("hit_us")))

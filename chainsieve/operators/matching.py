@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainsieve.operators.ordered import ordered_scan, time_slice
+from chainsieve.operators.ordered import join_same, ordered_scan, time_slice
 from chainsieve.tables import money
 
-QTY = "decimal(30,9)"
+#: Quantities are shifted so that a key's total has eleven digits before the point: 27 decimals are left for its smallest trade.
+QTY, DIGITS = "decimal(38,27)", 10
+
+
+def shifted(amount: Column, power: Column) -> Column:
+    """``amount`` times ten to the minus ``power``, exactly as its shortest decimal says."""
+    text = amount.cast("double").cast("string")
+    exponent = F.coalesce(F.nullif(F.substring_index(text, "E", -1), text).cast("int"), F.lit(0)) - power
+    return F.concat(F.substring_index(text, "E", 1), F.lit("E"), exponent.cast("string")).try_cast(QTY)
 
 
 def assign_wallet(trades: DataFrame) -> DataFrame:
@@ -71,8 +79,10 @@ def fifo_match(
     extra = [c for c in ("chain",) if c in trades.columns and c not in ks]
     base = trades.select(
         *ks, *extra, "trade_id", "ts", (F.col("side") == "buy").alias("is_buy"),
-        F.col("amount_tokens").try_cast(QTY).alias("qty"), F.col("amount_usd").alias("usd"),
-    ).where(F.col("qty") > 0)
+        F.col("amount_tokens").cast("double").alias("amount"), F.col("amount_usd").alias("usd"),
+    ).where((F.col("amount") > 0) & (F.col("amount") < float("inf")))
+    power = (F.floor(F.log10(F.sum("amount"))) - DIGITS).cast("int").alias("power")
+    base = join_same(base, base.groupBy(*ks).agg(power), ks).withColumn("qty", shifted(F.col("amount"), F.col("power"))).drop("amount", "power")
     when = time_slice("ts", slice_seconds)
     if require_prior_buy:
         base = _sellable(base, ks, when)
@@ -83,12 +93,12 @@ def fifo_match(
         base, ks, ["ts", "trade_id"], when,
         running={"bought": ("sum", bought), "sold": ("sum", sold)},
         total={"n": ("count", F.lit(1)), "all_bought": ("sum", bought), "all_sold": ("sum", sold)},
-    ).withColumn("hi", F.when(F.col("is_buy"), F.col("bought")).otherwise(F.col("sold")).cast("double"))
+    ).withColumn("hi", F.when(F.col("is_buy"), F.col("bought")).otherwise(F.col("sold")))
     pieces = F.ceil(F.col("n") / F.lit(rows_per_slice))
     length = F.greatest(F.col("all_bought"), F.col("all_sold")).cast("double")
     ends = laid.select(
-        *ks, *extra, "trade_id", "ts", "is_buy", "usd", "hi", F.col("qty").cast("double").alias("qty"),
-        F.least(F.floor(F.col("hi") * pieces / length), pieces - 1).alias("piece"),
+        *ks, *extra, "trade_id", "ts", "is_buy", "usd", "hi", "qty",
+        F.least(F.floor(F.col("hi").cast("double") * pieces / length), pieces - 1).alias("piece"),
     )
     lot = F.struct("ts", "usd", "qty", "hi")
     deal = F.struct("trade_id", "ts", "usd", *extra)
@@ -98,10 +108,11 @@ def fifo_match(
         ks, ["hi", "trade_id"], F.col("piece"),
         next_={"lot": F.col("buy"), "deal": F.col("sell")},
         before={"start": F.col("hi")},
-    ).withColumn("start", F.coalesce("start", F.lit(0.0)))
+    ).withColumn("start", F.coalesce("start", zero))
     pieces_ = merged.where(F.col("lot").isNotNull() & F.col("deal").isNotNull() & (F.col("hi") > F.col("start")))
-    size = F.col("hi") - F.col("start")
+    size = (F.col("hi") - F.col("start")).cast("double")
     base_qty = F.col("lot.hi") - F.greatest(F.col("start"), F.col("lot.hi") - F.col("lot.qty")) if compat else F.col("lot.qty")
+    base_qty = base_qty.cast("double")
     held = (F.unix_micros("deal.ts") - F.unix_micros("lot.ts")) / 1.0e6
     lots = pieces_.select(
         *ks, "deal.*", F.col("lot.ts").alias("lot_ts"), "start",

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from chainsieve.session import cut_lineage
 
 SLICE = "__slice"
+#: Keys and slice in one struct: it equals itself also where a key or the slice is null, so no row is lost in a join.
+CELL = "__cell"
 
 _FOLD = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 _MERGE = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
@@ -64,6 +66,12 @@ def depth_slice(df: DataFrame, column: str, pieces: int = 256, error: float = 0.
     return tree(0, len(cuts))
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equality join on keys that may be null: a null equals a null."""
+    named = right.withColumn(CELL, F.struct(*keys)).drop(*keys)
+    return left.withColumn(CELL, F.struct(*keys)).join(named, CELL, how).drop(CELL)
+
+
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -89,8 +97,9 @@ def ordered_scan(
     running, total = dict(running or {}), dict(total or {})
     last, next_ = dict(last or {}), dict(next_ or {})
     before, after = dict(before or {}), dict(after or {})
-    part = [*keys, SLICE]
-    work = df.withColumn(SLICE, slices)
+    part = [CELL]
+    work = df.withColumn(CELL, F.struct(*keys, slices.alias(SLICE)))
+    key_of, slice_of = [F.col(f"{CELL}.{k}") for k in keys], F.col(f"{CELL}.{SLICE}")
     at = F.struct(*order)
 
     up = Window.partitionBy(*part).orderBy(*[F.col(c).asc() for c in order])
@@ -121,9 +130,9 @@ def ordered_scan(
             inner.append(F.lag(c).over(down).alias(f"__a_{n}"))
         folds.append(F.min_by(F.struct(*[c.alias(n) for n, c in after.items()]), at).alias("__head"))
 
-    whole = Window.partitionBy(*keys)
-    fwd = whole.orderBy(F.col(SLICE).asc()).rowsBetween(Window.unboundedPreceding, -1)
-    bwd = whole.orderBy(F.col(SLICE).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*key_of)
+    fwd = whole.orderBy(slice_of.asc()).rowsBetween(Window.unboundedPreceding, -1)
+    bwd = whole.orderBy(slice_of.desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried: list[Column] = []
     for n, (kind, _) in running.items():
         carried.append(_MERGE[kind](f"__cr_{n}").over(fwd).alias(f"__pr_{n}"))
@@ -134,9 +143,9 @@ def ordered_scan(
     for n in next_:
         carried.append(F.last(f"__cn_{n}", ignorenulls=True).over(bwd).alias(f"__pn_{n}"))
     if before:
-        carried.append(F.lag("__tail").over(whole.orderBy(F.col(SLICE).asc())).alias("__ptail"))
+        carried.append(F.lag("__tail").over(whole.orderBy(slice_of.asc())).alias("__ptail"))
     if after:
-        carried.append(F.lag("__head").over(whole.orderBy(F.col(SLICE).desc())).alias("__phead"))
+        carried.append(F.lag("__head").over(whole.orderBy(slice_of.desc())).alias("__phead"))
 
     border = work.groupBy(*part).agg(*folds).select(*part, *carried)
     joined = work.select("*", *inner).join(border, part)
@@ -171,8 +180,9 @@ def neighbours(
     ahead: bool,
 ) -> DataFrame:
     """Array of the next (or previous) ``reach`` values, nearest first, current row excluded."""
-    part = [*keys, SLICE]
-    work = df.withColumn(SLICE, slices).withColumn("__v", F.struct(value.alias("v")))
+    part = [CELL]
+    work = df.withColumn(CELL, F.struct(*keys, slices.alias(SLICE))).withColumn("__v", F.struct(value.alias("v")))
+    slice_of = F.col(f"{CELL}.{SLICE}")
     asc = [F.col(c).asc() for c in order]
     desc = [F.col(c).desc() for c in order]
     walk = Window.partitionBy(*part).orderBy(*(desc if ahead else asc))
@@ -183,7 +193,7 @@ def neighbours(
         .groupBy(*part)
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("__rn", "__v"))), lambda x: x["__v"]).alias("__edge"))
     )
-    beyond = Window.partitionBy(*keys).orderBy(F.col(SLICE).asc() if ahead else F.col(SLICE).desc()).rowsBetween(1, reach)
+    beyond = Window.partitionBy(*[F.col(f"{CELL}.{k}") for k in keys]).orderBy(slice_of.asc() if ahead else slice_of.desc()).rowsBetween(1, reach)
     border = edges.select(*part, F.flatten(F.collect_list("__edge").over(beyond)).alias("__beyond"))
     near = F.reverse(F.collect_list("__v").over(walk.rowsBetween(-reach, -1)))
     merged = F.slice(F.concat("__near", F.coalesce("__beyond", F.array())), 1, reach)
@@ -201,18 +211,18 @@ def middle_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     values are counted first, value bands are counted per key, and only the one
     or two bands that hold the middle are looked at in detail.
     """
-    part = [*keys, SLICE]
+    part = [CELL]
     counted = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("__v"))
         .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn(SLICE, value_slice("__v"))
+        .withColumn(CELL, F.struct(*keys, value_slice("__v").alias(SLICE)))
     )
     bands = counted.groupBy(*part).agg(F.sum("__n").alias("__c"))
-    whole = Window.partitionBy(*keys)
+    whole = Window.partitionBy(*[F.col(f"{CELL}.{k}") for k in keys])
     bands = bands.select(
         *part,
-        F.sum("__c").over(whole.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, 0)).alias("__upto"),
+        F.sum("__c").over(whole.orderBy(F.col(f"{CELL}.{SLICE}")).rowsBetween(Window.unboundedPreceding, 0)).alias("__upto"),
         F.sum("__c").over(whole).alias("__total"),
         "__c",
     ).select(
@@ -237,7 +247,7 @@ def with_median(grouped: DataFrame, rows: DataFrame, keys: Sequence[str], value:
     )
     if not keys:
         return grouped.crossJoin(F.broadcast(mid))
-    return grouped.join(mid, list(keys), "left")
+    return join_same(grouped, mid, keys, "left")
 
 
 def rank_desc(
@@ -254,7 +264,9 @@ def rank_desc(
     and such a row would find no count.
     """
     m = "__metric"
-    base = df.withColumn(m, -F.col(metric).cast("double"))
+    value = F.col(metric).cast("double")
+    # a missing metric ranks last, after negative infinity shares its place
+    base = df.withColumn(m, F.when(value.isNull() | F.isnan(value), float("inf")).otherwise(-value))
     if dict(df.dtypes)[metric] in ("double", "float"):
         base = cut_lineage(base)
     values = base.groupBy(*keys, m).agg(F.count(F.lit(1)).alias("__n"))
@@ -266,7 +278,7 @@ def rank_desc(
     kind = dict(df.dtypes)[tie]
     tie_slices = F.substring(F.col(tie), 1, 5) if kind == "string" else F.floor(F.col(tie) / tie_span)
     placed = ordered_scan(base, [*keys, m], [tie], tie_slices, running={"__pos": ("count", F.lit(1))})
-    out = placed.join(starts, [*keys, m])
+    out = join_same(placed, starts, [*keys, m])
     cols = [*df.columns, (F.col("__start") + F.col("__pos")).cast("bigint").alias(name)]
     if total:
         cols.append(F.col("__total").cast("bigint").alias(total))

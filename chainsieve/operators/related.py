@@ -9,31 +9,32 @@ from chainsieve.operators.ordered import ordered_scan, time_slice
 from chainsieve.operators.timing import read_as_of
 
 
-def token_overlap(trades: DataFrame, target: DataFrame, min_overlap: int = 3) -> DataFrame:
+def token_overlap(trades: DataFrame, target: DataFrame, min_overlap: int = 3, shown: int | None = None) -> DataFrame:
     """Wallets that share at least ``min_overlap`` tokens with the target wallet.
 
     Each (wallet, token) meets the target's token list at most once, so the join
-    never forms pairs among the other wallets.
+    never forms pairs among the other wallets. ``shown`` limits the listed tokens.
     """
     held = trades.select("wallet", "token").where(F.col("token").isNotNull()).distinct()
     sizes = held.groupBy("wallet").agg(F.count(F.lit(1)).alias("size"))
-    mine = held.join(F.broadcast(target), "wallet", "left_semi")
+    mine = held.join(target, "wallet", "left_semi")
     own = mine.agg(F.count(F.lit(1)).alias("own"))  # one row
-    shared = held.join(mine.select("token"), "token").join(F.broadcast(target), "wallet", "left_anti")
+    shared = held.join(mine.select("token"), "token").join(target, "wallet", "left_anti")
     smallest = shared.groupBy("wallet").agg(F.count(F.lit(1)).alias("overlap_count"))
     out = smallest.where(F.col("overlap_count") >= min_overlap).join(sizes, "wallet").crossJoin(F.broadcast(own))
-    top = _first_tokens(shared, 10)
+    top = _first_tokens(shared, shown)
     return out.join(top, "wallet").select(
         "wallet", F.lit("token_overlap").alias("relationship_type"),
         (F.col("overlap_count") / (F.col("size") + F.col("own") - F.col("overlap_count"))).alias("strength"), "overlap_count", "common_tokens")
 
 
-def _first_tokens(shared: DataFrame, k: int) -> DataFrame:
+def _first_tokens(shared: DataFrame, k: int | None) -> DataFrame:
     from pyspark.sql import Window
 
-    w = Window.partitionBy("wallet").orderBy("token")
-    return shared.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).groupBy("wallet").agg(
-        F.array_sort(F.collect_list("token")).alias("common_tokens"))
+    if k is not None:
+        w = Window.partitionBy("wallet").orderBy("token")
+        shared = shared.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+    return shared.groupBy("wallet").agg(F.array_sort(F.collect_list("token")).alias("common_tokens"))
 
 
 def _islands(trades: DataFrame, before_s: int, after_s: int) -> DataFrame:
@@ -56,8 +57,8 @@ def temporal_correlation(trades: DataFrame, target: DataFrame, minutes: int = 5,
     other wallet made first, which is what copying looks like.
     """
     reach = minutes * 60
-    mine = trades.join(F.broadcast(target), "wallet", "left_semi")
-    others = trades.join(F.broadcast(target), "wallet", "left_anti")
+    mine = trades.join(target, "wallet", "left_semi")
+    others = trades.join(target, "wallet", "left_anti")
     spans = _islands(others, 0 if only_before else reach, reach)
     counted = ordered_scan(mine.select("token", "ts", "trade_id"), ["token"], ["ts", "trade_id"], time_slice("ts"), running={"c": ("count", F.lit(1))})
     # One mark per time point, with the count up to and including it.
@@ -90,8 +91,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def pattern_similarity(vectors: DataFrame, target: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Entities whose vector is close to the target's; the target is one row and is sent to every task."""
-    one = F.broadcast(target.limit(1).select(F.col("entity").alias("t_entity"), F.col("vector").alias("t_vector")))
+    """Entities whose vector is close to the target's; the target is one row and is sent to every task. More rows are refused."""
+    one = F.broadcast(target.agg(
+        F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("pattern_similarity takes one target"))).otherwise(F.min(F.struct("entity", "vector"))).alias("t")
+    ).select(F.col("t.entity").alias("t_entity"), F.col("t.vector").alias("t_vector")))
     rows = vectors.crossJoin(one).where(F.col("entity") != F.col("t_entity"))
     return rows.withColumn("strength", cosine(F.col("vector"), F.col("t_vector"))).where(F.col("strength") >= threshold).select(
         F.col("entity").alias("wallet"), F.lit("pattern_similarity").alias("relationship_type"), "strength")
@@ -126,13 +129,15 @@ def behavior_embedding(trades: DataFrame, keys=("wallet",), size: int = 64) -> D
         *keys, F.concat(head, F.array_repeat(F.lit(0.0), size - 4)).alias("vector"))
 
 
-def trade_sequence(trades: DataFrame, keys=("wallet",), length: int = 100) -> DataFrame:
-    """First ``length`` trades as (side, ln(1 + usd), price, position) rows; the length is part of the format."""
+def trade_sequence(trades: DataFrame, keys=("wallet",), length: int | None = None) -> DataFrame:
+    """Trades as (side, ln(1 + usd), price, position) rows, the first ``length`` of each key where a format has a length."""
     from pyspark.sql import Window
 
     w = Window.partitionBy(*keys).orderBy("ts", "trade_id")
     n = trades.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    first = trades.withColumn("i", F.row_number().over(w)).where(F.col("i") <= length)
+    first = trades.withColumn("i", F.row_number().over(w))
+    if length is not None:
+        first = first.where(F.col("i") <= length)
     return first.join(n, list(keys)).select(
         *keys, F.col("i").alias("step"), F.when(F.col("side") == "buy", 1.0).otherwise(-1.0).alias("direction"),
         F.log1p("amount_usd").alias("size"), "price", ((F.col("i") - 1) / F.col("n")).alias("position"))

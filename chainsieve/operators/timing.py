@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainsieve.operators.ordered import neighbours, ordered_scan, time_slice
+from chainsieve.tables import money
 
 PUMP, DUMP = 0.20, -0.15
 
@@ -49,19 +50,20 @@ def read_as_of(
 
     Probes and marks are laid into one list per key and values are carried along
     it, so the cost is linear and no pair is formed. ``ties`` says whether a mark
-    at exactly the probe's time counts.
+    at exactly the probe's time counts. Every probe comes back; without a mark, or
+    without a time, its values are null.
     """
     marks_first = ties != ahead
     p = probes.select(*keys, *probe_id, probe_at.alias("__at"), F.lit(1 if marks_first else 0).alias("__o"), F.lit(True).alias("__probe"))
     m = marks.select(*keys, mark_at.alias("__at"), F.lit(0 if marks_first else 1).alias("__o"), F.lit(False).alias("__probe"),
                      *[v.alias(n) for n, v in values.items()])
-    both = p.unionByName(m, allowMissingColumns=True).where(F.col("__at").isNotNull())
+    both = p.unionByName(m.where(F.col("__at").isNotNull()), allowMissingColumns=True)
     packed = F.when(~F.col("__probe"), F.struct(*values))
     wanted = {"__hit": packed}
     order = ["__at", "__o", *probe_id]
     scanned = ordered_scan(both, keys, order, time_slice("__at", slice_seconds),
                            **({"next_": wanted} if ahead else {"last": wanted}))
-    return scanned.where("__probe").select(*keys, *probe_id, *[F.col("__hit")[n].alias(n) for n in values])
+    return scanned.where("__probe").select(*keys, *probe_id, *[F.when(F.col("__at").isNotNull(), F.col("__hit")[n]).alias(n) for n in values])
 
 
 def next_event(trades: DataFrame, events: DataFrame) -> DataFrame:
@@ -181,7 +183,7 @@ def bin_trades(trades: DataFrame, prices: DataFrame, minutes: int = 15) -> DataF
     width = minutes * 60 * 1_000_000
     k = F.floor((F.unix_micros("ts") - F.unix_micros("start")) / width)
     last = F.floor((F.unix_micros("end") - F.unix_micros("start")) / width)
-    usd = F.abs(F.coalesce("amount_usd", "amount_tokens")).cast("decimal(18,2)")
+    usd = money(F.abs(F.coalesce("amount_usd", "amount_tokens")))
     return rows.withColumn("bin", k).where((F.col("bin") >= 0) & (F.col("bin") <= last)).groupBy("token", "wallet", "bin").agg(
         F.sum(usd).cast("double").alias("volume"))
 
@@ -191,5 +193,5 @@ def dense_bins(trades: DataFrame, prices: DataFrame, minutes: int = 15) -> DataF
     width = minutes * 60 * 1_000_000
     span = prices.groupBy("token").agg(F.min("ts").alias("start"), F.max("ts").alias("end"))
     grid = span.select("token", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.unix_micros("end") - F.unix_micros("start")) / width))).alias("bin"))
-    used = bin_trades(trades, prices, minutes).groupBy("token", "bin").agg(F.sum(F.col("volume").cast("decimal(18,2)")).cast("double").alias("volume"))
+    used = bin_trades(trades, prices, minutes).groupBy("token", "bin").agg(F.sum(money("volume")).cast("double").alias("volume"))
     return grid.join(used, ["token", "bin"], "left").select("token", "bin", F.coalesce("volume", F.lit(0.0)).alias("volume"))

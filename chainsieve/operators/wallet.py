@@ -328,6 +328,8 @@ def rank_wallets(metrics: DataFrame, metric: str = "win_rate", per_chain: bool =
 def search_wallets(metrics: DataFrame, *, min_win_rate=None, min_trades=None, min_pnl=None, chain=None,
                    sort_by: str = "win_rate", order: str = "desc", limit: int = 100, offset: int = 0) -> DataFrame:
     """Filtered, sorted page of wallets; a top-k report, so the page size is its meaning."""
+    if not 0 < limit <= 1000:
+        raise ValueError("a page has 1 to 1000 wallets")
     rows = metrics
     if min_win_rate is not None:
         rows = rows.where(F.col("win_rate") >= min_win_rate)
@@ -338,6 +340,6 @@ def search_wallets(metrics: DataFrame, *, min_win_rate=None, min_trades=None, mi
     if chain is not None:
         rows = rows.where(F.col("chain") == chain)
     key = F.col(sort_by).desc() if order == "desc" else F.col(sort_by).asc()
-    return rows.orderBy(key, "wallet").offset(offset).limit(min(limit, 1000))
+    return rows.orderBy(key, "wallet").offset(offset).limit(limit)
 
 

@@ -10,7 +10,7 @@ from chainsieve.operators.matching import fifo_match
 from chainsieve.operators.ordered import rank_desc, time_slice
 from chainsieve.operators.wallet import rank_wallets, wallet_metrics
 from chainsieve.plans.registry import query
-from chainsieve.tables import as_of
+from chainsieve.tables import as_of, money
 
 HM = ["horizon", "multiplier"]
 UP, LOW = "CAST(ceil(probability * 10) - 1 AS INT)", "CAST(least(floor(probability * 10), 9) AS INT)"
@@ -322,7 +322,7 @@ def _(t):
 def _(t):
     ranked = rank_wallets(wallet_metrics(fifo_match(t.trades)), "pnl")
     rows = st.copy_trade_candidates(ranked, t.trades)
-    return rows.groupBy("wallet", "day").agg(F.count(F.lit(1)).alias("trades"), F.sum(F.col("amount_usd").cast("decimal(18,2)")).cast("double").alias("volume_usd"))
+    return rows.groupBy("wallet", "day").agg(F.count(F.lit(1)).alias("trades"), F.sum(money("amount_usd")).cast("double").alias("volume_usd"))
 
 
 # ---------------------------------------------------------------- ledger

@@ -8,7 +8,7 @@ from chainsieve.operators import wallet as w
 from chainsieve.operators.matching import fifo_match
 from chainsieve.plans.catalog_wallet import SANDWICH, TIMING, WASH
 from chainsieve.plans.registry import query
-from chainsieve.tables import as_of
+from chainsieve.tables import as_of, money
 
 NOW = "TIMESTAMP '2024-01-31 00:00:00'"
 
@@ -16,7 +16,7 @@ NOW = "TIMESTAMP '2024-01-31 00:00:00'"
 def market(t):
     """One market row per token: last day's volume and trade counts, latest liquidity."""
     day = F.col("ts") >= as_of() - F.expr("INTERVAL 24 HOURS")
-    usd = F.col("amount_usd").cast("decimal(18,2)")
+    usd = money("amount_usd")
     flow = t.trades.groupBy("token").agg(
         F.coalesce(F.sum(F.when(day, usd)), F.lit(0)).cast("double").alias("volume_24h"), F.count_if(day & (F.col("side") == "buy")).alias("txns_24h_buys"),
         F.count_if(day & (F.col("side") == "sell")).alias("txns_24h_sells"), F.min("ts").alias("pair_created_at"), F.sum(usd).cast("double").alias("cap"))

@@ -19,7 +19,7 @@ tc AS (SELECT o.wallet, count(DISTINCT b.trade_id) AS correlated_trades, (SELECT
 
 @query("token_overlap", f"WITH {HELD} SELECT wallet, overlap_count, round(strength, 6) AS strength, toks AS common_tokens FROM ovl")
 def _(t):
-    return r.token_overlap(t.trades, t.busiest).select("wallet", "overlap_count", "strength", F.array_join("common_tokens", ",").alias("common_tokens"))
+    return r.token_overlap(t.trades, t.busiest, shown=10).select("wallet", "overlap_count", "strength", F.array_join("common_tokens", ",").alias("common_tokens"))
 
 
 TEMP_HOUR = TEMP.replace("5 MINUTE", "600 MINUTE")
@@ -48,7 +48,7 @@ def _vectors(t):
 @query("pattern_similarity", f"WITH {COS} SELECT vec_id AS wallet, round(s, 6) AS strength FROM sim WHERE s >= 0.1")
 def _(t):
     v = _vectors(t)
-    return r.pattern_similarity(v, v.orderBy("entity"), 0.1).select("wallet", "strength")
+    return r.pattern_similarity(v, v.orderBy("entity").limit(1), 0.1).select("wallet", "strength")
 
 
 @query("nearest_snapshot", f"""WITH {COS} SELECT max_by(vec_id, (s, -vec_id)) AS wallet, round(max(s), 6) AS strength FROM sim WHERE s >= 0.05
@@ -56,7 +56,7 @@ def _(t):
 def _(t):
     v = _vectors(t)
     stored = v.withColumn("stored_ts", F.expr("TIMESTAMP '2024-01-29 00:00:00'") + F.expr("make_dt_interval(0, cast(entity % 48 as int))"))
-    return r.nearest_snapshot(stored, v.orderBy("entity"), as_of(), 86400, 0.05)
+    return r.nearest_snapshot(stored, v.orderBy("entity").limit(1), as_of(), 86400, 0.05)
 
 
 EMB = """em AS (SELECT wallet, avg(CASE WHEN side = 'buy' THEN 1.0 ELSE 0.0 END) AS b, ln(1 + avg(amount_usd)) AS m, CAST(count(*) AS DOUBLE) AS n FROM v_trades GROUP BY wallet)"""
@@ -71,7 +71,7 @@ def _(t):
 @query("trade_sequence", """SELECT wallet, step, direction, round(size, 6) AS size, round(price, 6) AS price, round((step - 1) / n, 6) AS position FROM (
  SELECT wallet, row_number() OVER (PARTITION BY wallet ORDER BY ts, trade_id) AS step, CASE WHEN side = 'buy' THEN 1.0 ELSE -1.0 END AS direction, ln(1 + amount_usd) AS size, price, count(*) OVER (PARTITION BY wallet) AS n FROM v_trades) WHERE step <= 100""")
 def _(t):
-    return r.trade_sequence(t.trades)
+    return r.trade_sequence(t.trades, length=100)
 
 
 @query("related_wallets", f"""WITH {HELD}, {TEMP}, {HOPS}, {EMB}, me AS (SELECT * FROM em WHERE wallet IN (FROM v_busiest)),

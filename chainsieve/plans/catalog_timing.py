@@ -7,6 +7,7 @@ from chainsieve.operators import graph as g
 from chainsieve.operators import timing as tm
 from chainsieve.plans import finder
 from chainsieve.plans.registry import query
+from chainsieve.tables import money
 
 NB = """nb AS (SELECT token, ts, price, lag(price) OVER w AS pp, lag(ts) OVER w AS pts, lead(price) OVER w AS np FROM v_prices WINDOW w AS (PARTITION BY token ORDER BY ts))"""
 EV = NB + """, ev AS (SELECT token, ts, CASE WHEN (price - pp) / pp >= 0.20 THEN 'pump' ELSE 'dump' END AS event, (price - pp) / pp * 100.0 AS pct, pp, price
@@ -126,7 +127,7 @@ gs AS (SELECT ce.wallet, neighbors AS total_connections, centrality_score, clust
 
 @query("trade_graph", "SELECT src, dst, count(*) AS trades, CAST(sum(CAST(amount_usd AS DECIMAL(18,2))) AS DOUBLE) AS usd FROM v_edges GROUP BY src, dst")
 def _(t):
-    return g.trade_graph(t.trades).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("trades"), F.sum(F.col("amount_usd").cast("decimal(18,2)")).cast("double").alias("usd"))
+    return g.trade_graph(t.trades).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("trades"), F.sum(money("amount_usd")).cast("double").alias("usd"))
 
 
 @query("graph_vertices", "SELECT src AS wallet FROM v_edges UNION SELECT dst FROM v_edges")
@@ -162,7 +163,7 @@ def _(t):
 
 @query("graph_neighbors", f"WITH {PAIRS} SELECT wallet, other FROM np QUALIFY row_number() OVER (PARTITION BY wallet ORDER BY other) <= 50")
 def _(t):
-    return g.graph_neighbors(t.edges)
+    return g.graph_neighbors(t.edges, 50)
 
 
 HOPS = "hop AS (SELECT src AS here, dst AS there, ts, trade_id, amount_usd FROM v_edges WHERE amount_usd >= 5 UNION ALL SELECT dst, src, ts, trade_id, amount_usd FROM v_edges WHERE amount_usd >= 5)"
@@ -225,14 +226,14 @@ def _signals(t):
 
 
 def _found(t):
-    return finder.top_wallets(finder.score_wallets(_signals(t)).where(F.col("risk_score") < 0.7))
+    return finder.top_wallets(finder.score_wallets(_signals(t)).where(F.col("risk_score") < 0.7), 0.0, 20)
 
 
 @query("find_smart_wallets", SIGNALS + """SELECT token, wallet, rank, round(score, 4) AS smart_money_score, round(risk, 4) AS risk_score, round(win_rate, 4) AS win_rate, round(avg_roi, 4) AS realized_roi,
  total_trades AS trades_count, round(pre_pump_entry_rate, 4) AS early_entry_rate, round(cent, 4) AS graph_centrality,
  CASE WHEN score >= 0.8 THEN 'very_high' WHEN score >= 0.6 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS confidence_level FROM tk""", digits=4)
 def _(t):
-    found = finder.find_smart_wallets(t.trades, t.prices, t.edges, t.known_smart)
+    found = finder.find_smart_wallets(t.trades, t.prices, t.edges, t.known_smart, min_confidence=0.0, top_k=20)
     return found.select("token", "wallet", "rank", "smart_money_score", "risk_score", "win_rate", F.col("avg_roi").alias("realized_roi"),
                         F.col("total_trades").alias("trades_count"), F.col("pre_pump_entry_rate").alias("early_entry_rate"), F.col("centrality_score").alias("graph_centrality"), "confidence_level")
 
@@ -284,7 +285,7 @@ def _(t):
 
 @query("funnel_counts", SIGNALS + """SELECT token, count(*) AS analyzed, count(*) FILTER (WHERE risk < 0.7) AS passing, least(count(*) FILTER (WHERE risk < 0.7), 20) AS returned FROM sc GROUP BY token""")
 def _(t):
-    return finder.funnel_counts(_signals(t))
+    return finder.funnel_counts(_signals(t), min_confidence=0.0, top_k=20)
 
 
 @query("ranking_summary", SIGNALS + """SELECT token, round(avg(score), 4) AS avg_smart_money_score, round(list_sort(list(score))[CAST(floor(count(*) / 2) AS INT) + 1], 4) AS median_smart_money_score,

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainsieve.functions import scoring
 from chainsieve.operators.graph import graph_signals
-from chainsieve.operators.matching import fifo_match
+from chainsieve.operators.matching import fifo_match, min_trade_size, wallet_volumes
 from chainsieve.operators.timing import timing_signals
 from chainsieve.operators.wallet import behavioral_counts, profitability_signals, with_pattern_tags
 
@@ -45,7 +45,7 @@ def score_wallets(signals: DataFrame, weights: Mapping[str, float] = scoring.CAT
     return signals.withColumn("risk_score", scoring.risk_score()).withColumn("smart_money_score", scoring.smart_money_score(weights))
 
 
-def top_wallets(scored: DataFrame, min_confidence: float = 0.0, top_k: int = 20) -> DataFrame:
+def top_wallets(scored: DataFrame, min_confidence: float = 0.5, top_k: int = 100) -> DataFrame:
     """Best k per token; the row-number limit is applied before the shuffle too."""
     w = Window.partitionBy("token").orderBy(F.col("smart_money_score").desc(), "wallet")
     return scored.where(F.col("smart_money_score") >= min_confidence).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
@@ -67,10 +67,32 @@ def key_metrics(df: DataFrame) -> DataFrame:
                      F.col("pre_pump_entry_rate").alias("early_entry_rate"), F.col("centrality_score").alias("graph_centrality"))
 
 
+def selected_trades(
+    trades: DataFrame, *, token=None, chain: str | None = None, as_of: Column | None = None, window_days: float | None = None,
+    min_trade_size_usd: float = 0.0, min_holdings_usd: float = 0.0,
+) -> DataFrame:
+    """The trades that a search looks at; plain filters reach the scan, and small trades go before holdings are summed."""
+    if token is not None:
+        trades = trades.where(F.col("token") == token)
+    if chain is not None:
+        trades = trades.where(F.col("chain") == chain)
+    if window_days is not None:
+        if as_of is None:
+            raise ValueError("window_days needs as_of")
+        start = F.timestamp_micros(F.unix_micros(as_of) - F.lit(int(window_days * 86_400_000_000)))
+        trades = trades.where((F.col("ts") >= start) & (F.col("ts") <= as_of))
+    trades = min_trade_size(trades, min_trade_size_usd)
+    if min_holdings_usd:
+        trades = trades.join(wallet_volumes(trades, tuple(KEYS), min_holdings_usd).select(*KEYS), KEYS, "left_semi")
+    return trades
+
+
 def find_smart_wallets(
-    trades: DataFrame, prices: DataFrame, edges: DataFrame, known: DataFrame, *, min_confidence: float = 0.0, top_k: int = 20,
-    max_risk: float = scoring.MAX_RISK, weights: Mapping[str, float] = scoring.CATEGORY_WEIGHTS,
+    trades: DataFrame, prices: DataFrame, edges: DataFrame, known: DataFrame, *, min_confidence: float = 0.5, top_k: int = 100,
+    max_risk: float = scoring.MAX_RISK, weights: Mapping[str, float] = scoring.CATEGORY_WEIGHTS, **filters,
 ) -> DataFrame:
+    """Ranked and explained wallets per token; ``filters`` are those of ``selected_trades``."""
+    trades = selected_trades(trades, **filters)
     scored = score_wallets(wallet_signals(trades, prices, edges, known), weights)
     return explain(top_wallets(scored.where(F.col("risk_score") < max_risk), min_confidence, top_k))
 
@@ -83,7 +105,7 @@ def wallet_profile(trades: DataFrame, prices: DataFrame, wallet=None, token=None
     return explain(score_wallets(wallet_signals(mine, prices, None, None)))
 
 
-def funnel_counts(signals: DataFrame, max_risk: float = scoring.MAX_RISK, min_confidence: float = 0.0, top_k: int = 20) -> DataFrame:
+def funnel_counts(signals: DataFrame, max_risk: float = scoring.MAX_RISK, min_confidence: float = 0.5, top_k: int = 100) -> DataFrame:
     scored = score_wallets(signals)
     passing = F.col("risk_score") < max_risk
     sure = passing & (F.col("smart_money_score") >= min_confidence)

@@ -13,6 +13,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from chainsieve.tables import money
 
 log = logging.getLogger(__name__)
 
@@ -81,7 +82,7 @@ def live_wallet_signals(trades: DataFrame) -> DataFrame:
     """
     rows = trades.withColumn("wallet", trade_wallet(trades)).where(F.col("wallet").isNotNull())
     buy = F.col("side") == "buy"
-    usd = F.coalesce("amount_usd", F.lit(0.0)).cast("decimal(18,2)")
+    usd = money(F.coalesce("amount_usd", F.lit(0.0)))
     return rows.groupBy("wallet").agg(
         F.count(F.lit(1)).alias("trade_count"), F.sum(usd).cast("double").alias("total_volume"), F.count_if(F.coalesce(buy, F.lit(False))).alias("buy_count"),
         F.count_if(~F.coalesce(buy, F.lit(False))).alias("sell_count"), F.max("ts").alias("last_trade_time"))
@@ -107,7 +108,7 @@ def stream_windows(trades: DataFrame, keys: list[str], *, size: str, slide: str
     """Counts and volume per tumbling or sliding window."""
     rows = trades.withWatermark("ts", lateness) if trades.isStreaming else trades
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
-    usd = F.col("amount_usd").cast("decimal(18,2)")
+    usd = money("amount_usd")
     return rows.groupBy(*keys, w.alias("w")).agg(F.count(F.lit(1)).alias("trades"), F.sum(usd).cast("double").alias("volume_usd")).select(
         *keys, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "trades", "volume_usd")
 

@@ -20,9 +20,18 @@ def as_of() -> F.Column:
 
 
 def money(column: str | F.Column) -> F.Column:
-    """Cents-valued input as an exact decimal, so sums do not depend on order."""
+    """An amount as an exact decimal, so sums do not depend on order.
+
+    Twelve decimals and 26 digits before them; an amount beyond that raises an error.
+    """
+    c = F.col(column) if isinstance(column, str) else column
+    return c.cast("decimal(38,12)")
+
+
+def tokens(column: str | F.Column) -> F.Column:
+    """The same for amounts of tokens: fifteen decimals, 23 digits before them."""
     c = F.col(column) if isinstance(column, str) else column
-    return c.cast("decimal(18,2)")
+    return c.cast("decimal(38,15)")
 
 
 def trade_rows(events: DataFrame) -> DataFrame:
