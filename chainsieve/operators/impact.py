@@ -13,7 +13,7 @@ def counterfactual_impact(trades: DataFrame, prices: DataFrame) -> DataFrame:
     """Volume share, price influence and what the token's return would be without the wallet."""
     moves = price_move_after(trades, prices)
     total = trades.groupBy("token").agg(F.sum(money("amount_usd")).cast("double").alias("total"))
-    ret = prices.groupBy("token").agg(F.max_by("price", "ts").alias("p1"), F.min_by("price", "ts").alias("p0")).select(
+    ret = prices.groupBy("token").agg(F.max_by("price", F.struct("ts", "price")).alias("p1"), F.min_by("price", F.struct("ts", "price")).alias("p0")).select(
         "token", ((F.col("p1") - F.col("p0")) / F.col("p0")).alias("ret"))
     per = trades.join(moves, ["token", "trade_id"], "left").groupBy("token", "wallet").agg(
         F.sum(money("amount_usd")).cast("double").alias("volume"),
@@ -44,7 +44,7 @@ def lead_lag(trades: DataFrame, prices: DataFrame, minutes: int = 15, max_lag: i
     span = prices.groupBy("token").agg(F.min("ts").alias("start"), F.max("ts").alias("end"))
     binned = prices.join(span, "token").groupBy(
         "token", F.floor((F.unix_micros("ts") - F.unix_micros("start")) / width).alias("bin"),
-        F.floor((F.unix_micros("end") - F.unix_micros("start")) / width).alias("last")).agg(F.max_by("price", "ts").alias("price"))
+        F.floor((F.unix_micros("end") - F.unix_micros("start")) / width).alias("last")).agg(F.max_by("price", F.struct("ts", "price")).alias("price"))
     prior = binned.select("token", (F.col("bin") + 1).alias("bin"), F.col("price").alias("p0"))
     change = binned.join(prior, ["token", "bin"], "left").select(
         "token", "bin", "last", F.when(F.col("p0") > 0, (F.col("price") - F.col("p0")) / F.col("p0")).otherwise(0.0).alias("y"))

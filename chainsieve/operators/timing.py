@@ -120,7 +120,7 @@ def enrich_trade_usd(trades: DataFrame, prices: DataFrame) -> DataFrame:
 def price_timeline(trades: DataFrame, minutes: int) -> DataFrame:
     """Last trade price per regular interval."""
     w = F.window("ts", f"{minutes} minutes")
-    return trades.groupBy("token", w.alias("w")).agg(F.max_by("price", "ts").alias("price"), F.count(F.lit(1)).alias("trades")).select(
+    return trades.groupBy("token", w.alias("w")).agg(F.max_by("price", F.struct("ts", "price")).alias("price"), F.count(F.lit(1)).alias("trades")).select(
         "token", F.col("w.start").alias("ts"), "price", "trades")
 
 
@@ -136,7 +136,7 @@ def fill_grid(prices: DataFrame, minutes: int) -> DataFrame:
 def constant_grid(prices: DataFrame, minutes: int) -> DataFrame:
     """Fallback grid: steps back from each token's last point, all at its current price."""
     step = F.expr(f"INTERVAL {minutes} MINUTES")
-    span = prices.groupBy("token").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.max_by("price", "ts").alias("price"))
+    span = prices.groupBy("token").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.max_by("price", F.struct("ts", "price")).alias("price"))
     return span.select("token", F.explode(F.sequence("b", "a", -step)).alias("ts"), "price")
 
 

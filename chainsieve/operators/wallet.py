@@ -62,7 +62,7 @@ def realized_pnl(closed: DataFrame, keys=("wallet",)) -> DataFrame:
 
 
 def current_prices(prices: DataFrame) -> DataFrame:
-    return prices.groupBy("token").agg(F.max_by("price", "ts").alias("current_price"))
+    return prices.groupBy("token").agg(F.max_by("price", F.struct("ts", "price")).alias("current_price"))
 
 
 def unrealized_pnl(positions: DataFrame, latest: DataFrame) -> DataFrame:
@@ -136,9 +136,9 @@ def report_token_breakdown(closed: DataFrame) -> DataFrame:
     )
 
 
-def wallet_metrics(closed: DataFrame) -> DataFrame:
-    """One row per wallet and chain: the input of rankings and searches."""
-    return closed.groupBy("wallet", "chain").agg(
+def wallet_metrics(closed: DataFrame, per_chain: bool = True) -> DataFrame:
+    """One row per wallet and chain, or per wallet over all its chains: the input of rankings and searches."""
+    return closed.groupBy("wallet", *["chain"] * per_chain).agg(
         F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"), F.sum("pnl").alias("pnl"),
         ratio(F.avg("pnl"), F.stddev_pop("pnl")).alias("sharpe_ratio"), F.count(F.lit(1)).alias("trades"),
     )

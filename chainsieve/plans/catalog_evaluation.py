@@ -320,7 +320,7 @@ def _(t):
 @query("copy_trade_candidates", """WITH m AS (SELECT wallet, row_number() OVER (ORDER BY sum(pnl) DESC, wallet) AS rank FROM v_closed GROUP BY wallet), b AS (SELECT wallet FROM m WHERE rank <= 10)
  SELECT wallet, date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS trades, CAST(sum(CAST(amount_usd AS DECIMAL(18,2))) AS DOUBLE) AS volume_usd FROM v_trades WHERE wallet IN (SELECT wallet FROM b) GROUP BY 1, 2""")
 def _(t):
-    ranked = rank_wallets(wallet_metrics(fifo_match(t.trades)), "pnl")
+    ranked = rank_wallets(wallet_metrics(fifo_match(t.trades), per_chain=False), "pnl")
     rows = st.copy_trade_candidates(ranked, t.trades)
     return rows.groupBy("wallet", "day").agg(F.count(F.lit(1)).alias("trades"), F.sum(money("amount_usd")).cast("double").alias("volume_usd"))
 

@@ -90,7 +90,7 @@ def _(t):
 @query("wallet_report")
 def _(t):
     closed = fifo_match(t.trades)
-    ranks = w.rank_wallets(w.wallet_metrics(closed), "pnl").select("wallet", "rank", "total", "percentile")
+    ranks = w.rank_wallets(w.wallet_metrics(closed, per_chain=False), "pnl").select("wallet", "rank", "total", "percentile")
     marked = w.price_change_5m(t.trades)
     patterns = w.behavior_patterns(closed, marked, t.listings, w.alternation_wash_score(t.trades))
     doc = rp.wallet_report(w.win_rates(closed, as_of()), w.realized_pnl(closed), w.breakdown(closed, "token"), closed, patterns, ranks, as_of=as_of())

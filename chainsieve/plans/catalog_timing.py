@@ -1,5 +1,7 @@
 """Registered queries: price events, as-of reads, graph, scores and the finder."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from chainsieve.functions import scoring
@@ -7,7 +9,7 @@ from chainsieve.operators import graph as g
 from chainsieve.operators import timing as tm
 from chainsieve.plans import finder
 from chainsieve.plans.registry import query
-from chainsieve.tables import money
+from chainsieve.tables import SQL_VIEWS, as_of, money
 
 NB = """nb AS (SELECT token, ts, price, lag(price) OVER w AS pp, lag(ts) OVER w AS pts, lead(price) OVER w AS np FROM v_prices WINDOW w AS (PARTITION BY token ORDER BY ts))"""
 EV = NB + """, ev AS (SELECT token, ts, CASE WHEN (price - pp) / pp >= 0.20 THEN 'pump' ELSE 'dump' END AS event, (price - pp) / pp * 100.0 AS pct, pp, price
@@ -238,6 +240,23 @@ def _(t):
                         F.col("total_trades").alias("trades_count"), F.col("pre_pump_entry_rate").alias("early_entry_rate"), F.col("centrality_score").alias("graph_centrality"), "confidence_level")
 
 
+def _filtered_sql() -> str:
+    """SIGNALS over the trades that the filters leave; prices, edges and known wallets stay those of all trades."""
+    parts = ["""w_base AS (SELECT * FROM v_trades WHERE chain = 'ethereum' AND ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 20 DAY AND ts <= TIMESTAMP '2024-01-31 00:00:00' AND amount_usd >= 20)""",
+             """w_trades AS (SELECT * FROM w_base WHERE (token, wallet) IN (SELECT (token, wallet) FROM w_base GROUP BY token, wallet
+ HAVING sum(CASE WHEN side = 'buy' THEN CAST(amount_usd AS DECIMAL(18,2)) ELSE -CAST(amount_usd AS DECIMAL(18,2)) END) >= 50))"""]
+    own = lambda text: re.sub(r"\bv_(trades|lots|overlaps|closed)\b", r"w_\1", text)
+    parts += [f"w_{n} AS ({own(SQL_VIEWS[f'v_{n}'])})" for n in ("lots", "overlaps", "closed")]
+    return "WITH " + ",\n".join(parts) + ",\n" + own(SIGNALS)[len("WITH "):]
+
+
+@query("find_smart_wallets_filtered", _filtered_sql() + """SELECT token, wallet, rank, round(score, 4) AS smart_money_score, round(win_rate, 4) AS win_rate, total_trades AS trades_count
+ FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY score DESC, wallet) AS rank FROM sc WHERE risk < 0.7 AND score >= 0.1) WHERE rank <= 100""", digits=4)
+def _(t):
+    found = finder.find_smart_wallets(t.trades, t.prices, t.edges, t.known_smart, min_confidence=0.1, chain="ethereum", as_of=as_of(), window_days=20, min_trade_size_usd=20.0, min_holdings_usd=50.0)
+    return found.select("token", "wallet", "rank", "smart_money_score", "win_rate", F.col("total_trades").alias("trades_count"))
+
+
 @query("risk_score", SIGNALS + "SELECT token, wallet, round(risk, 4) AS risk_score FROM sc WHERE risk < 0.7", digits=4)
 def _(t):
     return finder.score_wallets(_signals(t)).where(F.col("risk_score") < scoring.MAX_RISK).select("token", "wallet", "risk_score")
