@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from chainsieve.llm.common import buffers, lower_ascii, mix, steps, texts, word_bounds, word_hashes
 
 #: Labelled documents and unlabelled pool that the fit uses, at most about; words that the text view may use; rounds of exchange.
-LABELLED, POOL, WORDS, ROUNDS = 12_000, 8_000, 2_048, 4
+LABELLED, POOL, WORDS, ROUNDS = 8_000, 3_000, 2_048, 4
 #: Share of the pool that a view labels in a round, at most, and how sure it has to be.
 SHARE, SURE = 0.05, 0.98
 #: Hash slots of the metadata view.
@@ -220,7 +220,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, po
                 names=["doc_id", "y", "meta", "shapes", "words"],
             )
 
-    found = sorted(got.mapInArrow(read, "doc_id long, y int, meta array<int>, shapes array<double>, words binary").collect(), key=lambda r: (r["doc_id"] if r["doc_id"] is not None else -1, r["words"]))
+    found = got.mapInArrow(read, "doc_id long, y int, meta array<int>, shapes array<double>, words binary").collect()
+    found.sort(key=lambda r: (r["doc_id"] if r["doc_id"] is not None else -1, r["words"]))
     y = np.array([r["y"] for r in found])
     if not (y == 1).any() or not (y == 0).any():
         return None
@@ -228,8 +229,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, po
     keep = [not ((k := (r["words"], r["y"])) in seen or seen.add(k)) for r in found]
     found, y = [r for r, k in zip(found, keep) if k], y[keep]
     words = [np.frombuffer(r["words"], np.uint64) for r in found]
-    row = np.repeat(np.arange(len(found)), [len(w) for w in words])
-    return co_train((np.array([r["shapes"] for r in found]), row, np.concatenate(words)), np.array([r["meta"] for r in found]), y)
+    shapes, meta = np.array([r["shapes"] for r in found]), np.array([r["meta"] for r in found])
+    row, h = np.repeat(np.arange(len(found), dtype=np.int32), [len(w) for w in words]), np.concatenate(words)
+    del found, words
+    return co_train((shapes, row, h), meta, y)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
