@@ -19,7 +19,8 @@ def folder(t):
 
 
 def live_events(t):
-    events = live.read_rows(t.spark, t.folder, t.raw("events").schema, names="events.parquet")
+    # as a pattern, the path may be one file or a folder of part files
+    events = live.read_rows(t.spark, f"{t.folder}/events.parque[t]", t.raw("events").schema)
     return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -28,10 +29,11 @@ def live_rows(t):
 
 
 def batched_rows(t):
-    """The same rows landed as six files and read two per batch."""
+    """The same rows landed as files, as many as the session's shuffle partitions, and read in three batches."""
     path = f"{folder(t)}/landed"
-    t.events.repartitionByRange(6, "ts").write.parquet(path)
-    return trade_rows(live.read_rows(t.spark, path, t.events.schema, max_files=2))
+    files = 3 * -(-int(t.spark.conf.get("spark.sql.shuffle.partitions")) // 3)
+    t.events.repartitionByRange(files, "ts").write.parquet(path)
+    return trade_rows(live.read_rows(t.spark, path, t.events.schema, max_files=files // 3))
 
 
 @query("live_wallet_signals", """SELECT wallet, count(*) AS trade_count, CAST(sum(CAST(amount_usd AS DECIMAL(18,2))) AS DOUBLE) AS total_volume, count(*) FILTER (WHERE side = 'buy') AS buy_count,

@@ -31,32 +31,42 @@ def newest(rows: DataFrame, n: int, ts: str = "ts", tie: str = "row_id") -> Data
     return rows.orderBy(F.col(ts).desc(), F.col(tie).desc()).limit(n)
 
 
-def stream_drift(rows: DataFrame, names: list[str], folder: str, *, reference_size: int = 1000, current_size: int = 500, reset_on_drift: bool = True, once: bool = False) -> StreamingQuery:
-    """Report per batch whether the newest rows differ from the reference window.
-
-    The reference is the first ``reference_size`` rows; after a detected change
-    the current window takes its place. Columns: ts, row_id, the named features,
-    prediction, performance. Reports land in ``folder``/reports.
+def stream_drift(
+    rows: DataFrame, names: list[str], folder: str, *, reference_size: int | None = None, current_size: int | None = None, least: int = 100,
+    reset_on_drift: bool = True, once: bool = False,
+) -> StreamingQuery:
+    """Report per batch whether its rows differ from the reference window.
+
+    By default windows are whole batches: the reference is all rows of the first
+    batches, until it has ``least`` of them, and every later batch is tested as a whole.
+    ``reference_size`` and ``current_size`` make them row windows: the first rows
+    of the stream, filled up over batches, and the newest rows. After a detected change
+    the current window takes the place of the reference. Columns: ts, row_id, the named
+    features, prediction, performance. Reports land in ``folder``/reports; a batch that
+    only fills the reference has none.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark, prior = batch.sparkSession, f"{folder}/windows/batch={batch_id - 1}"
-        if _exists(spark, prior):
-            old = spark.read.parquet(prior)
-            reference = old.where("is_reference").drop("is_reference")
-            current = newest(old.where("not is_reference").drop("is_reference").unionByName(batch), current_size)
+        old = spark.read.parquet(prior) if _exists(spark, prior) else batch.limit(0).withColumn("is_reference", F.lit(True))
+        reference, waiting = old.where("is_reference").drop("is_reference"), old.where("not is_reference").drop("is_reference")
+        have = reference.count()
+        if reference_size is None:
+            fill = batch if have < least else batch.limit(0)
         else:
-            first = batch.orderBy("ts", "row_id").limit(reference_size)
-            reference = first
-            current = newest(batch.join(first.select("row_id"), "row_id", "left_anti").select(*batch.columns), current_size)
-        both = reference.withColumn("is_reference", F.lit(True)).unionByName(current.withColumn("is_reference", F.lit(False))).persist()
-        report = drift_report(both, [], names).withColumn("ts", F.lit(batch_id)).persist()
-        report.write.mode("overwrite").parquet(f"{folder}/reports/batch={batch_id}")
-        fired = reset_on_drift and report.where("drift_detected").count() > 0
-        kept = both.where("not is_reference").withColumn("is_reference", F.lit(True)) if fired else both
+            fill = batch.orderBy("ts", "row_id").limit(max(0, reference_size - have))
+        fresh = batch.join(fill.select("row_id"), "row_id", "left_anti").select(*batch.columns)
+        current = fresh if current_size is None else newest(waiting.unionByName(fresh), current_size)
+        both = reference.unionByName(fill).withColumn("is_reference", F.lit(True)).unionByName(current.withColumn("is_reference", F.lit(False))).persist()
+        fired = False
+        if both.where("not is_reference").limit(1).count():
+            report = drift_report(both, [], names).withColumn("ts", F.lit(batch_id)).persist()
+            report.write.mode("overwrite").parquet(f"{folder}/reports/batch={batch_id}")
+            fired = reset_on_drift and report.where("drift_detected").count() > 0
+            report.unpersist()
+        kept = both.where("not is_reference").withColumn("is_reference", F.lit(True)) if fired else both if current_size is not None else both.where("is_reference")
         kept.write.mode("overwrite").parquet(f"{folder}/windows/batch={batch_id}")
         both.unpersist()
-        report.unpersist()
 
     writer = rows.writeStream.option("checkpointLocation", f"{folder}/state").foreachBatch(step)
     return (writer.trigger(availableNow=True) if once else writer).start()

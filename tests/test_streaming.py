@@ -103,3 +103,33 @@ def test_filter_rejects_unknown_chain(spark):
     assert live.token_filter(rows(spark, range(12)), token="t0", chain="ethereum").where(F.col("chain") != "ethereum").count() == 0
     with pytest.raises(ValueError):
         live.token_filter(rows(spark, [1]), chain="dogechain")
+
+
+def test_drift_tests_whole_batches_and_fills_its_reference(spark, tmp_path):
+    import time
+
+    from chainsieve.streaming import monitor
+
+    for k, (n, shift) in enumerate([(50, 0.0), (300, 0.0), (300, 0.0), (300, 5.0)]):
+        ts = (F.lit(1_700_000_000 + 10_000 * k) + F.col("id")).cast("timestamp")
+        spark.range(n).select(ts.alias("ts"), (F.col("id") + 1000 * k).alias("row_id"), (F.rand(k) + shift).alias("x"), F.rand(k + 9).alias("prediction"), F.lit(1.0).alias("performance")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)  # files are read in order of their time
+    for name, sizes, first in (("whole", {}, 2), ("rows", {"reference_size": 400, "current_size": 200}, 2)):
+        stream = spark.readStream.schema("ts timestamp, row_id long, x double, prediction double, performance double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        monitor.stream_drift(stream, ["x"], f"{tmp_path}/{name}", once=True, **sizes).awaitTermination()
+        got = {r.batch: r.drift_detected for r in spark.read.parquet(f"{tmp_path}/{name}/reports").collect()}
+        assert got == {2: False, 3: True}, name
+
+
+def test_live_queries_read_a_folder_of_part_files(spark, tmp_path):
+    import os
+
+    from chainsieve.plans.catalog import QUERIES
+
+    source = "/root/testdata/sf0.001"
+    for f in os.listdir(source):
+        if f != "events.parquet":
+            os.symlink(f"{source}/{f}", tmp_path / f)
+    spark.read.parquet(f"{source}/events.parquet").repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("token_filter", "dedup_late"):
+        assert QUERIES[name](spark, str(tmp_path)).count() == QUERIES[name](spark, source).count() > 0
