@@ -89,7 +89,11 @@ def live_wallet_signals(trades: DataFrame) -> DataFrame:
 
 
 def signal_updates(trades: DataFrame, handlers: Mapping[str, Callable[[DataFrame, int], None]], checkpoint: str, *, once: bool = False) -> StreamingQuery:
-    """Hand every batch of changed signals to each named handler. An error in one handler is logged and does not stop the others."""
+    """Hand every batch of changed signals to each named handler.
+
+    An error in one handler does not stop the others; it is logged, and the batch is
+    kept under ``checkpoint``/failed/handler=NAME/batch=ID, from where it can be replayed.
+    """
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
@@ -98,6 +102,7 @@ def signal_updates(trades: DataFrame, handlers: Mapping[str, Callable[[DataFrame
                 handler(batch, batch_id)
             except Exception:
                 log.exception("handler %s failed on batch %d", name, batch_id)
+                batch.write.mode("overwrite").parquet(f"{checkpoint}/failed/handler={name}/batch={batch_id}")
         batch.unpersist()
 
     writer = live_wallet_signals(trades).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(deliver)
@@ -131,8 +136,9 @@ def alert_matches(scores: DataFrame, subscriptions: DataFrame) -> DataFrame:
     ``scores``: token, wallet, probability_2x, probability_10x, risk_score, dev_sells, and
     any other columns. A subscription without thresholds fires on any activity in
     its scope; without token or wallet lists its scope is everything. Rows meet
-    subscriptions in a hash join on (token or any, trigger, value bucket), so no
-    row is compared with every subscription.
+    subscriptions in a hash join on (scope, trigger, value bucket); the scope is a
+    token, else a wallet, else everything, so no row meets a subscription that is
+    limited to other tokens or wallets.
     """
     def trigger(kind: str, column: str, scale: float) -> Column:
         return F.when(F.col(column).isNotNull(), F.struct(F.lit(kind).alias("kind"), F.col(column).cast("double").alias("limit"), _bucket(F.col(column) / scale).alias("low")))
@@ -142,7 +148,8 @@ def alert_matches(scores: DataFrame, subscriptions: DataFrame) -> DataFrame:
         trigger("risk_score", "max_risk_score", 100.0), trigger("dev_sells", "dev_sell_threshold", 100.0)))
     kind_type = "array<struct<kind:string,limit:double,low:int>>"
     activity = F.array(F.struct(F.lit("activity").alias("kind"), F.lit(0.0).alias("limit"), F.lit(0).alias("low")))
-    scope = F.coalesce("token_addresses", F.array(F.lit("*")))
+    named = lambda kind, c: F.transform(c, lambda x: F.concat(F.lit(kind), x.cast("string")))
+    scope = F.coalesce(named("t:", "token_addresses"), named("w:", "wallet_addresses"), F.array(F.lit("*")))
     subs = (
         subscriptions.where("active").select(F.col("id").alias("subscription_id"), "webhook_url", "wallet_addresses", F.explode(F.array_distinct(scope)).alias("scope"),
                                              F.when(F.size(made) > 0, made.cast(kind_type)).otherwise(activity.cast(kind_type)).alias("t"))
@@ -155,7 +162,7 @@ def alert_matches(scores: DataFrame, subscriptions: DataFrame) -> DataFrame:
         return F.when(c.isNotNull(), F.struct(F.lit(kind).alias("kind"), c.alias("value"), _bucket(c / scale).alias("bucket")))
 
     values = F.array_compact(F.array(value("probability_2x", 1.0), value("probability_10x", 1.0), value("risk_score", 100.0), value("dev_sells", 100.0), value("activity", 1.0)))
-    rows = scores.withColumn("v", F.explode(values)).withColumn("scope", F.explode(F.array(F.col("token").cast("string"), F.lit("*")))).select(*scores.columns, "scope", "v.*")
+    rows = scores.withColumn("v", F.explode(values)).withColumn("scope", F.explode(F.array_compact(F.array(F.concat(F.lit("t:"), F.col("token").cast("string")), F.concat(F.lit("w:"), F.col("wallet").cast("string")), F.lit("*"))))).select(*scores.columns, "scope", "v.*")
     fires = F.when(F.col("kind") == "risk_score", F.col("value") > F.col("limit")).otherwise(F.col("value") >= F.col("limit"))
     mine = F.col("wallet_addresses").isNull() | F.array_contains("wallet_addresses", F.col("wallet").cast("string"))
     return rows.join(subs, ["scope", "kind", "bucket"]).where(fires & mine).select(
