@@ -47,4 +47,5 @@ def metric_history(versions: DataFrame, metric: str, tags: list[str] | None = No
 
 def ledger_summary(versions: DataFrame) -> DataFrame:
     """Number of versions, tags in use and the time span of the ledger."""
-    return versions.agg(F.count(F.lit(1)).alias("total_versions"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    tags = versions.select(F.explode("tags").alias("tag")).distinct().agg(F.array_sort(F.collect_list("tag")).alias("tags"))  # one row
+    return versions.agg(F.count(F.lit(1)).alias("total_versions"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).crossJoin(tags)

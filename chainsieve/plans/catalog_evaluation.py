@@ -1,5 +1,7 @@
 """Registered queries: prediction quality, splits, drift, strategy rules and the model ledger."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from chainsieve.operators import drift as dr
@@ -10,6 +12,8 @@ from chainsieve.operators.matching import fifo_match
 from chainsieve.operators.ordered import rank_desc, time_slice
 from chainsieve.operators.wallet import rank_wallets, wallet_metrics
 from chainsieve.plans.registry import query
+from chainsieve.session import checkpoint_dir
+from chainsieve.sources import writers
 from chainsieve.tables import as_of, money
 
 HM = ["horizon", "multiplier"]
@@ -361,6 +365,17 @@ def _(t):
     return lg.metric_history(model_versions(t), "sharpe_ratio", ["2-HIGH"])
 
 
-@query("ledger_summary", f"WITH {MV} SELECT count(*) AS total_versions, min(ts) AS first_ts, max(ts) AS last_ts FROM mv")
+@query("ledger_summary", f"""WITH {MV} SELECT count(*) AS total_versions, min(ts) AS first_ts, max(ts) AS last_ts,
+ (SELECT string_agg(tag, ',' ORDER BY tag) FROM (SELECT DISTINCT unnest([o_orderstatus, o_orderpriority]) AS tag FROM orders)) AS tags FROM mv""")
+def _(t):
+    return lg.ledger_summary(model_versions(t)).withColumn("tags", F.array_join("tags", ","))
+
+
+@query("ledger_append_read", f"WITH {MV} SELECT version_id, ts FROM mv")
 def _(t):
-    return lg.ledger_summary(model_versions(t))
+    """Appended twice, the second time with later times; the newest record of each version is read back."""
+    path = f"{checkpoint_dir(t.spark)}/ledger-{uuid.uuid4().hex}"
+    versions = model_versions(t)
+    writers.ledger_append(versions.withColumn("ts", F.col("ts") - F.expr("INTERVAL 1 DAY")), path)
+    writers.ledger_append(versions, path)
+    return writers.ledger_read(t.spark, path).select("version_id", "ts")

@@ -1,13 +1,18 @@
 """Registered queries: token, holder, pool, social and stored features; risk; reports' parts."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from chainsieve import schemas
 from chainsieve.operators import features as ft
 from chainsieve.operators import risk as rk
 from chainsieve.operators import wallet as w
 from chainsieve.operators.matching import fifo_match
 from chainsieve.plans.catalog_wallet import SANDWICH, TIMING, WASH
 from chainsieve.plans.registry import query
+from chainsieve.session import checkpoint_dir
+from chainsieve.sources import writers
 from chainsieve.tables import as_of, money
 
 NOW = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -247,6 +252,22 @@ def _(t):
     return h.groupBy("entity_id").agg(F.count(F.lit(1)).alias("snapshots"))
 
 
+@query("features_written_read", """SELECT CAST(wallet AS VARCHAR) AS entity_id, count(*) AS snapshots, round(sum(amount_usd), 4) AS usd FROM v_trades
+ WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-13 00:00:00' GROUP BY 1""", digits=4)
+def _(t):
+    """Snapshots appended by day and the days of a range read back."""
+    path = f"{checkpoint_dir(t.spark)}/features-{uuid.uuid4().hex}"
+    writers.write_features(snapshots(t), path)
+    back = writers.read_features(t.spark, path, "2024-01-05", "2024-01-12")
+    return back.groupBy("entity_id").agg(F.count(F.lit(1)).alias("snapshots"), F.sum(money(F.try_element_at("features", F.lit("usd")))).cast("double").alias("usd"))
+
+
+@query("range_violations", "SELECT count(*) FILTER (WHERE p < 0 OR p > 1) AS probability, count(*) FILTER (WHERE r < 0 OR r > 100) AS risk_score FROM (SELECT l_quantity / 40.0 AS p, l_quantity * 3 - 10 AS r FROM lineitem)")
+def _(t):
+    rows = t.raw("lineitem").select((F.col("l_quantity") / 40.0).alias("probability"), (F.col("l_quantity") * 3 - 10).alias("risk_score"))
+    return schemas.range_violations(rows)
+
+
 @query("feature_store_stats", "SELECT count(DISTINCT wallet) AS total_entities, count(*) AS total_entries, round(count(*) / count(DISTINCT wallet), 6) AS avg_entries_per_entity FROM v_trades")
 def _(t):
     return ft.feature_store_stats(snapshots(t))
