@@ -32,7 +32,7 @@ from chainsieve.operators.graph import connected_components
 #: Shingles per byte of text, about.
 DENSITY = 1 / 6
 #: Bits of a shingle's hash that its key keeps behind the rarity.
-KEY_BITS = 43
+KEY_BITS = 51
 RARITIES = 31
 
 
