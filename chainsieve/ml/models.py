@@ -6,7 +6,8 @@ Spark ML fit over it. What reaches the driver is the fitted model.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -15,9 +16,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 MODEL_WEIGHTS = {"booster": 0.4, "logistic": 0.4}
 MISSING = 0.05  # probability of a key without a model
+AT_ONCE = 8  # fits that run at a time; a fit is a long row of short jobs, most of them waiting
 RISK_COMPONENTS = ("rug_risk", "dev_risk", "distribution_risk", "social_risk", "liquidity_risk")
 Key = tuple[str, str]
 
@@ -37,7 +40,14 @@ def score(model: Model, rows: DataFrame, name: str) -> DataFrame:
     return model.transform(rows).withColumn(name, positive(model)).drop("rawPrediction", "probability", "prediction")
 
 
-def learners(trees: int = 50, depth: int = 6, rate: float = 0.05, seed: int = 42) -> dict[str, Estimator]:
+def fit_all(spark: SparkSession, fits: Mapping[object, Callable[[], Model]], at_once: int = AT_ONCE) -> dict:
+    """Results of independent fits by name, several at a time."""
+    with ThreadPool(max(1, min(at_once, len(fits)))) as pool:
+        waiting = {k: pool.apply_async(inheritable_thread_target(spark)(fit)) for k, fit in fits.items()}
+        return {k: w.get() for k, w in waiting.items()}
+
+
+def learners(trees: int = 200, depth: int = 6, rate: float = 0.05, seed: int = 42) -> dict[str, Estimator]:
     return {
         "booster": GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, seed=seed),
         "logistic": LogisticRegression(maxIter=100, regParam=1e-4),
@@ -48,14 +58,13 @@ def learners(trees: int = 50, depth: int = 6, rate: float = 0.05, seed: int = 42
 def train_heatmap_models(training: DataFrame, names: list[str], keys: Iterable[Key], *, make=learners) -> dict[Key, dict[str, Model]]:
     """One set of models per (horizon, multiplier) with a label column ``{horizon}_{multiplier}``; keys without one are skipped."""
     rows = assemble(training, names).persist()
-    out: dict[Key, dict[str, Model]] = {}
+    keys, fits = [(h, m) for h, m in keys if f"{h}_{m}" in training.columns], {}
     for h, m in keys:
-        if f"{h}_{m}" not in training.columns:
-            continue
         labelled = rows.select("features", F.col(f"{h}_{m}").cast("double").alias("label")).where(F.col("label").isNotNull())
-        out[(h, m)] = {name: est.fit(labelled) for name, est in make().items()}
+        fits |= {(h, m, name): (lambda est=est, labelled=labelled: est.fit(labelled)) for name, est in make().items()}
+    fitted = fit_all(training.sparkSession, fits)
     rows.unpersist()
-    return out
+    return {(h, m): {k[2]: model for k, model in fitted.items() if k[:2] == (h, m)} for h, m in keys}
 
 
 def predict_heatmap(rows: DataFrame, names: list[str], ids: list[str], models: Mapping[Key, Mapping[str, Model]], keys: Iterable[Key], weights: Mapping[str, float] = MODEL_WEIGHTS) -> DataFrame:
@@ -77,15 +86,16 @@ def mean_heatmap(predictions: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- risk
-def train_risk_models(training: DataFrame, names: list[str], *, boosted: bool = True, trees: int = 50, seed: int = 42) -> dict[str, Model]:
+def train_risk_models(training: DataFrame, names: list[str], *, boosted: bool = True, trees: int = 100, seed: int = 42) -> dict[str, Model]:
     rows = assemble(training, names).persist()
-    out = {}
+    fits = {}
     for c in RISK_COMPONENTS:
         if c not in training.columns:
             continue
         labelled = rows.select("features", F.col(c).cast("double").alias("label")).where(F.col("label").isNotNull())
         est = GBTRegressor(maxIter=trees, maxDepth=5, stepSize=0.1, subsamplingRate=0.8, seed=seed) if boosted else LinearRegression(regParam=1.0, elasticNetParam=0.0)
-        out[c] = est.fit(labelled)
+        fits[c] = lambda est=est, labelled=labelled: est.fit(labelled)
+    out = fit_all(training.sparkSession, fits)
     rows.unpersist()
     return out
 
@@ -106,13 +116,17 @@ def stack_models(rows: DataFrame, names: list[str], row_id: str, *, cv: int = 5,
     rows are partitioned.
     """
     data = assemble(rows, names).select(row_id, "features", F.col("label").cast("double").alias("label"), F.pmod(F.xxhash64(row_id), F.lit(cv)).alias("fold")).persist()
-    oof = None
+    fits = {}
+    for k in [*range(cv), None]:
+        part = data if k is None else data.where(F.col("fold") != k)
+        fits |= {(k, name): (lambda est=est, part=part: est.fit(part)) for name, est in make().items()}
+    fitted, oof = fit_all(rows.sparkSession, fits), None
+    base = {name: model for (k, name), model in fitted.items() if k is None}
     for k in range(cv):
         held = data.where(F.col("fold") == k)
-        for name, est in make().items():
-            held = score(est.fit(data.where(F.col("fold") != k)), held, name)
+        for name in base:
+            held = score(fitted[(k, name)], held, name)
         oof = held if oof is None else oof.unionByName(held)
-    base = {name: est.fit(data) for name, est in make().items()}
     meta = LogisticRegression(maxIter=50).fit(assemble(oof.drop("features"), list(base)))
     data.unpersist()
     return base, meta

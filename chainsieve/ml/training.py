@@ -21,7 +21,12 @@ def training_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def walk_forward_train(rows: DataFrame, names: list[str], order: list[str], *, n_splits: int = 5, gap: int = 7, make=models.learners) -> DataFrame:
+def fold_learners():
+    """The learners of a time-ordered fold: 100 trees of depth 6 at a rate of 0.1."""
+    return models.learners(trees=100, rate=0.1)
+
+
+def walk_forward_train(rows: DataFrame, names: list[str], order: list[str], *, n_splits: int = 5, gap: int = 7, make=fold_learners) -> DataFrame:
     """Out-of-sample predictions: rows (split, model, probability, outcome) over expanding, time-ordered folds.
 
     ``rows`` has ``label``. Row numbers come from a sliced running count, and the
@@ -31,14 +36,16 @@ def walk_forward_train(rows: DataFrame, names: list[str], order: list[str], *, n
     data = models.assemble(numbered, names).select("features", F.col("label").cast("double").alias("label"), (F.col("__i") - 1).alias("i")).persist()
     n = data.count()
     size = n // (n_splits + 1)
-    out = None
-    for k in range(n_splits):
-        start = n - (n_splits - k) * size
-        train, test = data.where(F.col("i") < start - gap), data.where((F.col("i") >= start) & (F.col("i") < start + size))
-        names_ = list(make())
-        scored = test
-        for name, est in make().items():
-            scored = models.score(est.fit(train.select("features", "label")), scored, name)
+    fits, out, names_ = {}, None, list(make())
+    starts = [n - (n_splits - k) * size for k in range(n_splits)]
+    for k, start in enumerate(starts):
+        train = data.where(F.col("i") < start - gap).select("features", "label")
+        fits |= {(k, name): (lambda est=est, train=train: est.fit(train)) for name, est in make().items()}
+    fitted = models.fit_all(rows.sparkSession, fits)
+    for k, start in enumerate(starts):
+        scored = data.where((F.col("i") >= start) & (F.col("i") < start + size))
+        for name in names_:
+            scored = models.score(fitted[(k, name)], scored, name)
         every = F.array(*[F.struct(F.lit(x).alias("model"), F.col(x).alias("probability")) for x in names_],
                         F.struct(F.lit("ensemble").alias("model"), (sum((F.col(x) for x in names_), F.lit(0.0)) / len(names_)).alias("probability")))
         long = scored.select(F.lit(k).alias("split"), F.explode(every).alias("m"), F.col("label").cast("int").alias("outcome")).select("split", "m.*", "outcome")

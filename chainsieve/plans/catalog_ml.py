@@ -5,20 +5,15 @@ import uuid
 from pyspark.sql import functions as F
 
 from chainsieve.ml import calibration, models, training
-from chainsieve.operators.labels import outcome_labels, training_join
+from chainsieve.operators.labels import HORIZONS, MULTIPLIERS, outcome_labels, training_join
 from chainsieve.plans.catalog_evaluation import WF, _metrics_sql
 from chainsieve.plans.registry import query
 from chainsieve.session import checkpoint_dir
 
-KEYS = [("24h", "2x"), ("7d", "5x")]
+KEYS = [(h, m) for h in HORIZONS for m in MULTIPLIERS]
 NAMES = ["price", "liquidity_usd", "volume_24h"]
 
 
-def small():
-    """Few, shallow trees: registered runs show the plan, not the best model."""
-    return models.learners(trees=5, depth=3)
-
-
 def folder(t):
     return f"{checkpoint_dir(t.spark)}/models-{uuid.uuid4().hex}"
 
@@ -26,7 +21,7 @@ def folder(t):
 def labelled(t):
     """Labelled price points with their market values; written once, as every fit reads it."""
     path = f"{folder(t)}/training"
-    wide = training_join(outcome_labels(t.prices, horizons=("24h", "7d"), multipliers=("2x", "5x")), t.prices.select("token").distinct(), ("2x", "5x"), ("24h", "7d"))
+    wide = training_join(outcome_labels(t.prices, horizons=HORIZONS, multipliers=MULTIPLIERS), t.prices.select("token").distinct(), MULTIPLIERS, HORIZONS)
     wide.join(t.prices, ["token", "ts"]).write.parquet(path)
     return t.spark.read.parquet(path), path
 
@@ -41,26 +36,27 @@ TRADE_NAMES = ["amount_usd", "gas_price", "amount_tokens", "token_age_hours"]
 @query("train_heatmap_models")
 def _(t):
     rows, _ = labelled(t)
-    fitted = models.train_heatmap_models(rows, NAMES, KEYS, make=small)
+    fitted = models.train_heatmap_models(rows, NAMES, KEYS)
     out = folder(t)
     models.save_models(t.spark, fitted, NAMES, out)
     again, names = models.load_models(t.spark, out)
-    return models.predict_heatmap(rows, names, ["token", "ts"], again, [*KEYS, ("30d", "50x")])
+    return models.predict_heatmap(rows, names, ["token", "ts"], again, [*KEYS, ("90d", "2x")])
 
 
 @query("predict_heatmap_mean")
 def _(t):
     rows, _ = labelled(t)
-    return models.mean_heatmap(models.predict_heatmap(rows, NAMES, ["token", "ts"], models.train_heatmap_models(rows, NAMES, KEYS, make=small), KEYS))
+    return models.mean_heatmap(models.predict_heatmap(rows, NAMES, ["token", "ts"], models.train_heatmap_models(rows, NAMES, KEYS), KEYS))
 
 
 @query("train_risk_models")
 def _(t):
-    k = F.col("c_custkey")
-    rows = t.raw("customer").select(k.alias("token"), F.col("c_acctbal").alias("x1"), F.col("c_nationkey").alias("x2"), (k % 100).cast("double").alias("rug_risk"), (F.col("c_acctbal") / 100.0).alias("dev_risk"))
-    fitted = models.train_risk_models(rows, ["x1", "x2"], boosted=False)
-    boosted = models.train_risk_models(rows.drop("dev_risk"), ["x1", "x2"], trees=5)
-    return models.predict_risk(rows, ["x1", "x2"], ["token"], {"dev_risk": fitted["dev_risk"], "rug_risk": boosted["rug_risk"]})
+    k, names = F.col("c_custkey"), ["x1", "x2"]
+    targets = {"rug_risk": (k % 100).cast("double"), "dev_risk": F.col("c_acctbal") / 100.0, "distribution_risk": F.col("c_nationkey") * 4.0, "social_risk": (k % 7) * 15.0, "liquidity_risk": F.abs(F.col("c_acctbal")) / 120.0}
+    rows = t.raw("customer").select(k.alias("token"), F.col("c_acctbal").alias("x1"), F.col("c_nationkey").alias("x2"), *[v.alias(c) for c, v in targets.items()])
+    boosted = models.predict_risk(rows, names, ["token"], models.train_risk_models(rows, names))
+    linear = models.predict_risk(rows, names, ["token"], models.train_risk_models(rows, names, boosted=False))
+    return boosted.join(linear.select("token", *[F.col(c).alias(f"{c}_linear") for c in targets]), "token")
 
 
 @query("calibration_isotonic")
@@ -80,34 +76,34 @@ def _(t):
 @query("stack_models")
 def _(t):
     rows = trades_with_label(t)
-    base, meta = models.stack_models(rows, TRADE_NAMES, "trade_id", cv=2, make=small)
+    base, meta = models.stack_models(rows, TRADE_NAMES, "trade_id")
     return models.predict_stacked(rows, TRADE_NAMES, base, meta).select("trade_id", "booster", "logistic", "stacked")
 
 
 @query("route_models")
 def _(t):
     rows = trades_with_label(t)
-    data = models.assemble(rows, TRADE_NAMES)
-    base = {name: est.fit(data) for name, est in small().items()}
-    router = models.route_models(rows, TRADE_NAMES, base, trees=5)
+    data = models.assemble(rows, TRADE_NAMES).persist()
+    base = {name: est.fit(data) for name, est in models.learners().items()}
+    router = models.route_models(rows, TRADE_NAMES, base)
     return models.predict_routed(rows, TRADE_NAMES, base, router).select("trade_id", "route", "routed")
 
 
 @query("walk_forward_train")
 def _(t):
-    return training.training_metrics(training.walk_forward_train(trades_with_label(t), TRADE_NAMES, ["ts", "trade_id"], n_splits=2, make=small))
+    return training.training_metrics(training.walk_forward_train(trades_with_label(t), TRADE_NAMES, ["ts", "trade_id"]))
 
 
 @query("feature_importance")
 def _(t):
-    model = small()["booster"].fit(models.assemble(trades_with_label(t), TRADE_NAMES))
+    model = models.learners()["booster"].fit(models.assemble(trades_with_label(t), TRADE_NAMES))
     return models.feature_importance(t.spark, model, TRADE_NAMES)
 
 
 @query("train_job")
 def _(t):
     _, path = labelled(t)
-    return training.train_job(t.spark, path, folder(t), names=NAMES, horizons=("24h", "7d"), multipliers=("2x",), make=small)
+    return training.train_job(t.spark, path, folder(t), names=NAMES)
 
 
 @query("backtest_job", f"WITH {WF}, {_metrics_sql('wx', '')}")

@@ -85,3 +85,52 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = queries()["scan_wallet_trades"](spark, TINY)._jdf.queryExecution().toString()
     read = re.search(r"ReadSchema: struct<([^>]*)>", plan).group(1)
     assert "PushedFilters: [" in plan and "GreaterThanOrEqual(ts" in plan and "value" not in read
+
+
+def test_registered_fits_are_whole(tables, monkeypatch):
+    """Keys, components, folds and trees that the registered model queries ask for, without fitting them."""
+    import inspect
+
+    from chainsieve.plans import catalog_ml
+
+    assert len(set(catalog_ml.KEYS)) == 15
+    booster = models.learners()["booster"]
+    assert (booster.getMaxIter(), booster.getMaxDepth()) == (200, 6)
+    fold = training.fold_learners()["booster"]
+    assert (fold.getMaxIter(), fold.getMaxDepth(), fold.getStepSize()) == (100, 6, 0.1)
+    asked = {}
+
+    class Asked(Exception):
+        pass
+
+    def spy(module, name):
+        real = inspect.signature(getattr(module, name))
+
+        def stop(*args, **kwargs):
+            call = real.bind(*args, **kwargs)
+            call.apply_defaults()
+            asked[name] = call.arguments
+            raise Asked
+
+        monkeypatch.setattr(module, name, stop)
+
+    for module, name in ((models, "train_heatmap_models"), (models, "train_risk_models"), (models, "stack_models"), (training, "walk_forward_train"), (training, "train_job")):
+        spy(module, name)
+    for name in ("train_heatmap_models", "train_risk_models", "stack_models", "walk_forward_train", "train_job"):
+        with pytest.raises(Asked):
+            queries()[name](tables.spark, TINY)
+    heat = asked["train_heatmap_models"]
+    assert len(heat["keys"]) == 15 and heat["make"]()["booster"].getMaxIter() == 200
+    assert {f"{h}_{m}" for h, m in heat["keys"]} <= set(heat["training"].columns)
+    risk = asked["train_risk_models"]
+    assert risk["trees"] == 100 and set(models.RISK_COMPONENTS) <= set(risk["training"].columns)
+    assert asked["stack_models"]["cv"] == 5 and asked["stack_models"]["make"]()["booster"].getMaxIter() == 200
+    assert asked["walk_forward_train"]["n_splits"] == 5 and asked["walk_forward_train"]["make"]()["booster"].getMaxIter() == 100
+    job = asked["train_job"]
+    assert len(job["horizons"]) * len(job["multipliers"]) == 15 and job["make"]()["booster"].getMaxIter() == 200
+
+
+def test_risk_components_fit_side_by_side(spark):
+    rows = spark.range(60).selectExpr("id AS token", "CAST(id AS double) AS x", *[f"CAST(id % {i + 2} * 10 AS double) AS {c}" for i, c in enumerate(models.RISK_COMPONENTS)])
+    out = models.predict_risk(rows, ["x"], ["token"], models.train_risk_models(rows, ["x"], trees=2))
+    assert set(out.columns) == {"token", *models.RISK_COMPONENTS} and out.count() == 60
