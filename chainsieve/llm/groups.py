@@ -34,9 +34,9 @@ class Groups:
     bytes: int
     count: int
 
-    def buckets(self, values_per_byte: float, per_bucket: int = 1 << 20) -> int:
-        """A power of two: buckets of about ``per_bucket`` values, yet rows of some dozens of values and more."""
-        most = max(1.0, GROUP_BYTES * values_per_byte / 64)
+    def buckets(self, values_per_byte: float, per_bucket: int = 1 << 20, packed: int = 64) -> int:
+        """A power of two: buckets of about ``per_bucket`` values, yet rows of ``packed`` values and more; 0 lets the buckets grow with the input."""
+        most = max(1.0, GROUP_BYTES * values_per_byte / packed) if packed else math.inf
         wanted = max(float(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), self.bytes * values_per_byte / per_bucket)
         return 1 << max(0, math.ceil(math.log2(min(wanted, most))))
 
@@ -106,9 +106,9 @@ class Asked:
         return np.searchsorted(cuts, np.arange(self.buckets + 1, dtype=np.uint64) << np.uint64(self.bits))
 
     @staticmethod
-    def of(groups: Groups, values_per_byte: float, spare_bits: int, per_bucket: int = 1 << 20) -> Asked:
+    def of(groups: Groups, values_per_byte: float, spare_bits: int, per_bucket: int = 1 << 20, packed: int = 64) -> Asked:
         """Enough bits that a value meets a foreign one by chance once in 2^spare_bits."""
-        buckets = groups.buckets(values_per_byte, per_bucket)
+        buckets = groups.buckets(values_per_byte, per_bucket, packed)
         total = math.ceil(math.log2(max(2.0, groups.bytes * values_per_byte))) + spare_bits
         top = buckets.bit_length() - 1
         return Asked(buckets, min(62 - top, max(8, total - top)))
@@ -140,8 +140,11 @@ def questions(asked: Asked, g: int, cuts: np.ndarray, flags: np.ndarray) -> pa.T
     )
 
 
-def shared_values(table: pa.Table) -> pa.Table:
-    """One bit per value asked: it is indexed somewhere, and two owners or two groups have it."""
+def shared_values(table: pa.Table, *, hot: int | None = None) -> pa.Table:
+    """One bit per value asked: it is indexed somewhere, and two owners or two groups have it.
+
+    With ``hot``, whole bytes of bits follow that say whether more than so many groups have it.
+    """
     payloads = [unpack_sorted(bytes_of(x)) for x in table.column("payload")]
     lengths = np.array([len(x) for x in payloads])
     merged = np.concatenate(payloads) if payloads else np.zeros(0, np.uint64)
@@ -151,23 +154,31 @@ def shared_values(table: pa.Table) -> pa.Table:
     new = np.ones(len(v), bool)
     new[1:] = v[1:] != v[:-1]
     at = np.flatnonzero(new)
+    many = np.zeros(len(v), bool)
     if len(at):
         f = np.bitwise_or.reduceat(flags[order], at)
         shared = ((f & np.uint64(1)) > 0) & ((np.diff(at, append=len(v)) > 1) | ((f & np.uint64(2)) > 0))
         answer = np.zeros(len(v), bool)
-        answer[order] = np.repeat(shared, np.diff(at, append=len(v)))
+        n = np.diff(at, append=len(v))
+        answer[order] = np.repeat(shared, n)
+        if hot is not None:
+            many[order] = np.repeat(n > hot, n)
     else:
         answer = np.zeros(0, bool)
-    bits = [np.packbits(x).tobytes() for x in np.split(answer, np.cumsum(lengths)[:-1])] if payloads else []
+    cuts = np.cumsum(lengths)[:-1]
+    bits = [np.packbits(x).tobytes() for x in np.split(answer, cuts)] if payloads else []
+    if hot is not None and payloads:
+        bits = [a + np.packbits(x).tobytes() for a, x in zip(bits, np.split(many, cuts))]
     return pa.table({"g": table.column("g").cast(pa.int32()), "bucket": table.column("bucket").cast(pa.int64()), "payload": pa.array(bits, pa.binary())})
 
 
-def answers(table: pa.Table, asked: Asked, cuts: np.ndarray) -> np.ndarray:
-    """The bits for ascending distinct cut hashes, as this group asked about them."""
+def answers(table: pa.Table, asked: Asked, cuts: np.ndarray, hot: bool = False) -> np.ndarray:
+    """The bits for ascending distinct cut hashes, as this group asked about them; with ``hot``, the second ones."""
     edges = asked.split(cuts)
     out = np.zeros(len(cuts), bool)
     for b, payload in zip(table.column("bucket").to_pylist(), table.column("payload")):
-        out[edges[b] : edges[b + 1]] = np.unpackbits(bytes_of(payload), count=int(edges[b + 1] - edges[b])).astype(bool)
+        n = int(edges[b + 1] - edges[b])
+        out[edges[b] : edges[b + 1]] = np.unpackbits(bytes_of(payload)[(n + 7) // 8 if hot else 0 :], count=n).astype(bool)
     return out
 
 

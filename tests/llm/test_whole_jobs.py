@@ -9,8 +9,12 @@ import pyarrow as pa
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from chainsieve.llm import quality  # noqa: E402
+import helpers as H  # noqa: E402
+import pyarrow.compute  # noqa: E402
+
+from chainsieve.llm import quality, suffixes  # noqa: E402
 from chainsieve.llm.common import buffers, lower_ascii, word_bounds, word_hashes  # noqa: E402
+from chainsieve.llm.groups import Asked, Groups, in_order, shared_values  # noqa: E402
 
 
 def hashes(word):
@@ -41,3 +45,46 @@ def test_words_of_unlabelled_documents_reach_the_text_view(spark):
     assert weight["novelgood"] > 0 > weight["novelbad"]
     seen = quality.exchange(docs.select("doc_id", "text", *quality.metadata("meta")), model, (np.array([1.0, 0.0]), np.array([50.0, 0.0])), model.words, 10)
     assert seen.documents.sum() > 5900  # a teacher that is sure of all labels all, not a share or a sample of them
+
+
+def test_hot_anchor_is_spread(spark):
+    """A passage in documents that differ around it: they do not all meet in one bucket."""
+    rng = random.Random(5)
+    say = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    n, passage, asked = 80, say(260), Asked(64, 50)
+    tables = [in_order(pa.table({"doc_id": pa.array(range(g * n, g * n + n), pa.int64()), "text": [say(150) + passage + say(150) for _ in range(n)]})) for g in (0, 1)]
+
+    def answered(rows, g, work):
+        parts = [work(rows.filter(pa.compute.equal(rows.column("bucket"), b))) for b in sorted(set(rows.column("bucket").to_pylist()))]
+        return pa.concat_tables([t.filter(pa.compute.equal(t.column("g"), g)) for t in parts])
+
+    def most(hot):
+        anchors = pa.concat_tables([suffixes._ask(100, asked)(g, t) for g, t in enumerate(tables)])
+        asks = pa.concat_tables([suffixes._ask_windows(100, asked, asked)(g, t, answered(anchors, g, lambda rows: shared_values(rows, hot=hot))) for g, t in enumerate(tables)])
+        load = {}
+        for g, t in enumerate(tables):
+            sent = suffixes._send(100, asked, asked)(g, t, answered(asks, g, suffixes._shared_windows))
+            for b, payload in zip(sent.column("bucket").to_pylist(), sent.column("payload").to_pylist()):
+                if b >= 0:
+                    load[b] = load.get(b, 0) + int(np.frombuffer(payload[8:16], np.int64)[0])
+        return max(load.values())
+
+    assert most(hot=1 << 30) > 1.5 * n  # by anchor: a stretch of nearly every document in one bucket
+    assert 0 < most(hot=1) < n // 2
+
+
+def test_hot_anchors_leave_the_result_as_it_is(spark):
+    rows = H.odd_documents(3)
+    docs = spark.createDataFrame(rows, H.DOCS).repartition(5)
+    some = lambda df: sorted(map(str, df.collect()))
+    assert some(suffixes.dedup_bytes(docs, hot=0)) == some(suffixes.dedup_bytes(docs, hot=1 << 30))
+
+
+def test_buckets_of_suffixes_grow_with_the_input():
+    class Docs:
+        class sparkSession:  # noqa: N801
+            class conf:  # noqa: N801
+                get = staticmethod(lambda name: "12")
+
+    at = lambda size: Asked.of(Groups(Docs, size, 1), 2 / 78, 9, suffixes.PER_BUCKET, packed=0).buckets
+    assert at(1 << 44) == 16 * at(1 << 40) > 1 << 18
