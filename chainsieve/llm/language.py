@@ -265,8 +265,9 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel |
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``accepted`` behind its own columns.
 
-    Null text or one without a letter: ``und``, score 0, not accepted; so is every
-    text if there is no model. The prediction reads the text alone.
+    Null text or one without a letter: ``und``, score 0, not accepted. Without a model
+    nothing can be rejected by it: every text with a letter is ``und``, score 0, and
+    accepted. The prediction reads the text alone.
     """
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(model)  # at most 256^4 runs in theory; some 10^5 for a sample of bounded size
@@ -279,10 +280,8 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 found = [t if t and any(map(str.isalpha, t)) else None for t in part.column(at).to_pylist()]
-                if model is None:
-                    found = [None] * len(found)
-                best, score, accepted = model.predict(found) if model else (np.zeros(len(found), int), np.zeros(len(found)), np.zeros(len(found), bool))
-                names = [model.languages[b] if t else "und" for b, t in zip(best, found)]
+                best, score, accepted = model.predict(found) if model else (np.zeros(len(found), int), np.zeros(len(found)), np.ones(len(found), bool))
+                names = [model.languages[b] if t and model else "und" for b, t in zip(best, found)]
                 has = np.array([t is not None for t in found])
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(names, pa.string()), pa.array(np.where(has, score, 0.0)), pa.array(accepted & has)],

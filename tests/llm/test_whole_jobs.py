@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import helpers as H  # noqa: E402
 import pyarrow.compute  # noqa: E402
 
-from chainsieve.llm import quality, suffixes  # noqa: E402
+from chainsieve.llm import language, quality, suffixes  # noqa: E402
 from chainsieve.llm.common import buffers, lower_ascii, word_bounds, word_hashes  # noqa: E402
 from chainsieve.llm.groups import Asked, Groups, in_order, shared_values  # noqa: E402
 
@@ -88,3 +88,10 @@ def test_buckets_of_suffixes_grow_with_the_input():
 
     at = lambda size: Asked.of(Groups(Docs, size, 1), 2 / 78, 9, suffixes.PER_BUCKET, packed=0).buckets
     assert at(1 << 44) == 16 * at(1 << 40) > 1 << 18
+
+
+def test_without_a_language_model_no_text_is_rejected(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "1234", None), (3, None, None)], "doc_id long, text string, lang string")
+    model = language.train(docs)
+    got = {r.doc_id: (r.lang_pred, r.score, r.accepted) for r in language.identify(docs, model).collect()}
+    assert model is None and got == {1: ("und", 0.0, True), 2: ("und", 0.0, False), 3: ("und", 0.0, False)}
