@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainsieve.llm import bpe, chat, jaccard, language, mixing, neighbours, passages, quality, suffixes, topk
+from chainsieve.llm import alignment, bpe, chat, jaccard, language, mixing, neighbours, passages, quality, suffixes, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -75,3 +75,8 @@ def op10_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_quality_classifier")
 def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op11_cross_tokenizer_alignment")
+def op11_cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.alignment_counts(table(spark, folder, "documents"))
