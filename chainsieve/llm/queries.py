@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainsieve.llm import alignment, bpe, chat, jaccard, language, mixing, neighbours, passages, quality, suffixes, topk
+from chainsieve.llm import alignment, bpe, chat, jaccard, language, mixing, negatives, neighbours, passages, quality, simhash, suffixes, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -80,3 +80,15 @@ def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_cross_tokenizer_alignment")
 def op11_cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.alignment_counts(table(spark, folder, "documents"))
+
+
+@query("op12_simhash_near_dedup")
+def op12_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op13_hard_negatives", negatives.NEGATIVES_SQL)
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", label), F.col("id") % 100 == 0)
