@@ -1,7 +1,8 @@
-"""Distributed fits of the probability heatmap, risk components, stacks and routers.
+"""Fits of the probability heatmap, risk components, stacks and routers.
 
-Features are assembled and kept once per training set; each key or fold is a
-Spark ML fit over it. What reaches the driver is the fitted model.
+Boosted learners of all keys, components or folds are one job (``boosting``); a fitted
+set of them is a table of trees. Linear models, meta models and routers are Spark ML
+fits over features that are assembled and kept once per training set.
 """
 
 from __future__ import annotations
@@ -9,16 +10,20 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml import Model
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
-MODEL_WEIGHTS = {"booster": 0.4, "logistic": 0.4}
+from chainsieve.ml import boosting
+from chainsieve.ml.boosting import Booster
+from chainsieve.session import cut_lineage
+
+MODEL_WEIGHTS = {"booster": 0.4, "leafwise": 0.4}
 MISSING = 0.05  # probability of a key without a model
 AT_ONCE = 8  # fits that run at a time; a fit is a long row of short jobs, most of them waiting
 RISK_COMPONENTS = ("rug_risk", "dev_risk", "distribution_risk", "social_risk", "liquidity_risk")
@@ -47,35 +52,30 @@ def fit_all(spark: SparkSession, fits: Mapping[object, Callable[[], Model]], at_
         return {k: w.get() for k, w in waiting.items()}
 
 
-def learners(trees: int = 200, depth: int = 6, rate: float = 0.05, seed: int = 42) -> dict[str, Estimator]:
+def learners(trees: int = 200, depth: int = 6, rate: float = 0.05, seed: int = 42) -> dict[str, Booster]:
+    """Two boosted learners: trees grown level by level, and trees grown at the leaf that gains most."""
     return {
-        "booster": GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, seed=seed),
-        "logistic": LogisticRegression(maxIter=100, regParam=1e-4),
+        "booster": Booster(trees=trees, depth=depth, rate=rate, seed=seed),
+        "leafwise": Booster(trees=trees, depth=depth, rate=rate, leaves=31, least_rows=20, least_weight=1e-3, penalty=0.0, bins=255, seed=seed + 1),
     }
 
 
 # ---------------------------------------------------------------- heatmap
-def train_heatmap_models(training: DataFrame, names: list[str], keys: Iterable[Key], *, make=learners) -> dict[Key, dict[str, Model]]:
-    """One set of models per (horizon, multiplier) with a label column ``{horizon}_{multiplier}``; keys without one are skipped."""
-    rows = assemble(training, names).persist()
-    keys, fits = [(h, m) for h, m in keys if f"{h}_{m}" in training.columns], {}
-    for h, m in keys:
-        labelled = rows.select("features", F.col(f"{h}_{m}").cast("double").alias("label")).where(F.col("label").isNotNull())
-        fits |= {(h, m, name): (lambda est=est, labelled=labelled: est.fit(labelled)) for name, est in make().items()}
-    fitted = fit_all(training.sparkSession, fits)
-    rows.unpersist()
-    return {(h, m): {k[2]: model for k, model in fitted.items() if k[:2] == (h, m)} for h, m in keys}
+def train_heatmap_models(training: DataFrame, names: list[str], keys: Iterable[Key], *, make=learners, row_id: Iterable[str] = ()) -> DataFrame:
+    """Trees for every (horizon, multiplier) with a label column ``{horizon}_{multiplier}``, all in one job; keys without one are skipped."""
+    targets = [f"{h}_{m}" for h, m in keys if f"{h}_{m}" in training.columns]
+    return cut_lineage(boosting.fit(training, names, targets, make(), row_id=list(row_id)))
 
 
-def predict_heatmap(rows: DataFrame, names: list[str], ids: list[str], models: Mapping[Key, Mapping[str, Model]], keys: Iterable[Key], weights: Mapping[str, float] = MODEL_WEIGHTS) -> DataFrame:
-    """Long rows (ids, horizon, multiplier, probability): weighted mean of the available models, in one pass over the rows."""
-    wide, cells = assemble(rows, names).select(*ids, "features"), []
+def predict_heatmap(rows: DataFrame, names: list[str], ids: list[str], trees: DataFrame, keys: Iterable[Key], weights: Mapping[str, float] = MODEL_WEIGHTS) -> DataFrame:
+    """Long rows (ids, horizon, multiplier, probability): weighted mean of the key's learners, in one pass over the rows."""
+    model, keys = boosting.load(trees), list(keys)
+    outputs = {f"{target}_{learner}": (target, learner) for target, learner in model if target in {f"{h}_{m}" for h, m in keys}}
+    wide, cells = boosting.predict(rows.select(*dict.fromkeys([*ids, *names])), names, model, outputs), []
     for h, m in keys:
-        fitted = models.get((h, m), {})
-        for name, model in fitted.items():
-            wide = score(model, wide, f"{h}_{m}_{name}")
-        total = sum(weights.get(n, 0.4) for n in fitted)
-        p = sum((F.col(f"{h}_{m}_{n}") * (weights.get(n, 0.4) / total) for n in fitted), F.lit(0.0)) if fitted else F.lit(MISSING)
+        own = [learner for target, learner in model if target == f"{h}_{m}"]
+        total = sum(weights.get(n, 0.4) for n in own)
+        p = sum((F.col(f"{h}_{m}_{n}") * (weights.get(n, 0.4) / total) for n in own), F.lit(0.0)) if own else F.lit(MISSING)
         cells.append(F.struct(F.lit(h).alias("horizon"), F.lit(m).alias("multiplier"), p.alias("probability")))
     return wide.select(*ids, F.explode(F.array(*cells)).alias("c")).select(*ids, "c.*")
 
@@ -86,111 +86,113 @@ def mean_heatmap(predictions: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- risk
-def train_risk_models(training: DataFrame, names: list[str], *, boosted: bool = True, trees: int = 100, seed: int = 42) -> dict[str, Model]:
+def train_risk_models(training: DataFrame, names: list[str], *, boosted: bool = True, trees: int = 100, seed: int = 42) -> DataFrame | dict[str, Model]:
+    """Boosted regressions of all components in one job (a table of trees), or a ridge regression each."""
+    components = [c for c in RISK_COMPONENTS if c in training.columns]
+    if boosted:
+        spec = Booster(trees=trees, depth=5, rate=0.1, columns=1.0, logistic=False, seed=seed)
+        return cut_lineage(boosting.fit(training, names, components, {"booster": spec}))
     rows = assemble(training, names).persist()
     fits = {}
-    for c in RISK_COMPONENTS:
-        if c not in training.columns:
-            continue
+    for c in components:
         labelled = rows.select("features", F.col(c).cast("double").alias("label")).where(F.col("label").isNotNull())
-        est = GBTRegressor(maxIter=trees, maxDepth=5, stepSize=0.1, subsamplingRate=0.8, seed=seed) if boosted else LinearRegression(regParam=1.0, elasticNetParam=0.0)
-        fits[c] = lambda est=est, labelled=labelled: est.fit(labelled)
+        fits[c] = lambda labelled=labelled: LinearRegression(regParam=1.0, elasticNetParam=0.0).fit(labelled)
     out = fit_all(training.sparkSession, fits)
     rows.unpersist()
     return out
 
 
-def predict_risk(rows: DataFrame, names: list[str], ids: list[str], models: Mapping[str, Model]) -> DataFrame:
+def predict_risk(rows: DataFrame, names: list[str], ids: list[str], models: DataFrame | Mapping[str, Model]) -> DataFrame:
     """Component scores clipped to 0..100; components without a model are absent."""
-    out = assemble(rows, names).select(*ids, "features")
-    for c, model in models.items():
-        out = model.transform(out).withColumnRenamed("prediction", c)
-    return out.select(*ids, *[F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col(c))).alias(c) for c in models])
+    if isinstance(models, DataFrame):
+        model = boosting.load(models)
+        found = [c for c in RISK_COMPONENTS if (c, "booster") in model]
+        out = boosting.predict(rows.select(*dict.fromkeys([*ids, *names])), names, model, {c: (c, "booster") for c in found})
+    else:
+        out, found = assemble(rows, names).select(*ids, "features"), list(models)
+        for c, model in models.items():
+            out = model.transform(out).withColumnRenamed("prediction", c)
+    return out.select(*ids, *[F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col(c))).alias(c) for c in found])
 
 
 # ---------------------------------------------------------------- stacking and routing
-def stack_models(rows: DataFrame, names: list[str], row_id: str, *, cv: int = 5, make=learners) -> tuple[dict[str, Model], Model]:
-    """Base models on all rows and a logistic model over their out-of-fold predictions. ``rows`` has ``label``.
+ALL = "all"  # target of the base models that see every row
+
+
+def base_models(rows: DataFrame, names: list[str], row_id: str, *, make=learners) -> DataFrame:
+    """Trees of the base models over all rows. ``rows`` has ``label``."""
+    return cut_lineage(boosting.fit(rows.withColumn(ALL, F.col("label").cast("double")), names, [ALL], make(), row_id=[row_id]))
+
+
+def stack_models(rows: DataFrame, names: list[str], row_id: str, *, cv: int = 5, make=learners) -> tuple[DataFrame, Model]:
+    """Trees of the base models, and a logistic model over their out-of-fold predictions. ``rows`` has ``label``.
 
     A row's fold comes from the hash of its id, so it does not depend on how the
-    rows are partitioned.
+    rows are partitioned. All folds are targets of one fit: a fold's own rows have no
+    label in its target.
     """
-    data = assemble(rows, names).select(row_id, "features", F.col("label").cast("double").alias("label"), F.pmod(F.xxhash64(row_id), F.lit(cv)).alias("fold")).persist()
-    fits = {}
-    for k in [*range(cv), None]:
-        part = data if k is None else data.where(F.col("fold") != k)
-        fits |= {(k, name): (lambda est=est, part=part: est.fit(part)) for name, est in make().items()}
-    fitted, oof = fit_all(rows.sparkSession, fits), None
-    base = {name: model for (k, name), model in fitted.items() if k is None}
+    label, fold = F.col("label").cast("double"), F.pmod(F.xxhash64(row_id), F.lit(cv))
+    data = cut_lineage(rows.select(row_id, *[c for c in names if c != row_id], label.alias("label"), fold.alias("fold")))
+    folds = {f"fold{k}": F.when(F.col("fold") != k, F.col("label")) for k in range(cv)}
+    trees = cut_lineage(boosting.fit(data.withColumns({ALL: F.col("label"), **folds}), names, [ALL, *folds], make(), row_id=[row_id]))
+    model, base = boosting.load(trees), list(make())
+    oof = None
     for k in range(cv):
-        held = data.where(F.col("fold") == k)
-        for name in base:
-            held = score(fitted[(k, name)], held, name)
+        outputs = {n: (f"fold{k}", n) for n in base if (f"fold{k}", n) in model}
+        held = boosting.predict(data.where(F.col("fold") == k), names, model, outputs)
         oof = held if oof is None else oof.unionByName(held)
-    meta = LogisticRegression(maxIter=50).fit(assemble(oof.drop("features"), list(base)))
-    data.unpersist()
-    return base, meta
+    return trees, LogisticRegression(maxIter=50).fit(assemble(oof, base))
+
 
+def _with_base(rows: DataFrame, names: list[str], trees: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The rows with a column for each base model's prediction."""
+    model = boosting.load(trees.where(F.col("target") == ALL))
+    base = sorted(n for _, n in model)
+    return boosting.predict(rows, names, model, {n: (ALL, n) for n in base}), base
 
-def predict_stacked(rows: DataFrame, names: list[str], base: Mapping[str, Model], meta: Model | None) -> DataFrame:
-    """Adds ``stacked``; without a meta model it is the mean of the base models."""
-    out = assemble(rows, names)
-    for name, model in base.items():
-        out = score(model, out, name)
+
+def predict_stacked(rows: DataFrame, names: list[str], trees: DataFrame, meta: Model | None) -> DataFrame:
+    """Adds the base models' predictions and ``stacked``; without a meta model it is their mean."""
+    out, base = _with_base(rows, names, trees)
     if meta is None:
-        return out.withColumn("stacked", sum((F.col(n) for n in base), F.lit(0.0)) / len(base)).drop("features")
-    return score(meta, assemble(out.drop("features"), list(base)), "stacked").drop("features")
-
-
-def route_models(rows: DataFrame, names: list[str], models: Mapping[str, Model], *, trees: int = 50, seed: int = 42) -> Model:
-    """Forest that says which model errs least on a row. ``rows`` has ``label``; equal errors go to the first model."""
-    out = assemble(rows, names)
-    for name, model in models.items():
-        out = score(model, out, name)
-    errors = F.array(*[F.struct(F.abs(F.col(n) - F.col("label")).alias("e"), F.lit(i).alias("i")) for i, n in enumerate(models)])
-    best = out.select("features", F.array_min(errors)["i"].cast("double").alias("label"))
-    return RandomForestClassifier(numTrees=trees, seed=seed).fit(best)
-
-
-def predict_routed(rows: DataFrame, names: list[str], models: Mapping[str, Model], router: Model | None) -> DataFrame:
-    """Adds ``routed``: the chosen model's prediction, or the mean of all without a router."""
-    out = assemble(rows, names)
-    for name, model in models.items():
-        out = score(model, out, name)
-    all_ = F.array(*[F.col(n) for n in models])
+        return out.withColumn("stacked", sum((F.col(n) for n in base), F.lit(0.0)) / len(base))
+    return score(meta, assemble(out, base), "stacked").drop("features")
+
+
+def route_models(rows: DataFrame, names: list[str], trees: DataFrame, *, forest: int = 50, seed: int = 42) -> Model:
+    """Forest that says which base model errs least on a row. ``rows`` has ``label``; equal errors go to the first model."""
+    out, base = _with_base(rows, names, trees)
+    errors = F.array(*[F.struct(F.abs(F.col(n) - F.col("label")).alias("e"), F.lit(i).alias("i")) for i, n in enumerate(base)])
+    best = assemble(out, names).select("features", F.array_min(errors)["i"].cast("double").alias("label"))
+    return RandomForestClassifier(numTrees=forest, seed=seed).fit(best)
+
+
+def predict_routed(rows: DataFrame, names: list[str], trees: DataFrame, router: Model | None) -> DataFrame:
+    """Adds the base models' predictions and ``routed``: the chosen model's, or the mean of all without a router."""
+    out, base = _with_base(rows, names, trees)
     if router is None:
-        return out.withColumn("routed", sum((F.col(n) for n in models), F.lit(0.0)) / len(models)).drop("features")
-    chosen = router.transform(out)
-    route = F.least(F.col("prediction").cast("int"), F.lit(len(models) - 1))
-    return chosen.withColumn("routed", F.get(all_, route)).withColumn("route", route).drop("features", "rawPrediction", "probability", "prediction")
+        return out.withColumn("routed", sum((F.col(n) for n in base), F.lit(0.0)) / len(base))
+    chosen = router.transform(assemble(out, names))
+    route = F.least(F.col("prediction").cast("int"), F.lit(len(base) - 1))
+    return chosen.withColumn("routed", F.get(F.array(*[F.col(n) for n in base]), route)).withColumn("route", route).drop("features", "rawPrediction", "probability", "prediction")
 
 
 # ---------------------------------------------------------------- inspection and storage
-def feature_importance(spark: SparkSession, model: Model, names: list[str]) -> DataFrame:
-    """One row per feature, most important first; linear models use absolute coefficients."""
-    raw = model.featureImportances if hasattr(model, "featureImportances") else [abs(c) for c in model.coefficients.toArray()]
-    values = raw.toArray() if hasattr(raw, "toArray") else raw
-    rows = sorted(((n, float(v)) for n, v in zip(names, values)), key=lambda r: (-r[1], r[0]))
-    return spark.createDataFrame([(i + 1, n, v) for i, (n, v) in enumerate(rows)], "place int, feature string, importance double")
-
-
-def save_models(spark: SparkSession, models: Mapping[Key, Mapping[str, Model]], names: list[str], path: str) -> None:
-    """One artefact per key and model, and a table that lists them."""
-    listing = []
-    for (h, m), fitted in models.items():
-        for name, model in fitted.items():
-            model.write().overwrite().save(f"{path}/models/{h}_{m}_{name}")
-            listing.append((h, m, name, type(model).__name__, names))
-    spark.createDataFrame(listing, "horizon string, multiplier string, model string, kind string, features array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
-
-
-def load_models(spark: SparkSession, path: str) -> tuple[dict[Key, dict[str, Model]], list[str]]:
-    from pyspark.ml import classification, regression
-
-    out: dict[Key, dict[str, Model]] = {}
-    names: list[str] = []
-    for r in spark.read.json(f"{path}/metadata").collect():  # one row per model
-        kind = getattr(classification, r["kind"], None) or getattr(regression, r["kind"])
-        out.setdefault((r["horizon"], r["multiplier"]), {})[r["model"]] = kind.load(f"{path}/models/{r['horizon']}_{r['multiplier']}_{r['model']}")
-        names = list(r["features"])
-    return out, names
+def feature_importance(trees: DataFrame, names: list[str], target: str = ALL, learner: str = "booster") -> DataFrame:
+    """One row per feature, most important first: its share of the gain of all cuts."""
+    own = boosting.importance(trees.where((F.col("target") == target) & (F.col("learner") == learner)), names)
+    place = F.row_number().over(Window.orderBy(F.desc("importance"), "feature"))  # one row per feature
+    return own.select(place.alias("place"), "feature", "importance")
+
+
+def save_models(spark: SparkSession, trees: DataFrame, names: list[str], path: str) -> None:
+    """The table of trees, and a table that lists the models with their features."""
+    trees.write.mode("overwrite").parquet(f"{path}/trees")
+    listing = trees.groupBy("target", "learner").agg(F.count_distinct("part").alias("parts"), F.count(F.lit(1)).alias("trees"))
+    listing.withColumn("features", F.array(*[F.lit(n) for n in names])).coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+
+
+def load_models(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """Trees and feature names."""
+    first = spark.read.json(f"{path}/metadata").select("features").first()  # the features are those of every model
+    return spark.read.parquet(f"{path}/trees"), list(first["features"]) if first else []

@@ -11,9 +11,10 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainsieve.ml import calibration, models
+from chainsieve.ml import boosting, calibration, models
 from chainsieve.operators import evaluation as ev
 from chainsieve.operators.ordered import ordered_scan, time_slice
+from chainsieve.session import cut_lineage
 
 
 def training_table(spark: SparkSession, path: str) -> DataFrame:
@@ -30,24 +31,23 @@ def walk_forward_train(rows: DataFrame, names: list[str], order: list[str], *, n
     """Out-of-sample predictions: rows (split, model, probability, outcome) over expanding, time-ordered folds.
 
     ``rows`` has ``label``. Row numbers come from a sliced running count, and the
-    bounds of a fold are numbers, so nothing is sorted into one task.
+    bounds of a fold are numbers, so nothing is sorted into one task. The folds are
+    targets of one fit, in which later rows have no label.
     """
     numbered = ordered_scan(rows, [], order, time_slice(order[0]), running={"__i": ("count", F.lit(1))})
-    data = models.assemble(numbered, names).select("features", F.col("label").cast("double").alias("label"), (F.col("__i") - 1).alias("i")).persist()
+    kept = dict.fromkeys([*names, *order])
+    data = cut_lineage(numbered.select(*kept, F.col("label").cast("double").alias("label"), (F.col("__i") - 1).alias("__n")))
     n = data.count()
     size = n // (n_splits + 1)
-    fits, out, names_ = {}, None, list(make())
+    out, base = None, list(make())
     starts = [n - (n_splits - k) * size for k in range(n_splits)]
+    folds = {f"split{k}": F.when(F.col("__n") < start - gap, F.col("label")) for k, start in enumerate(starts)}
+    model = boosting.load(boosting.fit(data.withColumns(folds), names, list(folds), make(), row_id=order))
     for k, start in enumerate(starts):
-        train = data.where(F.col("i") < start - gap).select("features", "label")
-        fits |= {(k, name): (lambda est=est, train=train: est.fit(train)) for name, est in make().items()}
-    fitted = models.fit_all(rows.sparkSession, fits)
-    for k, start in enumerate(starts):
-        scored = data.where((F.col("i") >= start) & (F.col("i") < start + size))
-        for name in names_:
-            scored = models.score(fitted[(k, name)], scored, name)
-        every = F.array(*[F.struct(F.lit(x).alias("model"), F.col(x).alias("probability")) for x in names_],
-                        F.struct(F.lit("ensemble").alias("model"), (sum((F.col(x) for x in names_), F.lit(0.0)) / len(names_)).alias("probability")))
+        own = data.where((F.col("__n") >= start) & (F.col("__n") < start + size))
+        scored = boosting.predict(own, names, model, {x: (f"split{k}", x) for x in base})
+        every = F.array(*[F.struct(F.lit(x).alias("model"), F.col(x).alias("probability")) for x in base],
+                        F.struct(F.lit("ensemble").alias("model"), (sum((F.col(x) for x in base), F.lit(0.0)) / len(base)).alias("probability")))
         long = scored.select(F.lit(k).alias("split"), F.explode(every).alias("m"), F.col("label").cast("int").alias("outcome")).select("split", "m.*", "outcome")
         out = long if out is None else out.unionByName(long)
     return out
@@ -71,7 +71,7 @@ def train_job(spark: SparkSession, data: str, out: str, *, names: list[str], hor
     cut = rows.select(F.unix_micros("ts").cast("double").alias("t")).approxQuantile("t", [0.8], 0.001)[0]
     at = F.unix_micros("ts")
     keys = [(h, m) for h in horizons for m in multipliers if f"{h}_{m}" in rows.columns]
-    fitted = models.train_heatmap_models(rows.where(at <= cut), names, keys, make=make)
+    fitted = models.train_heatmap_models(rows.where(at <= cut), names, keys, make=make, row_id=["token", "ts"])
     models.save_models(spark, fitted, names, out)
     test = rows.where(at > cut)
     truth = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(m).alias("multiplier"), F.col(f"{h}_{m}").cast("int").alias("outcome")) for h, m in keys])

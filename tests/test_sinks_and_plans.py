@@ -64,9 +64,9 @@ def test_models_survive_storage(spark, tables, tmp_path):
 
 def test_walk_forward_is_out_of_sample(spark, tables):
     rows = tables.trades.select("trade_id", "ts", "amount_usd", (F.col("side") == "buy").cast("double").alias("label"))
-    out = training.walk_forward_train(rows, ["amount_usd"], ["ts", "trade_id"], n_splits=2, gap=7, make=lambda: {"logistic": models.learners()["logistic"]})
+    out = training.walk_forward_train(rows, ["amount_usd"], ["ts", "trade_id"], n_splits=2, gap=7, make=lambda: models.learners(trees=2, depth=2))
     n = rows.count() // 3
-    assert {(r["split"], r["model"]): r["count"] for r in out.groupBy("split", "model").count().collect()} == {(s, m): n for s in (0, 1) for m in ("logistic", "ensemble")}
+    assert {(r["split"], r["model"]): r["count"] for r in out.groupBy("split", "model").count().collect()} == {(s, m): n for s in (0, 1) for m in ("booster", "leafwise", "ensemble")}
 
 
 ONE_ROW_JOINS = {  # joins with an aggregate of one row, which is broadcast on purpose
@@ -94,10 +94,9 @@ def test_registered_fits_are_whole(tables, monkeypatch):
     from chainsieve.plans import catalog_ml
 
     assert len(set(catalog_ml.KEYS)) == 15
-    booster = models.learners()["booster"]
-    assert (booster.getMaxIter(), booster.getMaxDepth()) == (200, 6)
-    fold = training.fold_learners()["booster"]
-    assert (fold.getMaxIter(), fold.getMaxDepth(), fold.getStepSize()) == (100, 6, 0.1)
+    assert set(models.learners()) == {"booster", "leafwise"} == set(models.MODEL_WEIGHTS)
+    assert {(b.trees, b.depth, b.rate) for b in models.learners().values()} == {(200, 6, 0.05)}
+    assert {(b.trees, b.depth, b.rate) for b in training.fold_learners().values()} == {(100, 6, 0.1)}
     asked = {}
 
     class Asked(Exception):
@@ -120,14 +119,14 @@ def test_registered_fits_are_whole(tables, monkeypatch):
         with pytest.raises(Asked):
             queries()[name](tables.spark, TINY)
     heat = asked["train_heatmap_models"]
-    assert len(heat["keys"]) == 15 and heat["make"]()["booster"].getMaxIter() == 200
+    assert len(heat["keys"]) == 15 and heat["make"]()["booster"].trees == 200
     assert {f"{h}_{m}" for h, m in heat["keys"]} <= set(heat["training"].columns)
     risk = asked["train_risk_models"]
     assert risk["trees"] == 100 and set(models.RISK_COMPONENTS) <= set(risk["training"].columns)
-    assert asked["stack_models"]["cv"] == 5 and asked["stack_models"]["make"]()["booster"].getMaxIter() == 200
-    assert asked["walk_forward_train"]["n_splits"] == 5 and asked["walk_forward_train"]["make"]()["booster"].getMaxIter() == 100
+    assert asked["stack_models"]["cv"] == 5 and asked["stack_models"]["make"]()["booster"].trees == 200
+    assert asked["walk_forward_train"]["n_splits"] == 5 and asked["walk_forward_train"]["make"]()["booster"].trees == 100
     job = asked["train_job"]
-    assert len(job["horizons"]) * len(job["multipliers"]) == 15 and job["make"]()["booster"].getMaxIter() == 200
+    assert len(job["horizons"]) * len(job["multipliers"]) == 15 and job["make"]()["booster"].trees == 200
 
 
 def test_risk_components_fit_side_by_side(spark):
