@@ -33,7 +33,7 @@ from chainsieve.llm.groups import bytes_of, pack_sorted, unpack_sorted
 #: Bytes of text that are cut at once, characters that a remembered word has at most, bytes of all remembered words.
 STEP, SHORT, MEMORY = 1 << 19, 48, 96 << 20
 #: Links of a group of documents that are answered together, about.
-GROUP_LINKS = 4 << 20
+GROUP_LINKS = 2 << 20
 #: Places next to the middle that are tried one by one, before all of an interval are.
 TRIES = 4
 
@@ -343,8 +343,7 @@ def alignment_counts(docs: DataFrame, vocabularies: tuple[str, str] | None = Non
     paths = vocabularies or default_vocabularies()
     aligned = cut_lineage(_aligned(docs, paths))
     links = aligned.agg(F.sum("n_links")).first()[0] or 0
-    floor = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt, told = _counted(aligned, max(floor, math.ceil(links / group_links)), tokenizers(*paths)[1].size)
+    dealt, told = _counted(aligned, max(1, math.ceil(links / group_links)), tokenizers(*paths)[1].size)
     return dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_with_counts, RESULT)
 
 
