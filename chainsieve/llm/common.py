@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType
 
 from chainsieve.session import cut_lineage  # noqa: F401  (re-exported: reliable checkpoint)
 
@@ -26,6 +27,24 @@ def texts(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *extra)
 
 
+def nullable(kind: DataType) -> DataType:
+    """The type with every field, element and value nullable, as rows come back from a worker."""
+    if isinstance(kind, StructType):
+        return StructType([StructField(f.name, nullable(f.dataType)) for f in kind.fields])
+    if isinstance(kind, ArrayType):
+        return ArrayType(nullable(kind.elementType))
+    return MapType(nullable(kind.keyType), nullable(kind.valueType)) if isinstance(kind, MapType) else kind
+
+
+def arrow_nullable(kind: pa.DataType) -> pa.DataType:
+    """The same of an Arrow type."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, arrow_nullable(f.type)) for f in kind])
+    if pa.types.is_list(kind):
+        return pa.list_(pa.field(kind.value_field.name, arrow_nullable(kind.value_type)))
+    return pa.map_(arrow_nullable(kind.key_type), arrow_nullable(kind.item_type)) if pa.types.is_map(kind) else kind
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective 64-bit finalizer over an unsigned array."""
     with np.errstate(over="ignore"):

@@ -44,11 +44,11 @@ class Groups:
 def grouped(docs: DataFrame, group_bytes: int = GROUP_BYTES, carry: bool = False) -> Groups:
     """Deals ``doc_id, text`` out by a hash of the row; rows with null text stay as empty texts.
 
-    With ``carry`` all columns of a document come along in the struct ``row``, the text
-    only where it is null.
+    With ``carry`` all columns of a document come along in the struct ``row.of``, the
+    text only where it is null, as ``row.blank`` says.
     """
     own = [F.when(F.col("text").isNull(), F.col("text")).alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    rows = texts(docs, *([F.struct(*own, F.when(F.isnull("text"), F.lit(True)).alias("__null")).alias("row")] if carry else [])).withColumn("text", F.coalesce("text", F.lit("")))
+    rows = texts(docs, *([F.struct(F.struct(*own).alias("of"), F.isnull("text").alias("blank")).alias("row")] if carry else [])).withColumn("text", F.coalesce("text", F.lit("")))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     floor = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = max(floor, math.ceil(total / group_bytes))
