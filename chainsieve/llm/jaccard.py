@@ -364,11 +364,11 @@ def one_of_each(docs: DataFrame, k: int = 3, share: tuple[int, int] = (90, 100))
     Documents without words link with nothing and stay. So do rows without doc_id,
     which can't be told apart.
     """
-    stay = jaccard_components(docs, k, share).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    with_id = docs.where(F.col("doc_id").isNotNull()).withColumn("__id", F.col("doc_id").cast("long"))
-    first = Window.partitionBy("__id").orderBy("text")
-    kept = with_id.join(stay, "__id", "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1")
-    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    stay = jaccard_components(docs, k, share).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("id")).distinct()
+    with_id = docs.where(F.col("doc_id").isNotNull()).select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), "text")
+    first = Window.partitionBy("id").orderBy("text")
+    kept = with_id.join(stay, "id", "left_semi").withColumn("n", F.row_number().over(first)).where("n = 1")
+    return kept.select("row.*").unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 #: The same rows in DuckDB, by brute force over the pairs that share a shingle.

@@ -291,6 +291,14 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     return docs.mapInArrow(run, schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean"))
 
 
+def identified(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+    """The rows of ``docs`` that ``identify`` accepts, with their own columns, whatever those are called."""
+    shown = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    at = docs.columns.index("text")
+    kept = identify(shown.withColumnRenamed(f"c{at}", "text"), model).where("accepted")
+    return kept.select(*("text" if i == at else f"c{i}" for i in range(len(docs.columns)))).toDF(*docs.columns)
+
+
 def identify_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """doc_id, held_out, lang_pred, score and accepted of every document, the model trained on the others.
 

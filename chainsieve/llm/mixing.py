@@ -82,7 +82,7 @@ def source_thresholds(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), sh
 
 
 def _with_thresholds(rows: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Rows with their source's threshold in ``__t``; the table of sources is broadcast only when its counted size is small."""
+    """Rows (with a column ``source``) with their source's threshold in ``__t``; the table of sources is broadcast only when its counted size is small."""
     packed = thresholds.select(F.struct("source", "source_size", "target", "copies", "below").alias("__t"))
     if packed.count() <= BROADCAST_SOURCES:
         packed = F.broadcast(packed)
@@ -106,9 +106,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The mix itself: every document as often as it is taken, with all its columns."""
     sized = cut_lineage(docs.select(F.col("source").cast("string"), word_count().alias("size"), _hash().alias("hash")))
-    t = _with_thresholds(docs.withColumn("__hash", _hash()), source_thresholds(sized, weights, share, cap))
-    times = F.col("__t.copies") + F.when(F.col("__hash") < F.col("__t.below"), 1).otherwise(0)
-    return t.where(times > 0).withColumn("__time", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*[docs[c] for c in docs.columns])
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").cast("string").alias("source"), _hash().alias("hash"))
+    t = _with_thresholds(rows, source_thresholds(sized, weights, share, cap))
+    times = F.col("__t.copies") + F.when(F.col("hash") < F.col("__t.below"), 1).otherwise(0)
+    return t.where(times > 0).select("row", F.explode(F.array_repeat(F.lit(1), times.cast("int"))).alias("time")).select("row.*")
 
 
 #: The same rows in DuckDB, at full hash resolution at once.
