@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from chainsieve.llm import bpe, jaccard, language, mixing, suffixes
 from chainsieve.session import cut_lineage
@@ -11,8 +10,7 @@ from chainsieve.session import cut_lineage
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is accepted."""
-    kept = language.identify(docs, language.train(docs)).where(F.col("accepted"))
-    return kept.select(*docs.columns)
+    return language.identified(docs, language.train(docs))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
