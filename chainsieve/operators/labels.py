@@ -1,131 +1,219 @@
 """Price-outcome labels: which multiples a token reached within which horizon.
 
 Looking ahead from every point over 30 days as a range self-join would form a
-quadratic number of pairs. The look-ahead here is hierarchical: prices are folded
-into hour rows (their points, their extremes) and day rows (24 hour extremes, the
-extremes of the days that follow). From a point, the first crossing is searched
-in its own hour, then in the later hours of its day, then in the next days, and
-only the one hour that holds the crossing is opened. Every array is bounded by
-the clock: the points of one hour, 24 hours in a day, one entry per day of the
-longest horizon.
+quadratic number of pairs. Here a token's points are cut into slices of some hours.
+A slice's own points answer what they can: doubling tables of extremes give the first
+point behind each start that reaches its price, for all starts of the slice at once.
+What stays open is asked of the extremes of the slices ahead (one row per slice, as
+many as the longest horizon has), which name the one slice that holds the crossing; only
+that one is opened, once for each slice that asks. So a task holds the points of one
+slice and the starts of one slice, and no row carries more than a point.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainsieve.functions.normalize import parse_duration
 from chainsieve.operators.timing import read_as_of
+from chainsieve.session import cut_lineage
 
-HOUR, DAY = 3_600_000_000, 86_400_000_000
+HOUR = 3_600_000_000
+SLICE_HOURS = 24
 MULTIPLIERS = ("2x", "5x", "10x", "20x", "50x")
 HORIZONS = ("24h", "7d", "30d")
+CROSSED = "us long, price double, name string, u double, d double, hit_us long, hit_price double, broken_us long, hit_slice long"
 
 
-def _first(items: Column, keep) -> Column:
-    return F.get(F.filter(items, keep), F.lit(0))
+class Doubling:
+    """Greatest value of every run of 1, 2, 4, ... neighbours."""
 
+    def __init__(self, values: np.ndarray):
+        self.n, self.levels = len(values), [values]
+        while 2 << (len(self.levels) - 1) <= self.n:
+            last, half = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(np.maximum(last[:-half], last[half:]))
 
-def hour_rows(prices: DataFrame, min_liquidity: float) -> DataFrame:
-    us = F.unix_micros("ts")
-    liquid = F.col("liquidity_usd") >= min_liquidity
-    return (
-        prices.withColumn("us", us).groupBy("token", F.floor(us / HOUR).alias("hour"))
-        .agg(
-            F.array_sort(F.collect_list(F.struct("us", "price", F.col("liquidity_usd").alias("liq"), F.col("volume_24h").alias("vol")))).alias("pts"),
-            F.max(F.when(liquid, F.col("price"))).alias("hi"), F.min(F.when(liquid, F.col("price"))).alias("lo"), F.max("price").alias("top"))
-        .withColumn("day", F.floor(F.col("hour") / 24))
-    )
+    def first(self, start: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """The first place at or behind ``start`` whose value is ``least`` or more; n if there is none."""
+        at = start.copy()
+        for k in range(len(self.levels) - 1, -1, -1):
+            fits = np.flatnonzero(at + (1 << k) <= self.n)
+            below = fits[~(self.levels[k][at[fits]] >= least[fits])]
+            at[below] += 1 << k
+        return at
 
+    def greatest(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The greatest value of each range; minus infinity of an empty one."""
+        out = np.full(len(start), -np.inf)
+        some = np.flatnonzero(end > start)
+        k = np.log2(np.maximum(end[some] - start[some], 1)).astype(int)
+        for level in np.unique(k):
+            i = some[k == level]
+            out[i] = np.maximum(self.levels[level][start[i]], self.levels[level][end[i] - (1 << level)])
+        return out
 
-def day_rows(hours: DataFrame, days_ahead: int) -> DataFrame:
-    days = hours.groupBy("token", "day").agg(
-        F.array_sort(F.collect_list(F.struct("hour", "hi", "lo", "top"))).alias("hrs"), F.max("hi").alias("hi"), F.min("lo").alias("lo"), F.max("top").alias("top"))
-    ahead = Window.partitionBy("token").orderBy("day").rowsBetween(1, days_ahead)
-    return days.select("token", "day", "hrs", F.collect_list(F.struct("day", "hi", "lo", "top")).over(ahead).alias("next_days"))
+
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    """Numbers; a null is not a number."""
+    column = table.column(name)
+    return column.to_numpy(zero_copy_only=False).astype(float) if column.null_count or pa.types.is_floating(column.type) else column.to_numpy()
+
+
+class _Slice:
+    """Points of a slice in order, and of the time after it that a check of what follows a crossing needs."""
+
+    def __init__(self, table: pa.Table, min_liquidity: float):
+        own = table.sort_by([(c, "ascending") for c in ("us", "price", "liq", "vol")])
+        self.us = own.column("us").to_numpy()
+        self.price, liq = _column(own, "price"), _column(own, "liq")
+        self.own = int((~own.column("tail").to_numpy(zero_copy_only=False).astype(bool)).sum())  # a tail lies behind its slice
+        self.asks = own.column("asks").to_numpy(zero_copy_only=False).astype(bool)[: self.own]
+        liquid = (liq >= min_liquidity) & ~np.isnan(self.price)
+        seen = self.price[: self.own]
+        self.up = Doubling(np.where(liquid[: self.own], seen, -np.inf))
+        self.down = Doubling(np.where(liquid[: self.own], -seen, -np.inf))
+        self.fall = Doubling(np.where(liquid, -self.price, np.inf))  # an illiquid point is below every goal
+
+    def crossings(self, start: np.ndarray, price: np.ndarray, up: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of the first crossing (the number of own points if there is none), its price, and when price or liquidity first break after it."""
+        with np.errstate(invalid="ignore"):
+            goal, floor = up * price, down * price
+        at = np.minimum(self.up.first(start, np.where(np.isnan(goal), np.inf, goal)), self.down.first(start, np.where(np.isnan(floor), np.inf, -floor)))
+        hit = np.flatnonzero(at < self.own)
+        since = np.searchsorted(self.us, self.us[at[hit]], "left")
+        below = np.where(np.isnan(goal[hit]), np.inf, -goal[hit])
+        broken = self.fall.first(since, np.nextafter(below, np.inf))
+        broken_us = np.full(len(at), np.iinfo(np.int64).max)
+        broken_us[hit] = np.append(self.us, np.iinfo(np.int64).max)[broken]
+        return at, np.append(self.price[: self.own], np.nan)[at], broken_us
+
+
+def _slices(prices: DataFrame, start: Column, sustain: int) -> tuple[DataFrame, DataFrame]:
+    """Points (own ones, and as ``tail`` those that follow within ``sustain``) by slice; ``asks`` marks starts, a condition over p.us, p.price, p.liq and p.vol."""
+    p = F.struct(F.unix_micros("ts").alias("us"), F.col("price").cast("double").alias("price"), F.col("liquidity_usd").cast("double").alias("liq"), F.col("volume_24h").cast("double").alias("vol"))
+    width = SLICE_HOURS * HOUR
+    points = prices.select("token", p.alias("p")).where("p.us IS NOT NULL").select("token", "p.*", F.coalesce(start, F.lit(False)).alias("asks"), F.floor(F.col("p.us") / width).alias("slice"))
+    back = F.floor((F.col("us") - sustain) / width)  # the first slice whose tail the point belongs to
+    both = points.select("token", "us", "price", "liq", "vol", "asks", F.col("slice").alias("of"), F.explode(F.sequence(back, F.col("slice"))).alias("slice"))
+    return points, both.select("token", "slice", "us", "price", "liq", "vol", "asks", (F.col("of") > F.col("slice")).alias("tail"))
+
+
+def _ahead(points: DataFrame, min_liquidity: float, slices: int) -> DataFrame:
+    """For every slice the extremes of the ``slices`` after it, a row each."""
+    fine = (F.col("liq") >= min_liquidity) & ~F.isnan("price")
+    each = points.groupBy("token", "slice").agg(F.max(F.when(fine, F.col("price"))).alias("hi"), F.min(F.when(fine, F.col("price"))).alias("lo"), F.max("price").alias("top"))
+    behind = F.sequence(F.col("slice") - slices, F.col("slice") - 1)
+    return each.select("token", F.col("slice").alias("at"), "hi", "lo", "top", F.explode(behind).alias("slice"))
+
+
+def _summary(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    own = table.sort_by("at")
+    return own.column("at").to_numpy(), *(_column(own, c).astype(float) for c in ("hi", "lo", "top"))
+
+
+def _low(x: np.ndarray) -> np.ndarray:
+    return np.where(np.isnan(x), -np.inf, x)
 
 
 def first_crossings(
     prices: DataFrame, targets: dict[str, tuple[float | None, float | None]], *, start: Column, min_liquidity: float, max_days: int,
-    strictly_after: bool = False, extra_hours: int = 1,
+    strictly_after: bool = False, sustain_hours: float = 0.0,
 ) -> DataFrame:
-    """For every start point and target: the time of the first liquid crossing.
+    """For every start point and target: the first liquid crossing, and when price or liquidity first break after it.
 
     A target is (up, down): price at or above ``up`` times the start price, or at
     or below ``down`` times it. ``start`` is a condition over a point's fields
-    ``price``, ``liq``, ``vol``. ``pts`` holds the points from the crossing's hour
-    and the ``extra_hours`` after it.
+    ``p.us``, ``p.price``, ``p.liq``, ``p.vol``. Crossings are looked for ``max_days`` ahead at
+    least. ``broken_us`` is the time of the first point from the crossing on that lies
+    under ``up`` times the start price or is illiquid, if it comes within ``sustain_hours``.
     """
-    hours = hour_rows(prices, min_liquidity)
-    days = day_rows(hours, max_days + 1)
-    names = list(targets)
-    spec = F.array(*[
-        F.struct(F.lit(n).alias("name"), F.lit(u).cast("double").alias("u"), F.lit(d).cast("double").alias("d")) for n, (u, d) in targets.items()])
-
-    def crossed(hi: Column, lo: Column, t: Column, p: Column) -> Column:
-        return F.coalesce(hi >= t["u"] * p, F.lit(False)) | F.coalesce(lo <= t["d"] * p, F.lit(False))
-
-    wide = hours.join(days, ["token", "day"])
-    points = wide.select("token", "hour", "day", "pts", "hrs", "next_days", F.explode("pts").alias("p")).where(start)
-    us, price = F.col("p.us"), F.col("p.price")
-    later = (lambda x: x["us"] > us) if strictly_after else (lambda x: x["us"] >= us)
-    found = F.transform(spec, lambda t: F.struct(
-        t["name"].alias("name"), t["u"].alias("u"), t["d"].alias("d"),
-        _first(F.col("pts"), lambda x: later(x) & (x["liq"] >= min_liquidity) & crossed(x["price"], x["price"], t, price))["us"].alias("now"),
-        _first(F.col("hrs"), lambda h: (h["hour"] > F.col("hour")) & crossed(h["hi"], h["lo"], t, price))["hour"].alias("later_hour"),
-        _first(F.col("next_days"), lambda d: crossed(d["hi"], d["lo"], t, price))["day"].alias("later_day")))
-    rows = points.select("token", "hour", us.alias("us"), price.alias("price"), F.explode(found).alias("f")).select("token", "hour", "us", "price", "f.*")
-    # Only a crossing on a later day needs that day's row.
-    far = F.when(F.col("now").isNull() & F.col("later_hour").isNull(), F.col("later_day"))
-    rows = rows.withColumn("far_day", far).join(days.select("token", F.col("day").alias("far_day"), F.col("hrs").alias("far_hrs")), ["token", "far_day"], "left")
-    t = F.struct("u", "d")
-    far_hour = _first(F.col("far_hrs"), lambda h: crossed(h["hi"], h["lo"], t, F.col("price")))["hour"]
-    hit_hour = F.when(F.col("now").isNotNull(), F.col("hour")).otherwise(F.coalesce("later_hour", far_hour))
-    rows = rows.select("token", "us", "price", "name", "u", "d", hit_hour.alias("hit_hour"))
-    opened = hours.select("token", F.col("hour").alias("hit_hour"), "pts")
-    for k in range(1, extra_hours + 1):
-        more = hours.select("token", (F.col("hour") - k).alias("hit_hour"), F.col("pts").alias(f"more{k}"))
-        opened = opened.join(more, ["token", "hit_hour"], "left")
-    opened = opened.select("token", "hit_hour", F.concat("pts", *[F.coalesce(f"more{k}", F.array()) for k in range(1, extra_hours + 1)]).alias("pts"))
-    rows = rows.join(opened, ["token", "hit_hour"], "left")
-    start_us, base = F.col("us"), F.col("price")
-    after = (lambda x: x["us"] > start_us) if strictly_after else (lambda x: x["us"] >= start_us)
-    hit = _first(F.col("pts"), lambda x: after(x) & (x["liq"] >= min_liquidity) & crossed(x["price"], x["price"], t, base))
-    assert names
-    return rows.select("token", "us", "price", "name", "u", "d", hit["us"].alias("hit_us"), hit["price"].alias("hit_price"), "pts")
+    points, both = _slices(prices, start, round(sustain_hours * HOUR))
+    ahead = _ahead(points, min_liquidity, max_days * 24 // SLICE_HOURS + 1)
+    nan = float("nan")
+    names, ups, downs = list(targets), np.array([u if u is not None else nan for u, _ in targets.values()], float), np.array([d if d is not None else nan for _, d in targets.values()], float)
+    side = "right" if strictly_after else "left"
+
+    def rows(token: pa.Array, slices: pa.Array, us: np.ndarray, price: np.ndarray, which: np.ndarray, s: _Slice, found: tuple, where: np.ndarray) -> pa.Table:
+        at, hit_price, broken = found
+        none, never, nowhere = at == s.own, np.iinfo(np.int64).max, np.iinfo(np.int64).min
+        return pa.table({
+            "token": token, "slice": slices, "us": pa.array(us, pa.int64()), "price": pa.array(price, pa.float64()), "name": pa.array(np.array(names, object)[which], pa.string()),
+            "u": pa.array(ups[which], pa.float64(), mask=np.isnan(ups[which])), "d": pa.array(downs[which], pa.float64(), mask=np.isnan(downs[which])),
+            "hit_us": pa.array(np.append(s.us[: s.own], 0)[at], pa.int64(), mask=none), "hit_price": pa.array(hit_price, pa.float64(), mask=none),
+            "broken_us": pa.array(broken, pa.int64(), mask=none | (broken == never)), "hit_slice": pa.array(where, pa.int64(), mask=where == nowhere)})
+
+    def search(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        s = _Slice(left, min_liquidity)
+        starts = np.flatnonzero(s.asks)
+        point, which = np.repeat(starts, len(names)), np.tile(np.arange(len(names)), len(starts))
+        us, price = s.us[point], s.price[point]
+        found = s.crossings(np.searchsorted(s.us[: s.own], us, side), price, ups[which], downs[which])
+        where = np.full(len(us), np.iinfo(np.int64).min)
+        slices, hi, lo, _ = _summary(right)
+        if len(slices):
+            open_ = np.flatnonzero(found[0] == s.own)
+            zero = np.zeros(len(open_), np.int64)
+            goal, floor = ups[which[open_]] * price[open_], downs[which[open_]] * price[open_]
+            first = np.minimum(Doubling(_low(hi)).first(zero, np.where(np.isnan(goal), np.inf, goal)), Doubling(_low(-lo)).first(zero, np.where(np.isnan(floor), np.inf, -floor)))
+            some = first < len(slices)
+            where[open_[some]] = slices[first[some]]
+        token = pa.array([key[0].as_py()] * len(us), key[0].type)
+        return rows(token, pa.array(np.full(len(us), key[1].as_py()), pa.int64()), us, price, which, s, found, where)
+
+    def open_slice(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        s = _Slice(left, min_liquidity)
+        us, price = right.column("us").to_numpy(), _column(right, "price").astype(float)
+        which = np.array([names.index(n) for n in right.column("name").to_pylist()], np.int64)
+        found = s.crossings(np.zeros(len(us), np.int64), price, ups[which], downs[which])
+        return rows(right.column("t"), right.column("a"), us, price, which, s, found, np.full(len(us), np.iinfo(np.int64).min))
+
+    schema = f"token {points.schema['token'].dataType.simpleString()}, slice long, {CROSSED}"
+    # written once: it says which slices have to be opened, and has the rows that are done
+    asked = cut_lineage(both.groupBy("token", "slice").cogroup(ahead.groupBy("token", "slice")).applyInArrow(search, schema))
+    far = asked.where(F.col("hit_slice").isNotNull()).select("token", F.col("hit_slice").alias("of"), F.col("slice").alias("asking"), "us", "price", "name")
+    opened = both.withColumnRenamed("slice", "of").join(far.select("token", "of", "asking").distinct(), ["token", "of"])
+    starts = far.select(F.col("token").alias("t"), F.col("of").alias("o"), F.col("asking").alias("a"), "us", "price", "name")
+    later = opened.groupBy("token", "of", "asking").cogroup(starts.groupBy("t", "o", "a")).applyInArrow(open_slice, schema)
+    return asked.where(F.col("hit_slice").isNull()).unionByName(later).drop("slice", "hit_slice")
 
 
 def horizon_extremes(prices: DataFrame, horizons=HORIZONS, *, start: Column) -> DataFrame:
     """Highest price and last liquidity within each horizon of every start point."""
-    longest = max(parse_duration(h) for h in horizons)
-    hours = hour_rows(prices, 0.0)
-    days = day_rows(hours, longest // 86400 + 1)
-    wide = hours.join(days, ["token", "day"])
-    spans = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(parse_duration(h) * 1_000_000).cast("bigint").alias("len")) for h in horizons])
-    us = F.col("p.us")
-
-    def inner(s: Column) -> Column:
-        end = us + s["len"]
-        end_hour, end_day = F.floor(end / HOUR), F.floor(end / DAY)
-        top = F.greatest(
-            F.array_max(F.transform(F.filter("pts", lambda x: (x["us"] >= us) & (x["us"] <= end)), lambda x: x["price"])),
-            F.array_max(F.transform(F.filter("hrs", lambda h: (h["hour"] > F.col("hour")) & (h["hour"] < end_hour)), lambda h: h["top"])),
-            F.array_max(F.transform(F.filter("next_days", lambda d: d["day"] < end_day), lambda d: d["top"])))
-        return F.struct(s["horizon"].alias("horizon"), end.alias("end_us"), end_hour.alias("end_hour"), end_day.alias("end_day"), top.alias("inner_top"))
-
-    pts = wide.select("token", "hour", "day", "pts", "hrs", "next_days", F.explode("pts").alias("p")).where(start)
-    rows = pts.select("token", "hour", "day", us.alias("us"), F.explode(F.transform(spans, inner)).alias("s")).select("token", "hour", "day", "us", "s.*")
-    # The last, partly covered day and hour.
-    rows = rows.join(days.select("token", F.col("day").alias("end_day"), F.col("hrs").alias("end_hrs")), ["token", "end_day"], "left")
-    day_part = F.array_max(F.transform(F.filter("end_hrs", lambda h: h["hour"] < F.col("end_hour")), lambda h: h["top"]))
-    rows = rows.select("token", "hour", "us", "horizon", "end_us", "end_hour", F.when(F.col("end_day") > F.col("day"), day_part).alias("day_top"), "inner_top")
-    rows = rows.join(hours.select("token", F.col("hour").alias("end_hour"), F.col("pts").alias("end_pts")), ["token", "end_hour"], "left")
-    hour_part = F.array_max(F.transform(F.filter("end_pts", lambda x: x["us"] <= F.col("end_us")), lambda x: x["price"]))
-    rows = rows.select("token", "us", "horizon", "end_us", F.greatest("inner_top", "day_top", F.when(F.col("end_hour") > F.col("hour"), hour_part)).alias("max_price")).distinct()  # points of one time share their extremes
-    at = F.timestamp_micros("end_us")
-    liq = read_as_of(rows, prices, ["token"], ["us", "horizon"], at, F.col("ts"), {"final_liquidity": F.col("liquidity_usd")}, ahead=False, ties=True)
-    return rows.join(liq, ["token", "us", "horizon"]).select("token", "us", "horizon", "end_us", "max_price", "final_liquidity")
+    lengths = np.array([parse_duration(h) * 1_000_000 for h in horizons])
+    width = SLICE_HOURS * HOUR
+    points, _ = _slices(prices, start, 0)
+    ahead = _ahead(points, 0.0, int(lengths.max()) // width + 1)
+
+    def search(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        us, price, asks = left.column("us").to_numpy(), _column(left, "price"), left.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+        order = np.argsort(us, kind="stable")
+        us, price, asks = us[order], _low(price[order].astype(float)), asks[order]
+        at = np.unique(us[asks])  # points of one time share their extremes
+        begin, which = np.repeat(at, len(lengths)), np.tile(np.arange(len(lengths)), len(at))
+        end = begin + lengths[which]
+        top = Doubling(price).greatest(np.searchsorted(us, begin, "left"), np.searchsorted(us, end, "right"))
+        slices, _, _, tops = _summary(right)
+        if len(slices):  # whole slices between that of the start and that of the end
+            upto = np.searchsorted(slices, end // width, "left")
+            top = np.maximum(top, Doubling(_low(tops)).greatest(np.zeros(len(upto), np.int64), upto))
+        return pa.table({
+            "token": pa.array([key[0].as_py()] * len(begin), key[0].type), "us": pa.array(begin, pa.int64()),
+            "horizon": pa.array(np.array(horizons, object)[which], pa.string()), "end_us": pa.array(end, pa.int64()), "inner": pa.array(top, pa.float64(), mask=np.isneginf(top))})
+
+    token = points.schema["token"].dataType.simpleString()
+    cells = ["token", "slice"]
+    rows = points.groupBy(*cells).cogroup(ahead.groupBy(*cells)).applyInArrow(search, f"token {token}, us long, horizon string, end_us long, inner double")
+    # what lies in the end's own slice before the end: its running maximum, read where the last liquidity is read
+    whole = Window.partitionBy("token", "__slice").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    marks = prices.withColumn("__slice", F.floor(F.unix_micros("ts") / width)).withColumn("__top", F.max("price").over(whole))
+    read = read_as_of(rows, marks, ["token"], ["us", "horizon", "end_us", "inner"], F.timestamp_micros("end_us"), F.col("ts"),
+                      {"final_liquidity": F.col("liquidity_usd"), "last_slice": F.col("__slice"), "last_top": F.col("__top")}, ahead=False, ties=True)
+    same = (F.col("last_slice") == F.floor(F.col("end_us") / width)) & (F.floor(F.col("us") / width) < F.col("last_slice"))
+    return read.select("token", "us", "horizon", "end_us", F.greatest("inner", F.when(same, F.col("last_top"))).alias("max_price"), "final_liquidity")
 
 
 def outcome_labels(
@@ -148,16 +236,15 @@ def outcome_labels(
     longest = max(parse_duration(h) for h in horizons) // 86400 + 1
     sustain = int(sustain_hours * HOUR)
     targets = {m: (float(m[:-1]), None) for m in multipliers}
-    hits = first_crossings(prices, targets, start=ok, min_liquidity=min_liquidity, max_days=longest, extra_hours=max(1, -(-sustain // HOUR)))
+    hits = first_crossings(prices, targets, start=ok, min_liquidity=min_liquidity, max_days=longest, sustain_hours=sustain_hours if require_sustained else 0.0)
     ends = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(parse_duration(h) * 1_000_000).cast("bigint").alias("len")) for h in horizons])
-    hit, goal = F.col("hit_us"), F.col("u") * F.col("price")
+    hit = F.col("hit_us")
 
     def verdict(s: Column) -> Column:
         end = F.col("us") + s["len"]
         inside = F.coalesce(hit <= end, F.lit(False))
         if require_sustained:
-            held = F.filter("pts", lambda x: (x["us"] >= hit) & (x["us"] <= F.least(hit + sustain, end)))
-            inside = inside & F.forall(held, lambda x: (x["price"] >= goal) & (x["liq"] >= min_liquidity))
+            inside = inside & F.coalesce(F.col("broken_us") > F.least(hit + sustain, end), F.lit(True))
         return F.struct(s["horizon"].alias("horizon"), inside.alias("reached"))
 
     rows = hits.select("token", "us", "name", "hit_us", F.explode(F.transform(ends, verdict)).alias("v")).select(
