@@ -18,14 +18,37 @@ def folder(t):
     return f"{checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
-def live_events(t):
-    # as a pattern, the path may be one file or a folder of part files
-    events = live.read_rows(t.spark, f"{t.folder}/events.parque[t]", t.raw("events").schema)
-    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+BATCHES = 3
 
 
-def live_rows(t):
-    return trade_rows(live_events(t))
+def late_events(t, *, copies: bool = False, closing: bool = False):
+    """The event table landed in three batches by time, in which every fifth event comes a batch late.
+
+    With ``copies`` those events come in both batches. With ``closing`` an event of the far
+    future follows, which lets the watermark pass all others.
+    """
+    path = f"{folder(t)}/landed"
+    events = t.events
+    span = events.agg(F.unix_micros(F.min("ts")).alias("a"), F.unix_micros(F.max("ts")).alias("b")).first()
+    if span["a"] is None:
+        span = {"a": 0, "b": 0}
+    own = F.least(F.floor((F.unix_micros("ts") - span["a"]) * BATCHES / max(1, span["b"] - span["a"])), F.lit(BATCHES - 1))
+    late = F.least(own + 1, F.lit(BATCHES - 1))
+    due = F.array_distinct(F.array(own, late)) if copies else F.array(late)
+    when = F.when(F.col("event_id") % 5 == 0, due).otherwise(F.array(own))
+    files = max(1, int(t.spark.conf.get("spark.sql.shuffle.partitions")) // BATCHES)
+    landed = events.withColumn("due", F.explode(when))
+    for k in range(BATCHES):  # one after another, as a stream takes files by age
+        rows = landed.where(F.col("due") == k).drop("due").coalesce(files)
+        if closing and k == BATCHES - 1:
+            last = events.orderBy("event_id").limit(1).withColumn("ts", F.timestamp_micros(F.lit(span["b"] + 10 * 365 * 86_400_000_000))).withColumn("event_type", F.lit("purchase"))
+            rows = rows.unionByName(last.withColumn("event_id", F.lit(-1).cast(events.schema["event_id"].dataType)))
+        rows.write.mode("append").parquet(path)
+    return live.read_rows(t.spark, path, events.schema, max_files=files)
+
+
+def late_rows(t, **how):
+    return trade_rows(late_events(t, **how))
 
 
 def batched_rows(t):
@@ -36,6 +59,9 @@ def batched_rows(t):
     return trade_rows(live.read_rows(t.spark, path, t.events.schema, max_files=files // 3))
 
 
+LATENESS = "60 days"  # of the registered runs: a batch spans ten days and more, and none of its late rows may be lost
+
+
 @query("live_wallet_signals", """SELECT wallet, count(*) AS trade_count, CAST(sum(CAST(amount_usd AS DECIMAL(18,2))) AS DOUBLE) AS total_volume, count(*) FILTER (WHERE side = 'buy') AS buy_count,
  count(*) FILTER (WHERE side <> 'buy') AS sell_count, max(ts) AS last_trade_time FROM v_trades GROUP BY wallet""")
 def _(t):
@@ -58,13 +84,13 @@ def _(t):
 
 @query("token_filter", "SELECT trade_id, wallet, ts FROM v_trades WHERE chain = 'ethereum' AND token = 3")
 def _(t):
-    rows = live.token_filter(live_rows(t), token=3, chain="ethereum").select("trade_id", "wallet", "ts")
+    rows = live.token_filter(late_rows(t), token=3, chain="ethereum").select("trade_id", "wallet", "ts")
     return live.run_to_table(rows, folder(t)).drop("batch")
 
 
 @query("live_trades", """SELECT CASE WHEN event_id % 10 = 0 THEN NULL ELSE 'sig' || event_id END AS signature, ts FROM events WHERE event_id % 7 <> 0""")
 def _(t):
-    events = live_events(t)
+    events = late_events(t)
     k = F.col("event_id")
     result = F.struct(F.when(k % 10 != 0, F.concat(F.lit("sig"), k.cast("string"))).alias("signature"), F.array(F.lit("log")).alias("logs"))
     message = F.when(k % 7 == 0, F.lit('{"params": ')).otherwise(F.to_json(F.struct(F.struct(result.alias("result")).alias("params"))))
@@ -74,7 +100,7 @@ def _(t):
 
 @query("live_trades_evm", """SELECT 'tx' || event_id AS transaction_hash, 'w' || user_id AS "from", ts FROM events""")
 def _(t):
-    events = live_events(t)
+    events = late_events(t)
     result = F.struct(F.concat(F.lit("tx"), F.col("event_id").cast("string")).alias("transactionHash"), F.concat(F.lit("w"), F.col("user_id").cast("string")).alias("from"))
     message = F.to_json(F.struct(F.struct(result.alias("result")).alias("params")))
     rows = live.live_trades(events.select(message.alias("value"), "ts"), "ethereum")
@@ -83,28 +109,50 @@ def _(t):
 
 @query("dedup_late", "SELECT trade_id, ts FROM v_trades")
 def _(t):
-    twice = live_rows(t).select("trade_id", "ts", F.explode(F.array(F.lit(0), F.lit(1)))).drop("col")
-    return live.run_to_table(live.dedup_late(twice), folder(t)).drop("batch")
+    """Copies within a batch, and copies that come a batch later."""
+    twice = late_rows(t, copies=True).select("trade_id", "ts", F.explode(F.array(F.lit(0), F.lit(1)))).drop("col")
+    return live.run_to_table(live.dedup_late(twice, lateness=LATENESS), folder(t)).drop("batch")
 
 
 @query("stream_windows_tumbling", """SELECT token, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS window_start, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') + INTERVAL 6 HOUR AS window_end, count(*) AS trades,
  CAST(sum(CAST(amount_usd AS DECIMAL(18,2))) AS DOUBLE) AS volume_usd FROM v_trades GROUP BY ALL""")
 def _(t):
-    return live.latest(live.run_to_table(live.stream_windows(live_rows(t), ["token"], size="6 hours"), folder(t), mode="update"), ["token", "window_start", "window_end"])
+    return live.latest(live.run_to_table(live.stream_windows(late_rows(t), ["token"], size="6 hours", lateness=LATENESS), folder(t), mode="update"), ["token", "window_start", "window_end"])
 
 
 @query("stream_windows_sliding", """SELECT token, s + to_hours(CAST(k AS INT)) AS window_start, s + to_hours(CAST(k AS INT)) + INTERVAL 24 HOUR AS window_end, count(*) AS trades, CAST(sum(CAST(amount_usd AS DECIMAL(18,2))) AS DOUBLE) AS volume_usd
  FROM (SELECT token, amount_usd, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS s FROM v_trades), (VALUES (0), (-6), (-12), (-18)) o(k) GROUP BY 1, 2, 3""")
 def _(t):
-    return live.latest(live.run_to_table(live.stream_windows(live_rows(t), ["token"], size="24 hours", slide="6 hours"), folder(t), mode="update"), ["token", "window_start", "window_end"])
+    return live.latest(live.run_to_table(live.stream_windows(late_rows(t), ["token"], size="24 hours", slide="6 hours", lateness=LATENESS), folder(t), mode="update"), ["token", "window_start", "window_end"])
 
 
-@query("session_windows", """WITH g AS (SELECT token, wallet, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 7200 * 1000000::BIGINT THEN 0 ELSE 1 END AS cut FROM v_trades WINDOW w AS (PARTITION BY token, wallet ORDER BY ts)),
- s AS (SELECT *, sum(cut) OVER (PARTITION BY token, wallet ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT token, wallet, min(ts) AS session_start, max(ts) + INTERVAL 2 HOUR AS session_end, count(*) AS trades FROM s GROUP BY token, wallet, k""")
+SESSIONS = """WITH g AS (SELECT token, wallet, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 7200 * 1000000::BIGINT THEN 0 ELSE 1 END AS cut FROM v_trades WINDOW w AS (PARTITION BY token, wallet ORDER BY ts)),
+ s AS (SELECT *, sum(cut) OVER (PARTITION BY token, wallet ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT token, wallet, min(ts) AS session_start, max(ts) + INTERVAL 2 HOUR AS session_end, count(*) AS trades FROM s GROUP BY token, wallet, k"""
+
+
+@query("session_windows", SESSIONS)
 def _(t):
     return live.stream_sessions(t.trades, ["token", "wallet"], gap="2 hours")
 
 
+@query("stream_sessions", SESSIONS)
+def _(t):
+    """Sessions of a stream whose late rows extend, and join, sessions of earlier batches."""
+    rows = live.stream_sessions(late_rows(t, closing=True).select("token", "wallet", "ts"), ["token", "wallet"], gap="2 hours", lateness=LATENESS)
+    return live.run_to_table(rows, folder(t)).drop("batch")
+
+
+@query("live_wallet_states", """WITH a AS (SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY epoch_us(ts) + (trade_id % 7) * 3600000000 DESC, trade_id DESC) AS k FROM v_trades)
+ SELECT wallet, count(*) AS trade_count, CAST(sum(CAST(amount_usd AS DECIMAL(18,2))) AS DOUBLE) AS total_volume, count(*) FILTER (WHERE side = 'buy') AS buy_count,
+ count(*) FILTER (WHERE side <> 'buy') AS sell_count, max(ts) FILTER (WHERE k = 1) AS last_trade_time FROM a GROUP BY wallet""")
+def _(t):
+    """Trades arrive up to six hours after they were made, so the last to arrive isn't always the newest."""
+    rows = late_rows(t).withColumn("arrived", F.timestamp_micros(F.unix_micros("ts") + (F.col("trade_id") % 7) * 3_600_000_000))
+    with live.keyed_state(t.spark):
+        updates = live.run_to_table(live.live_wallet_states(rows), folder(t), mode="update")
+    return live.latest(updates, ["wallet"])
+
+
 def _scores(trades):
     k = F.col("trade_id")
     return trades.select(
@@ -130,7 +178,7 @@ ALERTS = """sc AS (SELECT trade_id, token, wallet, trade_id % 101 / 101 AS p2, t
 
 @query("alert_matches", f"WITH {ALERTS} SELECT 'sub' || k AS subscription_id, trade_id, trigger FROM al")
 def _(t):
-    matched = live.alert_matches(_scores(live_rows(t)), _subscriptions(t)).select("subscription_id", "trade_id", "trigger")
+    matched = live.alert_matches(_scores(late_rows(t)), _subscriptions(t)).select("subscription_id", "trade_id", "trigger")
     return live.run_to_table(matched, folder(t)).drop("batch")
 
 

@@ -1,18 +1,22 @@
 """Live trades: landed messages, running wallet signals, windows and alerts.
 
 Every operator takes and returns a DataFrame and works on a stream and on a
-static table alike. Event time comes from the message; arrival order is never
-used for results.
+static table alike. Event time comes from the message; arrival order counts in
+``live_wallet_states`` alone, which runs on streams only.
 """
 
 from __future__ import annotations
 
+import decimal
 import logging
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+
 from chainsieve.tables import money
 
 log = logging.getLogger(__name__)
@@ -88,6 +92,76 @@ def live_wallet_signals(trades: DataFrame) -> DataFrame:
         F.count_if(~F.coalesce(buy, F.lit(False))).alias("sell_count"), F.max("ts").alias("last_trade_time"))
 
 
+WALLET_STATE = "trade_count long, total_volume decimal(38,12), buy_count long, sell_count long, last_arrived long, last_order long, last_trade_time timestamp"
+
+
+class _WalletSignals(StatefulProcessor):
+    """Running totals of a wallet, and the time of the trade that arrived last; forgotten when nothing arrives for the time to live."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("signals", WALLET_STATE, self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        n, total, buys, sells, arrived, order, at = self.state.get() if self.state.exists() else (0, decimal.Decimal(0), 0, 0, -(1 << 62), 0, None)
+        with decimal.localcontext(decimal.Context(prec=60)):
+            for frame in rows:
+                n, buys, sells = n + len(frame), buys + int(frame["buy"].sum()), sells + int((~frame["buy"].astype(bool)).sum())
+                total = sum(frame["usd"], total)
+                last = frame.sort_values(["arrived", "order"]).iloc[-1]
+                if (last["arrived"], last["order"]) >= (arrived, order):
+                    arrived, order, at = int(last["arrived"]), int(last["order"]), last["ts"].to_pydatetime()
+        self.state.update((n, total, buys, sells, arrived, order, at))
+        yield pd.DataFrame({"wallet": [key[0]], "trade_count": [n], "total_volume": [float(total)], "buy_count": [buys], "sell_count": [sells], "last_trade_time": [at]})
+
+    def close(self) -> None:
+        pass
+
+
+def live_wallet_states(trades: DataFrame, *, arrived: str = "arrived", order: str = "trade_id", ttl: str | None = "30 days") -> DataFrame:
+    """Running totals per wallet of a stream, in update mode, with the time of the trade that *arrived* last.
+
+    ``arrived`` is the arrival time; trades that arrive together count in the order of
+    ``order``, a number. A wallet from which nothing arrives for ``ttl`` of processing
+    time is forgotten and starts anew, so the state is bounded by the wallets active in
+    that time. A wallet's rows of a batch pass through in pieces. Start the query within
+    ``keyed_state``.
+    """
+    rows = trades.withColumn("wallet", trade_wallet(trades)).where(F.col("wallet").isNotNull())
+    rows = rows.select(
+        "wallet", F.coalesce(F.col("side") == "buy", F.lit(False)).alias("buy"), money(F.coalesce("amount_usd", F.lit(0.0))).alias("usd"), "ts",
+        F.unix_micros(arrived).alias("arrived"), F.col(order).cast("long").alias("order"))
+    ttl_ms = None if ttl is None else parse_interval_ms(ttl)
+    wallet = rows.schema["wallet"].dataType.simpleString()
+    return rows.groupBy("wallet").transformWithStateInPandas(
+        _WalletSignals(ttl_ms), f"wallet {wallet}, trade_count long, total_volume double, buy_count long, sell_count long, last_trade_time timestamp", "Update", "ProcessingTime")
+
+
+def parse_interval_ms(text: str) -> int:
+    """Milliseconds of a number and a unit, such as "30 days"."""
+    number, unit = text.split()
+    return int(float(number) * {"second": 1_000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}[unit.rstrip("s")])
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started within keep their state in RocksDB, as custom state needs it, and run no batch without data, of which a time to live would ask for ever more."""
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def signal_updates(trades: DataFrame, handlers: Mapping[str, Callable[[DataFrame, int], None]], checkpoint: str, *, once: bool = False) -> StreamingQuery:
     """Hand every batch of changed signals to each named handler.
 
@@ -119,7 +193,12 @@ def stream_windows(trades: DataFrame, keys: list[str], *, size: str, slide: str
 
 
 def stream_sessions(trades: DataFrame, keys: list[str], *, gap: str = "30 minutes", lateness: str = "1 hour") -> DataFrame:
-    """Groups of trades with no pause of ``gap`` or longer."""
+    """Groups of trades with no pause of ``gap`` or longer.
+
+    On a stream (append mode) a late trade within ``lateness`` joins its session, or
+    makes one of the two it lies between; a session is returned once the watermark has
+    passed its end.
+    """
     rows = trades.withWatermark("ts", lateness) if trades.isStreaming else trades
     return rows.groupBy(*keys, F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("trades")).select(
         *keys, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "trades")
@@ -177,6 +256,8 @@ def run_to_table(stream: DataFrame, path: str, *, mode: str = "append") -> DataF
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession  # custom state is planned for the thread's active session, which a callback's thread lacks
+        session.sparkContext._jvm.org.apache.spark.sql.SparkSession.setActiveSession(session._jsparkSession)
         batch.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(write).trigger(availableNow=True).start()

@@ -133,3 +133,37 @@ def test_live_queries_read_a_folder_of_part_files(spark, tmp_path):
     spark.read.parquet(f"{source}/events.parquet").repartition(4).write.parquet(str(tmp_path / "events.parquet"))
     for name in ("token_filter", "dedup_late"):
         assert QUERIES[name](spark, str(tmp_path)).count() == QUERIES[name](spark, source).count() > 0
+
+
+def test_wallet_states_arrival_and_time_to_live(spark, tmp_path):
+    """The last to arrive names the time; a wallet that is silent for the time to live starts anew, others go on."""
+    import time
+
+    schema = "trade_id long, wallet string, side string, amount_usd double, ts timestamp, arrived timestamp"
+    land = lambda rows: spark.createDataFrame(rows, "trade_id long, wallet string, side string, amount_usd double, t long, a long").selectExpr(
+        "trade_id", "wallet", "side", "amount_usd", "timestamp_seconds(t) AS ts", "timestamp_seconds(a) AS arrived").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def run(ttl, to):
+        with live.keyed_state(spark):
+            return live.run_to_table(live.live_wallet_states(live.read_rows(spark, f"{tmp_path}/in", schema), ttl=ttl), f"{tmp_path}/{to}", mode="update")
+
+    land([(1, "a", "buy", 10.0, 500, 900), (2, "a", "sell", 5.5, 700, 800), (3, "b", None, None, 100, 100), (4, None, "buy", 1.0, 1, 1)])
+    for ttl, to in (("1 second", "short"), ("1 day", "long"), (None, "ever")):
+        first = {r.wallet: (r.trade_count, r.total_volume, r.buy_count, r.sell_count, r.last_trade_time.timestamp()) for r in run(ttl, to).collect()}
+        assert first == {"a": (2, 15.5, 1, 1, 500.0), "b": (1, 0.0, 0, 1, 100.0)}
+    time.sleep(2)
+    land([(5, "a", "buy", 1.0, 600, 850)])
+    last = {to: live.latest(run(ttl, to), ["wallet"]).where("wallet = 'a'").first() for ttl, to in (("1 second", "short"), ("1 day", "long"), (None, "ever"))}
+    assert (last["short"].trade_count, last["short"].last_trade_time.timestamp()) == (1, 600.0)
+    for to in ("long", "ever"):  # the trade of 500 arrived at 900, after that of 600
+        assert (last[to].trade_count, last[to].total_volume, last[to].last_trade_time.timestamp()) == (3, 16.5, 500.0)
+
+
+def test_late_rows_join_sessions(spark, tmp_path):
+    """A late row between two sessions of earlier batches makes them one."""
+    land = lambda rows: spark.createDataFrame([(1, 2, t) for t in rows], "token long, wallet long, t long").selectExpr("token", "wallet", "timestamp_seconds(t) AS ts").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    for batch in ([0, 600, 7000], [3600, 90_000], [10**9]):
+        land(batch)
+    rows = live.read_rows(spark, f"{tmp_path}/in", "token long, wallet long, ts timestamp", max_files=1)
+    out = live.run_to_table(live.stream_sessions(rows, ["token", "wallet"], gap="1 hour", lateness="2 days"), f"{tmp_path}/out").collect()
+    assert sorted((r.session_start.timestamp(), r.session_end.timestamp(), r.trades) for r in out) == [(0, 10_600, 4), (90_000, 93_600, 1)]
