@@ -47,25 +47,6 @@ def value_slice(value: Column | str, per_octave: int = 64) -> Column:
     return F.floor(F.signum(v) * F.log2(1.0 + F.abs(v) * 1.0e6) * per_octave)
 
 
-def depth_slice(df: DataFrame, column: str, pieces: int = 256, error: float = 0.001) -> Column:
-    """Bands of roughly equal row counts, for a column whose rows crowd together.
-
-    Runs one approximate-quantile job; only ``pieces`` cut points reach the
-    driver and they become a balanced tree of comparisons.
-    """
-    probe = df.select(F.col(column).cast("double").alias("v"))
-    cuts = sorted(set(probe.approxQuantile("v", [i / pieces for i in range(1, pieces)], error)))
-    v = F.col(column).cast("double")
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(v < F.lit(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(cuts))
-
-
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equality join on keys that may be null: a null equals a null."""
     named = right.withColumn(CELL, F.struct(*keys)).drop(*keys)
@@ -241,6 +222,24 @@ def middle_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
 
 
+def value_at_share(df: DataFrame, keys: Sequence[str], value: str, share: float, name: str) -> DataFrame:
+    """The smallest value per key that at least ``share`` of the key's values do not exceed, exactly.
+
+    Equal values are counted first, value bands are counted per key, and only the band
+    that holds the wanted rank is opened. Nulls don't count.
+    """
+    part = [CELL]
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    counted = counted.withColumn(CELL, F.struct(*keys, value_slice("__v").alias(SLICE)))
+    whole = Window.partitionBy(*[F.col(f"{CELL}.{k}") for k in keys])
+    upto = F.sum("__c").over(whole.orderBy(F.col(f"{CELL}.{SLICE}")).rowsBetween(Window.unboundedPreceding, 0))
+    bands = counted.groupBy(*part).agg(F.sum("__n").alias("__c")).select(*part, "__c", upto.alias("__upto"), F.greatest(F.lit(1), F.ceil(F.sum("__c").over(whole) * share)).alias("__rank"))
+    bands = bands.where((F.col("__upto") >= F.col("__rank")) & (F.col("__upto") - F.col("__c") < F.col("__rank"))).select(*part, (F.col("__upto") - F.col("__c")).alias("__below"), "__rank")
+    inside = Window.partitionBy(*part).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = counted.join(bands, part).withColumn("__cum", F.col("__below") + F.sum("__n").over(inside))
+    return rows.groupBy(*keys).agg(F.min(F.when(F.col("__cum") >= F.col("__rank"), F.col("__v"))).alias(name))
+
+
 def with_median(grouped: DataFrame, rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     mid = middle_values(rows, keys, value).select(
         *keys, ((F.col("lower_mid") + F.col("upper_mid")) / 2.0).alias(name)

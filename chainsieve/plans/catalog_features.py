@@ -288,10 +288,15 @@ def _(t):
     return ft.request_log_stats(request_log(t)).drop("p95_duration_ms")
 
 
-@query("request_log_p95")
+@query("request_log_p95", """SELECT event_type AS endpoint, time_bucket(INTERVAL 5 MINUTE, ts, TIMESTAMP '2024-01-01') AS ts, round(quantile_disc(value, 0.95), 6) AS p95_duration_ms FROM events GROUP BY 1, 2""")
 def _(t):
-    slots = request_log(t).groupBy("endpoint", F.window("ts", "5 minutes").alias("w")).agg(F.percentile_approx("duration_ms", 0.95).alias("p95_duration_ms"))
-    return slots.select("endpoint", F.col("w.start").alias("ts"), "p95_duration_ms")
+    return ft.request_log_p95(request_log(t))
+
+
+@query("request_log_p95_endpoint", """WITH r AS (SELECT event_type AS endpoint, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+ SELECT endpoint, round(value, 6) AS p95_duration_ms FROM r WHERE i = ceil(0.95::DOUBLE * n)""")
+def _(t):
+    return ft.request_log_stats(request_log(t)).select("endpoint", "p95_duration_ms")
 
 
 @query("rate_excess", """SELECT user_id AS client, event_id, ts, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS in_window,

@@ -66,6 +66,12 @@ KEYED = f"{LAB}, lk AS (SELECT token, ts, horizon, multiplier, reached FROM lab
 inside = lambda c, top=1.0: (c >= 0) & (c <= top)
 
 
+@query("training_table", f"""WITH {LAB} SELECT lab.token, lab.ts, any_value(round(p.price, 6)) AS price, bool_or(horizon = '24h' AND multiplier = '2x' AND reached) AS "24h_2x", bool_or(horizon = '30d' AND multiplier = '5x' AND reached) AS "30d_5x",
+ round(max(time_hours) FILTER (WHERE horizon = '7d' AND multiplier = '2x'), 6) AS "7d_2x_time" FROM lab JOIN v_prices p ON p.token = lab.token AND p.ts = lab.ts GROUP BY 1, 2""")
+def _(t):
+    return training.training_table(t.spark, f"{stored_training(t)}/training").select("token", "ts", "price", "24h_2x", "30d_5x", "7d_2x_time")
+
+
 @query("train_heatmap_models", f"""WITH {KEYED} SELECT horizon, multiplier, count(*) AS n, count(*) FILTER (WHERE reached) AS num_reached, true AS ranks_well, true AS near_rate FROM lk GROUP BY 1, 2""")
 def _(t):
     """Per key: a ranking well above chance where both outcomes occur 20 times or more, and a mean probability near the rate of the outcome."""
@@ -112,14 +118,20 @@ def _(t):
         (error("b") < 0.2 * F.var_pop("y")).alias("boosted_fits"), (error("l") <= 1.01 * F.var_pop("y")).alias("linear_fits"))
 
 
-@query("calibration_isotonic")
+# isotonic means by their min-max formula over all ranges of the distinct probabilities
+@query("calibration_isotonic", """WITH c AS (SELECT horizon, multiplier, probability, count(*) AS n, sum(outcome) AS s FROM v_predictions GROUP BY ALL),
+ r AS (SELECT *, row_number() OVER w AS i, sum(n) OVER w AS wn, sum(s) OVER w AS ws FROM c WINDOW w AS (PARTITION BY horizon, multiplier ORDER BY probability)),
+ av AS (SELECT x.horizon, x.multiplier, x.i AS a, y.i AS b, (y.ws - x.ws + x.s) / (y.wn - x.wn + x.n) AS m FROM r x JOIN r y ON x.horizon = y.horizon AND x.multiplier = y.multiplier AND y.i >= x.i),
+ mn AS (SELECT r.horizon, r.multiplier, r.probability, r.n, a, min(m) AS m FROM r JOIN av ON av.horizon = r.horizon AND av.multiplier = r.multiplier AND a <= r.i AND b >= r.i GROUP BY ALL)
+ SELECT horizon, multiplier, round(probability, 6) AS probability, n, round(max(m), 6) AS calibrated, round(max(m), 6) AS calibrated_max FROM mn GROUP BY horizon, multiplier, probability, n""")
 def _(t):
     table = calibration.fit_calibration(t.predictions)
     out = calibration.apply_calibration(t.predictions, table)
     return out.groupBy("horizon", "multiplier", "probability").agg(F.count(F.lit(1)).alias("n"), F.min("calibrated").alias("calibrated"), F.max("calibrated").alias("calibrated_max"))
 
 
-@query("calibration_platt")
+# at the optimum the mean of the calibrated probabilities is that of the outcomes
+@query("calibration_platt", "SELECT horizon, multiplier, count(*) AS n, round(avg(outcome), 5) AS calibrated FROM v_predictions GROUP BY 1, 2", digits=5)
 def _(t):
     table = calibration.fit_calibration(t.predictions, method="platt")
     out = calibration.apply_calibration(t.predictions, table)

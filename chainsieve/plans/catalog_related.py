@@ -107,20 +107,25 @@ def _(t):
     return im.counterfactual_impact(t.trades, t.prices).groupBy("interpretation").agg(F.count(F.lit(1)).alias("wallets"))
 
 
-@query("lead_lag", """WITH sp AS (SELECT token, min(ts) AS a, max(ts) AS b FROM v_prices GROUP BY token),
+LEAD = """sp AS (SELECT token, min(ts) AS a, max(ts) AS b FROM v_prices GROUP BY token),
  pg AS (SELECT p.token, CAST(floor((epoch_us(p.ts) - epoch_us(a)) / 3600000000.0) AS BIGINT) AS bin, price FROM v_prices p JOIN sp ON sp.token = p.token),
  wb AS (SELECT t.token, t.wallet, CAST(floor((epoch_us(t.ts) - epoch_us(a)) / 3600000000.0) AS BIGINT) AS bin, CAST(sum(CAST(amount_usd AS DECIMAL(18,2))) AS DOUBLE) AS v FROM v_trades t JOIN sp ON sp.token = t.token
    WHERE t.ts >= a AND floor((epoch_us(t.ts) - epoch_us(a)) / 3600000000.0) <= floor((epoch_us(b) - epoch_us(a)) / 3600000000.0) GROUP BY 1, 2, 3),
  ch AS (SELECT g.token, g.bin, CASE WHEN q.price > 0 THEN (g.price - q.price) / q.price ELSE 0 END AS y FROM pg g LEFT JOIN pg q ON q.token = g.token AND q.bin = g.bin - 1),
  full_y AS (SELECT s.token, x.bin, coalesce(ch.y, 0) AS y FROM sp s, LATERAL (SELECT unnest(generate_series(0, CAST(floor((epoch_us(s.b) - epoch_us(s.a)) / 3600000000.0) AS BIGINT))) AS bin) x LEFT JOIN ch ON ch.token = s.token AND ch.bin = x.bin),
  ws AS (SELECT DISTINCT token, wallet FROM wb),
- pr AS (SELECT w.token, w.wallet, k.lag, corr(coalesce(wb.v, 0), f.y) AS c FROM ws w JOIN full_y f ON f.token = w.token CROSS JOIN (SELECT unnest([1, 2, 3]) AS lag) k
+ pr AS (SELECT w.token, w.wallet, k.lag, corr(coalesce(wb.v, 0), f.y) AS c, count(*) AS n FROM ws w JOIN full_y f ON f.token = w.token CROSS JOIN (SELECT unnest([1, 2, 3]) AS lag) k
    LEFT JOIN wb ON wb.token = w.token AND wb.wallet = w.wallet AND wb.bin = f.bin - k.lag WHERE f.bin >= k.lag GROUP BY 1, 2, 3)
- SELECT token, wallet, lag, round(c, 4) AS correlation FROM pr""", digits=4)
+"""
+
+
+@query("lead_lag", f"WITH {LEAD} SELECT token, wallet, lag, round(c, 4) AS correlation FROM pr", digits=4)
 def _(t):
     return im.lead_lag(t.trades, t.prices, minutes=60, max_lag=3).select("token", "wallet", "lag", "correlation")
 
 
-@query("lead_lag_best")
+@query("lead_lag_best", f"""WITH {LEAD}, fs AS (SELECT *, c * c / (1 - c * c) * (n - 2) AS f FROM pr WHERE c IS NOT NULL AND NOT isnan(c) AND c * c < 1 AND n > 2 AND n + lag >= 13)
+ SELECT token, wallet, lag AS optimal_lag, round(f, 4) AS f_stat, round(c, 4) AS correlation, f > 3.84 AS has_causality, round(CASE WHEN f > 3.84 THEN c * c ELSE 0 END, 4) AS lead_score
+ FROM fs QUALIFY row_number() OVER (PARTITION BY token, wallet ORDER BY f DESC, lag) = 1""", digits=4)
 def _(t):
     return im.best_lead(im.lead_lag(t.trades, t.prices, minutes=60, max_lag=3))
