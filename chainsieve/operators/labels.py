@@ -1,7 +1,8 @@
 """Price-outcome labels: which multiples a token reached within which horizon.
 
 Looking ahead from every point over 30 days as a range self-join would form a
-quadratic number of pairs. Here a token's points are cut into slices of some hours.
+quadratic number of pairs. Here a token's points are cut into slices of some hours, by
+how many points the busiest hour has; the cut changes how work is spread, not the result.
 A slice's own points answer what they can: doubling tables of extremes give the first
 point behind each start that reaches its price, for all starts of the slice at once.
 What stays open is asked of the extremes of the slices ahead (one row per slice, as
@@ -22,7 +23,8 @@ from chainsieve.operators.timing import read_as_of
 from chainsieve.session import cut_lineage
 
 HOUR = 3_600_000_000
-SLICE_HOURS = 24
+#: Points that a slice has at most, about, and hours that it spans at most.
+SLICE_POINTS, LONGEST_SLICE = 50_000, 720
 MULTIPLIERS = ("2x", "5x", "10x", "20x", "50x")
 HORIZONS = ("24h", "7d", "30d")
 CROSSED = "us long, price double, name string, u double, d double, hit_us long, hit_price double, broken_us long, hit_slice long"
@@ -92,10 +94,16 @@ class _Slice:
         return at, np.append(self.price[: self.own], np.nan)[at], broken_us
 
 
-def _slices(prices: DataFrame, start: Column, sustain: int) -> tuple[DataFrame, DataFrame]:
+def slice_hours(prices: DataFrame) -> int:
+    """Hours of a slice: as many as keep the busiest within SLICE_POINTS points. One aggregation over the prices."""
+    hourly = prices.where(F.col("ts").isNotNull()).groupBy("token", F.floor(F.unix_micros("ts") / HOUR)).agg(F.count(F.lit(1)).alias("n"))
+    return max(1, min(LONGEST_SLICE, SLICE_POINTS // max(1, hourly.agg(F.max("n")).first()[0] or 1)))
+
+
+def _slices(prices: DataFrame, start: Column, sustain: int, hours: int) -> tuple[DataFrame, DataFrame]:
     """Points (own ones, and as ``tail`` those that follow within ``sustain``) by slice; ``asks`` marks starts, a condition over p.us, p.price, p.liq and p.vol."""
     p = F.struct(F.unix_micros("ts").alias("us"), F.col("price").cast("double").alias("price"), F.col("liquidity_usd").cast("double").alias("liq"), F.col("volume_24h").cast("double").alias("vol"))
-    width = SLICE_HOURS * HOUR
+    width = hours * HOUR
     points = prices.select("token", p.alias("p")).where("p.us IS NOT NULL").select("token", "p.*", F.coalesce(start, F.lit(False)).alias("asks"), F.floor(F.col("p.us") / width).alias("slice"))
     back = F.floor((F.col("us") - sustain) / width)  # the first slice whose tail the point belongs to
     both = points.select("token", "us", "price", "liq", "vol", "asks", F.col("slice").alias("of"), F.explode(F.sequence(back, F.col("slice"))).alias("slice"))
@@ -121,7 +129,7 @@ def _low(x: np.ndarray) -> np.ndarray:
 
 def first_crossings(
     prices: DataFrame, targets: dict[str, tuple[float | None, float | None]], *, start: Column, min_liquidity: float, max_days: int,
-    strictly_after: bool = False, sustain_hours: float = 0.0,
+    strictly_after: bool = False, sustain_hours: float = 0.0, hours: int | None = None,
 ) -> DataFrame:
     """For every start point and target: the first liquid crossing, and when price or liquidity first break after it.
 
@@ -130,9 +138,11 @@ def first_crossings(
     ``p.us``, ``p.price``, ``p.liq``, ``p.vol``. Crossings are looked for ``max_days`` ahead at
     least. ``broken_us`` is the time of the first point from the crossing on that lies
     under ``up`` times the start price or is illiquid, if it comes within ``sustain_hours``.
+    ``hours`` is the length of a slice.
     """
-    points, both = _slices(prices, start, round(sustain_hours * HOUR))
-    ahead = _ahead(points, min_liquidity, max_days * 24 // SLICE_HOURS + 1)
+    hours = hours or slice_hours(prices)
+    points, both = _slices(prices, start, round(sustain_hours * HOUR), hours)
+    ahead = _ahead(points, min_liquidity, max_days * 24 // hours + 1)
     nan = float("nan")
     names, ups, downs = list(targets), np.array([u if u is not None else nan for u, _ in targets.values()], float), np.array([d if d is not None else nan for _, d in targets.values()], float)
     side = "right" if strictly_after else "left"
@@ -181,11 +191,12 @@ def first_crossings(
     return asked.where(F.col("hit_slice").isNull()).unionByName(later).drop("slice", "hit_slice")
 
 
-def horizon_extremes(prices: DataFrame, horizons=HORIZONS, *, start: Column) -> DataFrame:
-    """Highest price and last liquidity within each horizon of every start point."""
+def horizon_extremes(prices: DataFrame, horizons=HORIZONS, *, start: Column, hours: int | None = None) -> DataFrame:
+    """Highest price and last liquidity within each horizon of every start point. ``hours`` is the length of a slice."""
+    hours = hours or slice_hours(prices)
     lengths = np.array([parse_duration(h) * 1_000_000 for h in horizons])
-    width = SLICE_HOURS * HOUR
-    points, _ = _slices(prices, start, 0)
+    width = hours * HOUR
+    points, _ = _slices(prices, start, 0, hours)
     ahead = _ahead(points, 0.0, int(lengths.max()) // width + 1)
 
     def search(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
@@ -235,8 +246,8 @@ def outcome_labels(
         ok = ok & (F.col("p.us") <= F.unix_micros(end_ts))
     longest = max(parse_duration(h) for h in horizons) // 86400 + 1
     sustain = int(sustain_hours * HOUR)
-    targets = {m: (float(m[:-1]), None) for m in multipliers}
-    hits = first_crossings(prices, targets, start=ok, min_liquidity=min_liquidity, max_days=longest, sustain_hours=sustain_hours if require_sustained else 0.0)
+    targets, width = {m: (float(m[:-1]), None) for m in multipliers}, slice_hours(prices)
+    hits = first_crossings(prices, targets, start=ok, hours=width, min_liquidity=min_liquidity, max_days=longest, sustain_hours=sustain_hours if require_sustained else 0.0)
     ends = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(parse_duration(h) * 1_000_000).cast("bigint").alias("len")) for h in horizons])
     hit = F.col("hit_us")
 
@@ -250,7 +261,7 @@ def outcome_labels(
     rows = hits.select("token", "us", "name", "hit_us", F.explode(F.transform(ends, verdict)).alias("v")).select(
         "token", "us", F.col("name").alias("multiplier"), "v.horizon", F.coalesce("v.reached", F.lit(False)).alias("reached"), "hit_us")
     seen = prices.groupBy("token").agg(F.max(F.unix_micros("ts")).alias("last_us"))
-    out = rows.join(horizon_extremes(prices, horizons, start=ok), ["token", "us", "horizon"]).join(seen, "token")
+    out = rows.join(horizon_extremes(prices, horizons, start=ok, hours=width), ["token", "us", "horizon"]).join(seen, "token")
     hours = (F.col("hit_us") - F.col("us")) / float(HOUR)
     return out.select(
         "token", F.timestamp_micros("us").alias("ts"), "horizon", "multiplier", "reached", F.when(F.col("reached"), hours).alias("time_hours"),

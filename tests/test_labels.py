@@ -39,12 +39,12 @@ def crossing(pts, us, price, up, down, least, strictly):
     return None, None
 
 
-@pytest.mark.parametrize(("seed", "step", "strictly"), [(1, 600, False), (2, 600, True), (3, 5, False), (4, 20_000, True)])
-def test_crossings(spark, seed, step, strictly):
+@pytest.mark.parametrize(("seed", "step", "strictly", "hours"), [(1, 600, False, 6), (2, 600, True, 24), (3, 5, False, 1), (4, 20_000, True, None)])
+def test_crossings(spark, seed, step, strictly, hours):
     tokens = {k: series(seed * 10 + i, 250, step) for i, k in enumerate("ab")}
     targets = {"2x": (2.0, None), "exit": (5.0, 0.3), "half": (None, 0.5)}
     start = (F.col("p.liq") >= 50_000) & F.col("p.price").isNotNull()
-    got = lb.first_crossings(frame(spark, tokens), targets, start=start, min_liquidity=50_000.0, max_days=700, strictly_after=strictly, sustain_hours=1.0)
+    got = lb.first_crossings(frame(spark, tokens), targets, start=start, min_liquidity=50_000.0, max_days=700, strictly_after=strictly, sustain_hours=1.0, hours=hours)
     found = sorted(((r.token, r.us, r.price, r.name, r.hit_us, r.hit_price) for r in got.collect()), key=str)
     want = [(k, us, p, n, *crossing(ordered(pts), us, p, *t, 50_000.0, strictly)) for k, pts in tokens.items() for us, p, q, _ in pts if q is not None and q >= 50_000 and p is not None for n, t in targets.items()]
     assert found == sorted(want, key=str)
@@ -57,10 +57,10 @@ def test_crossings(spark, seed, step, strictly):
             assert told == first if within else told is None or told > hit + 3600 * S
 
 
-@pytest.mark.parametrize(("seed", "step"), [(5, 600), (6, 7000)])
-def test_extremes(spark, seed, step):
+@pytest.mark.parametrize(("seed", "step", "hours"), [(5, 600, 1), (6, 7000, 24), (7, 7000, None)])
+def test_extremes(spark, seed, step, hours):
     tokens = {k: series(seed * 10 + i, 200, step) for i, k in enumerate("ab")}
-    got = lb.horizon_extremes(frame(spark, tokens), start=F.col("p.vol") > 10)
+    got = lb.horizon_extremes(frame(spark, tokens), start=F.col("p.vol") > 10, hours=hours)
     found = {(r.token, r.us, r.horizon): (r.end_us, r.max_price) for r in got.collect()}
     want = {}
     for k, pts in tokens.items():
@@ -76,7 +76,7 @@ def test_every_second_and_empty(spark):
     """A point per second for four hours across slices: cost and rows stay linear, no row holds an array."""
     base = 1_700_000_000 * S
     rising = {"t": [(base + i * S, 1.0 + i / 3000, 60_000.0, 20_000.0) for i in range(14_400)]}
-    got = lb.first_crossings(frame(spark, rising), {"2x": (2.0, None)}, start=F.lit(True), min_liquidity=0.0, max_days=2)
+    got = lb.first_crossings(frame(spark, rising), {"2x": (2.0, None)}, start=F.lit(True), min_liquidity=0.0, max_days=2, hours=1)
     assert all("array" not in t and "struct" not in t for _, t in got.dtypes)
     waits = got.groupBy(F.col("hit_us").isNotNull().alias("hit")).agg(F.count(F.lit(1)).alias("n"), F.max((F.col("hit_us") - F.col("us")) / S).alias("w")).collect()
     assert sum(r.n for r in waits) == 14_400 and max(r.w for r in waits if r.hit) >= 3000
