@@ -94,7 +94,8 @@ def fund_flow_bfs(edges: DataFrame, seeds: DataFrame, min_amount: float = 0.0, d
     """Wallets reached from each seed within ``depth`` undirected hops.
 
     Each wallet keeps the hop that discovered it: the earliest (ts, id) edge, and
-    its amount as strength. ``seeds`` has one column ``wallet``.
+    its amount as strength. ``seeds`` has one column ``wallet``. From the second hop on,
+    what a hop finds is written before the next one starts.
     """
     hop = edges.where(F.col("amount_usd") >= min_amount).select(
         F.explode(F.array(F.struct(F.col("src").alias("here"), F.col("dst").alias("there")), F.struct(F.col("dst").alias("here"), F.col("src").alias("there")))).alias("p"),
@@ -109,6 +110,8 @@ def fund_flow_bfs(edges: DataFrame, seeds: DataFrame, min_amount: float = 0.0, d
             .groupBy("seed", "there").agg(F.min_by("amount_usd", first).alias("amount"))
             .select("seed", F.col("there").alias("wallet"), F.lit(d).alias("depth"), "amount")
         )
+        if 1 < d < depth:  # a later hop would hold the plans of all earlier ones several times over
+            step = cut_lineage(step)
         found = step if found is None else found.unionByName(step)
         frontier = step.select("seed", "wallet")
         visited = visited.unionByName(frontier)

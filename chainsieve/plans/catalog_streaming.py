@@ -182,17 +182,22 @@ def _(t):
     return live.run_to_table(matched, folder(t)).drop("batch")
 
 
-@query("stream_drift")
+@query("stream_drift", "SELECT b AS batch, true AS in_range FROM range(1, 3) r(b)")
 def _(t):
     out = folder(t)
     rows = batched_rows(t).select("ts", F.col("trade_id").alias("row_id"), "amount_usd", "gas_price", (F.col("token_age_hours") / 72.0).alias("prediction"), (F.col("side") == "buy").cast("double").alias("performance"))
     monitor.stream_drift(rows, ["amount_usd", "gas_price"], out, once=True).awaitTermination()
-    return t.spark.read.parquet(f"{out}/reports").select("batch", "drift_detected", "drift_type", "confidence")
+    report = t.spark.read.parquet(f"{out}/reports")  # the first batch fills the reference
+    return report.select(F.col("batch").cast("long").alias("batch"), (F.col("drift_detected").isNotNull() & (F.col("confidence") >= 0) & (F.col("confidence") <= 1)).alias("in_range"))
 
 
-@query("incremental_scoring")
+@query("incremental_scoring", "SELECT b AS batch, true AS in_range FROM range(0, 3) r(b)")
 def _(t):
     out = folder(t)
     rows = batched_rows(t).select("ts", F.col("trade_id").alias("row_id"), "amount_usd", "gas_price", (F.col("side") == "buy").cast("double").alias("label"))
     monitor.incremental_scoring(rows, ["amount_usd", "gas_price"], out, once=True).awaitTermination()
-    return t.spark.read.parquet(f"{out}/meta").select("batch", "model_batch", "waiting")
+    meta, metrics = (t.spark.read.parquet(f"{out}/{part}") for part in ("meta", "metrics"))
+    # every batch but the first is scored, by a model of an earlier batch, before it is trained on
+    scored = metrics.select("batch", F.col("model_batch").alias("by"), *[F.col(c).between(0, 1).alias(c) for c in ("accuracy", "brier_score")])
+    tested = F.coalesce((F.col("by") < F.col("batch")) & F.col("accuracy") & F.col("brier_score"), F.col("batch") == 0)
+    return meta.join(scored, "batch", "left").select(F.col("batch").cast("long").alias("batch"), (F.col("model_batch").between(0, F.col("batch")) & tested).alias("in_range"))

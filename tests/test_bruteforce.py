@@ -204,3 +204,28 @@ def test_isotonic_map(spark):
     for s, n, ps in blocks:
         for p in ps:
             assert got[round(p, 6)] == pytest.approx(s / n, abs=1e-9)
+
+
+def test_fund_flow_over_six_hops(spark):
+    """Every wallet at its hop, with the amount of the earliest edge that found it; the plan doesn't grow with its own copies."""
+    import random
+
+    from chainsieve.operators.graph import fund_flow_bfs
+
+    rng = random.Random(5)
+    edges = [(i, rng.randrange(60), rng.randrange(60), float(rng.randrange(1, 50)), rng.randrange(40)) for i in range(75)] + [(100 + i, 60 + i, 61 + i, 20.0, i) for i in range(8)] + [(200, 0, 60, 9.0, 3)]
+    frame = spark.createDataFrame(edges, "trade_id long, src long, dst long, amount_usd double, s long").selectExpr("trade_id", "src", "dst", "amount_usd", "timestamp_seconds(s) AS ts")
+    seen, frontier, want = {0}, {0}, {}
+    for depth in range(1, 7):
+        first = {}
+        for i, a, b, usd, ts in edges:
+            for here, there in ((a, b), (b, a)):
+                if usd >= 5 and here in frontier and there not in seen:
+                    first[there] = min(first.get(there, (ts, i, here, usd)), (ts, i, here, usd))
+        want |= {w: (depth, v[3]) for w, v in first.items()}
+        frontier = set(first)
+        seen |= frontier
+    out = fund_flow_bfs(frame, spark.createDataFrame([(0,)], "wallet long"), 5.0, 6)
+    assert {r.wallet: (r.depth, r.amount) for r in out.collect()} == want
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert max(v[0] for v in want.values()) == 6 and plan.count("trade_id") < 400
