@@ -7,8 +7,10 @@ v = ln(1 + trades) a normalised difference is 1 - exp(-|du|), so the space is
 covered with cells small enough that all wallets of a cell are alike. Only cells
 are compared with cells; their number depends on the logarithm of the value
 ranges and not on the number of wallets. A pair of cells whose corners settle
-the question needs no wallet at all, and wallets are looked at only for pairs
-that are unsettled and not already tied through other cells.
+the question needs no wallet at all. Pairs that are unsettled and not already tied
+through other cells are split: each cell into halves on every axis, until the corners of
+some two parts settle it. A part of equal points has no extent, so this ends, and at no
+time are the wallets of one cell paired with those of another.
 """
 
 from __future__ import annotations
@@ -72,14 +74,8 @@ def pattern_clusters(signatures: DataFrame, threshold: float = 0.3) -> DataFrame
     root = lambda c, name: tied.select(F.col("vertex").alias(c), F.col("component").alias(name))
     open_ = pairs.where("not sure").join(root("a", "ra"), "a", "left").join(root("b", "rb"), "b", "left").where(
         F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").distinct()
-    owned = points.join(cells, ["cu", "cw", "cv"]).select("rep", "u", "w", "v").distinct()
-    side = lambda c, n: owned.select(F.col("rep").alias(c), *[F.col(a).alias(f"{a}{n}") for a in "uwv"])
-    gap = _bend(F.abs(F.col("u1") - F.col("u2"))) + F.abs(F.col("w1") - F.col("w2")) + _bend(F.abs(F.col("v1") - F.col("v2")))
-    boxes = cells.select(F.col("rep").alias("b"), *[f"{n}_{a}" for a in "uwv" for n in ("lo", "hi")])
-    # A wallet goes on only if it is near enough to the other cell's extremes.
-    off = lambda a: F.greatest(F.lit(0.0), F.col(f"lo_{a}") - F.col(f"{a}1"), F.col(f"{a}1") - F.col(f"hi_{a}"))
-    left = open_.join(side("a", 1), "a").join(boxes, "b").where(_bend(off("u")) + off("w") + _bend(off("v")) < limit).select("a", "b", "u1", "w1", "v1")
-    found = left.join(side("b", 2), "b").where(gap < limit).select("a", "b").distinct()
+    owned = points.join(cells.select("cu", "cw", "cv", "rep"), ["cu", "cw", "cv"]).select("rep", "u", "w", "v").distinct()
+    found = _settled(owned, open_, step, limit)
 
     together = connected_components(sure.unionByName(found))
     member = points.join(cells.select("cu", "cw", "cv", "rep"), ["cu", "cw", "cv"]).join(together.withColumnRenamed("vertex", "rep"), "rep", "left")
@@ -88,6 +84,30 @@ def pattern_clusters(signatures: DataFrame, threshold: float = 0.3) -> DataFrame
     return _drop_single(group)
 
 
+def _settled(points: DataFrame, pairs: DataFrame, step: float, limit: float) -> DataFrame:
+    """Of the pairs (a, b) of cells ``rep``, those with alike wallets, by splitting both until corners decide."""
+    key = lambda level: F.struct(*[F.floor(F.col(x) / (step / 2**level)).alias(x) for x in "uwv"])
+    up = lambda k: F.struct(*[F.floor(F.col(f"{k}.{x}") / 2).alias(x) for x in "uwv"])
+    box = [f(x).alias(f"{n}_{x}") for x in "uwv" for n, f in (("lo", F.min), ("hi", F.max))]
+    found, level = None, 0
+    pairs = pairs.withColumn("ka", F.lit(None)).withColumn("kb", F.lit(None))
+    while True:
+        level += 1
+        live = points if level == 1 else points.withColumn("k", key(level - 1)).join(
+            pairs.select(F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("ka").alias("k")), F.struct(F.col("b").alias("rep"), F.col("kb").alias("k")))).alias("s")).select("s.*").distinct(), ["rep", "k"], "left_semi").drop("k")
+        parts = live.groupBy("rep", key(level).alias("k")).agg(*box)
+        x, y = parts.withColumn("up", up("k")).alias("x"), parts.withColumn("up", up("k")).alias("y")
+        first = (F.col("p.a") == F.col("x.rep")) if level == 1 else (F.col("p.a") == F.col("x.rep")) & (F.col("p.ka") == F.col("x.up"))
+        second = (F.col("p.b") == F.col("y.rep")) if level == 1 else (F.col("p.b") == F.col("y.rep")) & (F.col("p.kb") == F.col("y.up"))
+        near = pairs.alias("p").join(x, first).join(y, second).where(_span(_least_gap) < limit)
+        near = cut_lineage(near.select("p.a", "p.b", F.col("x.k").alias("ka"), F.col("y.k").alias("kb"), (_span(_most_gap) < limit).alias("sure")))
+        sure = near.where("sure").select("a", "b").distinct()
+        found = sure if found is None else found.unionByName(sure)
+        pairs = near.where("not sure").drop("sure").join(sure, ["a", "b"], "left_anti")
+        if pairs.isEmpty():
+            return found
+
+
 def _drop_single(group: DataFrame) -> DataFrame:
     sizes = group.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     return group.join(sizes, "group", "left_semi").select("wallet", F.col("group").alias("cluster_id"))

@@ -83,6 +83,6 @@ def kelly_entries(predictions: DataFrame, *, fraction: float = 0.25, cap: float
 
 
 def copy_trade_candidates(ranked: DataFrame, trades: DataFrame, k: int = 10) -> DataFrame:
-    """Daily trades of the k best wallets; the k rows are the only broadcast side."""
+    """Daily trades of the k best wallets; whether those are broadcast is left to their size."""
     best = ranked.orderBy("rank").limit(k).select("wallet")
-    return trades.join(F.broadcast(best), "wallet", "left_semi").withColumn("day", F.date_trunc("day", "ts"))
+    return trades.join(best, "wallet", "left_semi").withColumn("day", F.date_trunc("day", "ts"))

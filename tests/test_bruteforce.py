@@ -229,3 +229,35 @@ def test_fund_flow_over_six_hops(spark):
     assert {r.wallet: (r.depth, r.amount) for r in out.collect()} == want
     plan = out._jdf.queryExecution().analyzed().toString()
     assert max(v[0] for v in want.values()) == 6 and plan.count("trade_id") < 400
+
+
+@pytest.mark.parametrize(("seed", "threshold"), [(1, 0.3), (2, 0.05), (3, 0.02)])
+def test_pattern_clusters_with_crowded_cells(spark, seed, threshold):
+    """Half of the wallets in two neighbouring cells; the components are those of all pairs."""
+    import math
+    import random
+
+    from chainsieve.operators.patterns import pattern_clusters
+
+    rng = random.Random(seed)
+    rows = [(i, rng.uniform(10, 14) if i % 2 else rng.uniform(0, 5000), round(rng.uniform(0.4, 0.6), 3) if i % 2 else rng.random(), rng.randint(20, 24) if i % 2 else rng.randint(1, 4000)) for i in range(240)]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    bend = lambda d: 1 - math.exp(-abs(d))
+    for i, a in enumerate(rows):
+        for j in range(i):
+            b = rows[j]
+            if bend(math.log1p(a[1]) - math.log1p(b[1])) + abs(a[2] - b[2]) + bend(math.log1p(a[3]) - math.log1p(b[3])) < 3 * threshold and find(i) != find(j):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    groups: dict = {}
+    for i in range(len(rows)):
+        groups.setdefault(find(i), []).append(i)
+    want = {i: g for g, own in groups.items() if len(own) > 1 for i in own}
+    got = pattern_clusters(spark.createDataFrame(rows, "wallet long, avg_hold double, win_rate double, trades long"), threshold)
+    assert {r.wallet: r.cluster_id for r in got.collect()} == want
