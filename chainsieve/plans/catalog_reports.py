@@ -10,6 +10,7 @@ from chainsieve.operators import wallet as w
 from chainsieve.operators.matching import fifo_match
 from chainsieve.plans import reports as rp
 from chainsieve.plans.catalog_features import TRANSFERS, market, token_transfers
+from chainsieve.plans.catalog_wallet import UNREAL
 from chainsieve.plans.registry import query
 from chainsieve.schemas import duplicate_keys
 from chainsieve.sources import readers as rd
@@ -87,14 +88,33 @@ def _(t):
     return doc.select("token", F.to_json(F.struct("*")).alias("document"))
 
 
-@query("wallet_report")
-def _(t):
+def wallet_documents(t):
     closed = fifo_match(t.trades)
     ranks = w.rank_wallets(w.wallet_metrics(closed, per_chain=False), "pnl").select("wallet", "rank", "total", "percentile")
     marked = w.price_change_5m(t.trades)
     patterns = w.behavior_patterns(closed, marked, t.listings, w.alternation_wash_score(t.trades))
-    doc = rp.wallet_report(w.win_rates(closed, as_of()), w.realized_pnl(closed), w.breakdown(closed, "token"), closed, patterns, ranks, as_of=as_of())
-    return doc.select("wallet", F.to_json(F.struct("*")).alias("document"))
+    held = w.unrealized_pnl(t.positions, w.current_prices(t.prices))
+    return rp.wallet_report(w.win_rates(closed, as_of()), w.realized_pnl(closed), w.breakdown(closed, "token"), closed, patterns, ranks, unrealized=held, as_of=as_of())
+
+
+@query("wallet_report")
+def _(t):
+    return wallet_documents(t).select("wallet", F.to_json(F.struct("*")).alias("document"))
+
+
+@query("wallet_report_cells", f"""WITH u AS (SELECT wallet, sum(unrealized_pnl) AS total, count(*) AS positions FROM ({UNREAL}) GROUP BY wallet),
+ c AS (SELECT wallet, count(DISTINCT token) AS tokens, count(*) AS n, sum(pnl) AS pnl, count(*) FILTER (WHERE pnl > 0) AS wins, max(exit_ts) AS newest FROM v_closed GROUP BY wallet)
+ SELECT c.wallet, tokens, least(n, 100) AS trades, round(pnl, 4) AS realized, wins, newest, rank() OVER (ORDER BY round(pnl, 6) DESC) AS place, round(total, 4) AS unrealized, positions FROM c LEFT JOIN u ON u.wallet = c.wallet""", digits=4)
+def _(t):
+    """The documents' parts as columns; wallets with equal profit share the better place."""
+    doc = wallet_documents(t)
+    add = lambda c, zero: F.aggregate(c, zero, lambda a, x: a + x)
+    parts = doc.select(
+        "wallet", F.size("token_breakdown").cast("long").alias("tokens"), F.size("trades").cast("long").alias("trades"), add(F.transform("token_breakdown", lambda x: x["total_pnl"]), F.lit(0.0)).alias("realized"),
+        add(F.transform("token_breakdown", lambda x: x["wins"].cast("long")), F.lit(0).cast("long")).alias("wins"),
+        F.get("trades", F.lit(0))["exit_ts"].alias("newest"), F.col("ranking.rank").alias("rank"), F.col("unrealized_pnl.total").alias("unrealized"), F.col("unrealized_pnl.positions").alias("positions"))
+    tied = parts.groupBy(F.round("realized", 6).alias("r")).agg(F.min("rank").cast("long").alias("place"))
+    return parts.withColumn("r", F.round("realized", 6)).join(tied, "r").drop("r", "rank")
 
 
 # ---------------------------------------------------------------- set operations

@@ -65,8 +65,8 @@ def token_score(heatmap: DataFrame, risk: DataFrame, features: DataFrame, times:
     return out.join(page, "token", "left").withColumn("timelines", F.struct("liquidity", "mentions", "dev_transfers")).drop("liquidity", "mentions", "dev_transfers").withColumn("timestamp", as_of)
 
 
-def wallet_report(rates: DataFrame, pnl: DataFrame, breakdown: DataFrame, closed: DataFrame, patterns: DataFrame, ranks: DataFrame, related: DataFrame | None = None, *, as_of: Column, trades: int = 100, tokens: int = 100) -> DataFrame:
-    """One document per wallet: win rates, profit, token breakdown, newest trades, behaviour, relations and ranks."""
+def wallet_report(rates: DataFrame, pnl: DataFrame, breakdown: DataFrame, closed: DataFrame, patterns: DataFrame, ranks: DataFrame, related: DataFrame | None = None, unrealized: DataFrame | None = None, *, as_of: Column, trades: int = 100, tokens: int = 100) -> DataFrame:
+    """One document per wallet: win rates, realized profit, unrealized profit in total and by token, token breakdown, newest trades, behaviour, relations and ranks."""
     doc = lambda df, name: df.select("wallet", F.struct(*[c for c in df.columns if c != "wallet"]).alias(name))
     out = doc(rates, "win_rate").join(doc(pnl, "realized_pnl"), "wallet", "left").join(doc(ranks, "ranking"), "wallet", "left")
     out = out.join(_page(breakdown, "wallet", [F.col("total_pnl").desc(), F.col("token")], ["token", "total_pnl", "trades", "wins", "win_rate"], "token_breakdown", tokens), "wallet", "left")
@@ -74,6 +74,11 @@ def wallet_report(rates: DataFrame, pnl: DataFrame, breakdown: DataFrame, closed
     out = out.join(page, "wallet", "left")
     # At most one entry per named pattern.
     out = out.join(patterns.groupBy("wallet").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("pattern", "confidence")))).alias("behavior")), "wallet", "left")
+    if unrealized is not None:
+        total = unrealized.groupBy("wallet").agg(F.sum("unrealized_pnl").alias("total"), F.sum("current_value").alias("current_value"), F.count(F.lit(1)).alias("positions"))
+        page = _page(unrealized, "wallet", [F.col("current_value").desc(), F.col("token")], ["token", "unrealized_pnl", "current_value", "cost_basis"], "by_token", tokens)
+        both = total.join(page, "wallet").select("wallet", F.struct("total", "current_value", "positions", "by_token").alias("unrealized_pnl"))
+        out = out.join(both, "wallet", "left")
     if related is not None:
         out = out.join(_page(related, "of_wallet", [F.col("strength").desc(), F.col("wallet")], ["wallet", "relationship_type", "strength"], "related_wallets", 50).withColumnRenamed("of_wallet", "wallet"), "wallet", "left")
     return out.withColumn("timestamp", as_of)
