@@ -24,6 +24,11 @@ def ks_distance(samples: DataFrame, keys: list[str]) -> DataFrame:
     """
     counts = samples.where(F.col("value").isNotNull()).groupBy(*keys, "value").agg(
         F.count_if("is_reference").alias("r"), F.count_if(~F.col("is_reference")).alias("c"))
+    return ks_of_counts(counts, keys)
+
+
+def ks_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """``ks_distance`` of values that are counted already: ``r`` times in the reference, ``c`` times in the current sample."""
     run = ordered_scan(counts, keys, ["value"], value_slice("value"), running={"rr": ("sum", F.col("r")), "cc": ("sum", F.col("c"))},
                        total={"n_reference": ("sum", F.col("r")), "n_current": ("sum", F.col("c"))})
     gap = F.abs(F.try_divide("rr", "n_reference") - F.try_divide("cc", "n_current"))
@@ -46,6 +51,14 @@ def feature_drift(samples: DataFrame, keys: list[str]) -> DataFrame:
 def drift_report(rows: DataFrame, keys: list[str], names: list[str], *, threshold: float = 0.05) -> DataFrame:
     """One report per key over features, ``prediction`` and ``performance`` with their ``is_reference`` flag."""
     tests = feature_drift(long_features(rows, keys, [*names, "prediction"], ["is_reference"]), keys)
+    ref, cur = F.count_if("is_reference"), F.count_if(~F.col("is_reference"))
+    change = F.avg(F.when(~F.col("is_reference"), F.col("performance"))) - F.avg(F.when(F.col("is_reference"), F.col("performance")))
+    sizes = rows.groupBy(*keys).agg(ref.alias("n_ref"), cur.alias("n_cur"), change.alias("performance_change"))
+    return _judged(tests, sizes, keys, len(names), threshold)
+
+
+def _judged(tests: DataFrame, sizes: DataFrame, keys: list[str], features: int, threshold: float) -> DataFrame:
+    """The report of tests (feature, p_value) and sizes (n_ref, n_cur, performance_change) per key."""
     is_pred = F.col("feature") == "prediction"
     low = F.col("p_value") < threshold
     summary = tests.groupBy(*keys).agg(
@@ -53,16 +66,13 @@ def drift_report(rows: DataFrame, keys: list[str], names: list[str], *, threshol
         F.max(F.when(~is_pred, 1 - F.col("p_value"))).alias("feature_confidence"),
         F.max(F.when(is_pred, 1 - F.col("p_value"))).alias("prediction_confidence"),
         F.coalesce(F.bool_or(is_pred & low), F.lit(False)).alias("prediction_drift"))
-    ref, cur = F.count_if("is_reference"), F.count_if(~F.col("is_reference"))
-    change = F.avg(F.when(~F.col("is_reference"), F.col("performance"))) - F.avg(F.when(F.col("is_reference"), F.col("performance")))
-    sizes = rows.groupBy(*keys).agg(ref.alias("n_ref"), cur.alias("n_cur"), change.alias("performance_change"))
     both = (sizes.join(summary, keys) if keys else sizes.crossJoin(F.broadcast(summary))).withColumn(
         "enough", (F.col("n_ref") >= MIN_REFERENCE) & (F.col("n_cur") >= MIN_CURRENT))
     delta = F.col("performance_change")
     feature = F.size("affected_features") > 0
     perf = F.coalesce(delta < -threshold, F.lit(False))
     detected = F.col("enough") & (feature | F.col("prediction_drift") | perf)
-    sudden = (perf & (delta < -0.10)) | (F.size("affected_features") > 0.5 * len(names))
+    sudden = (perf & (delta < -0.10)) | (F.size("affected_features") > 0.5 * features)
     confidence = F.greatest(F.coalesce("feature_confidence", F.lit(0.0)), F.coalesce("prediction_confidence", F.lit(0.0)),
                             F.coalesce(F.least(F.abs(delta) / threshold, F.lit(1.0)), F.lit(0.0)))
     return both.select(
@@ -72,6 +82,64 @@ def drift_report(rows: DataFrame, keys: list[str], names: list[str], *, threshol
         F.when(F.col("enough"), delta).alias("performance_change"))
 
 
+ROWS, PERFORMANCE = "__rows", "__performance"
+
+
+def sample_summary(rows: DataFrame, names: list[str]) -> DataFrame:
+    """A sample as counted values, which can be merged with others: feature, banded, value, n, total.
+
+    One row per feature and value; one row each for the number of rows and for the
+    number and sum of ``performance``.
+    """
+    values = long_features(rows, [], [*names, "prediction"], []).where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    facts = rows.agg(F.count(F.lit(1)).alias("rows"), F.count("performance").alias("known"), F.coalesce(F.sum(F.col("performance").cast("double")), F.lit(0.0)).alias("total"))
+    kinds = F.array(F.struct(F.lit(ROWS).alias("feature"), F.col("rows").alias("n"), F.lit(0.0).alias("total")), F.struct(F.lit(PERFORMANCE).alias("feature"), F.col("known").alias("n"), "total"))
+    facts = facts.select(F.explode(kinds).alias("f")).select("f.feature", F.lit(False).alias("banded"), F.lit(None).cast("double").alias("value"), "f.n", "f.total")
+    return values.select("feature", F.lit(False).alias("banded"), "value", "n", F.lit(0.0).alias("total")).unionByName(facts)
+
+
+def _same_grain(summary: DataFrame, banded: DataFrame) -> DataFrame:
+    """``summary`` with the values of the features in ``banded`` replaced by the number of their band."""
+    marked = summary.join(banded.select("feature", F.lit(True).alias("to_band")), "feature", "left")
+    band = F.coalesce("to_band", F.lit(False)) & ~F.col("banded")
+    value = F.when(band, value_slice("value").cast("double")).otherwise(F.col("value"))
+    return marked.withColumn("value", value).withColumn("banded", F.col("banded") | band).drop("to_band")
+
+
+def merge_summaries(one: DataFrame, other: DataFrame, limit: int) -> DataFrame:
+    """Both samples as one. A feature with more than ``limit`` distinct values is kept as counts of bands, 64 to each doubling, from then on."""
+    both = one.unionByName(other)
+    folded = lambda df: df.groupBy("feature", "banded", "value").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    whole = folded(both)
+    wide = whole.groupBy("feature").agg((F.bool_or("banded") | (F.count(F.lit(1)) > limit)).alias("wide")).where("wide")
+    return folded(_same_grain(whole, wide))
+
+
+def summary_tests(reference: DataFrame, current: DataFrame) -> DataFrame:
+    """Distance and p-value per feature of two summaries, and how far off the distance may be.
+
+    ``statistic_error`` is 0 where both samples hold exact values. Otherwise the gap is
+    known at the borders of bands, and inside a band it can exceed both of its borders'
+    by no more than that band's larger share.
+    """
+    wide = reference.where("banded").select("feature").unionByName(current.where("banded").select("feature")).distinct()
+    side = lambda df, r, c: _same_grain(df.where(~F.col("feature").isin(ROWS, PERFORMANCE)), wide).select("feature", "banded", "value", r.alias("r"), c.alias("c"))
+    none = F.lit(0).cast("bigint")
+    both = side(reference, F.col("n"), none).unionByName(side(current, none, F.col("n")))
+    counts = both.groupBy("feature", "value").agg(F.sum("r").alias("r"), F.sum("c").alias("c"), F.bool_or("banded").alias("banded"))
+    tests = ks_of_counts(counts, ["feature"]).withColumn("p_value", ks_p_value(F.col("statistic"), F.col("n_reference"), F.col("n_current")))
+    largest = counts.where("banded").groupBy("feature").agg(F.max("r").alias("r"), F.max("c").alias("c"))
+    share = F.greatest(F.try_divide("r", "n_reference"), F.try_divide("c", "n_current"))
+    return tests.join(largest, "feature", "left").withColumn("statistic_error", F.coalesce(share, F.lit(0.0))).drop("r", "c")
+
+
+def summary_report(tests: DataFrame, reference: DataFrame, current: DataFrame, names: list[str], *, threshold: float = 0.05) -> DataFrame:
+    """``drift_report`` from the tests and summaries of two samples."""
+    fact = lambda df, n: df.agg(F.coalesce(F.max(F.when(F.col("feature") == ROWS, F.col("n"))), F.lit(0)).alias(f"n_{n}"), F.max(F.when(F.col("feature") == PERFORMANCE, F.try_divide("total", "n"))).alias(f"p_{n}"))
+    sizes = fact(reference, "ref").crossJoin(F.broadcast(fact(current, "cur")))  # one row each
+    return _judged(tests, sizes.withColumn("performance_change", F.col("p_cur") - F.col("p_ref")), [], len(names), threshold)
+
+
 def drift_summary(reports: DataFrame, keys: list[str], last: int = 20) -> DataFrame:
     """Count, rate, most frequent type (ties alphabetical), mean confidence and latest report over the last reports."""
     w = Window.partitionBy(*keys).orderBy(F.col("ts").desc())

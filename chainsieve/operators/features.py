@@ -114,8 +114,15 @@ def smart_money_flow(transfers: DataFrame, known: DataFrame) -> DataFrame:
         F.sum(tokens("amount")).cast("double").alias("smart_money_volume"), (F.sum("buy") / n).alias("smart_money_buy_ratio"))
 
 
-def dev_and_growth(holdings: DataFrame, transfers: DataFrame, developers: DataFrame, as_of: Column) -> DataFrame:
-    """Developer share of supply, developer sells and holder growth over the last 24 hours."""
+def lp_locked(pool_events: DataFrame, as_of: Column) -> DataFrame:
+    """Value locked in a token's pools at ``as_of``, locks less unlocks and never below zero, and whether there is any."""
+    amount = F.when(F.col("type") == "lock", money("value_usd")).when(F.col("type") == "unlock", -money("value_usd")).otherwise(0)
+    held = pool_events.where(F.col("ts") <= as_of).groupBy("token").agg(F.coalesce(F.sum(amount), F.lit(0)).cast("double").alias("held"))
+    return held.select("token", (F.col("held") > 0).alias("lp_locked"), F.greatest("held", F.lit(0.0)).alias("lp_locked_usd"))
+
+
+def dev_and_growth(holdings: DataFrame, transfers: DataFrame, developers: DataFrame, as_of: Column, pool_events: DataFrame | None = None) -> DataFrame:
+    """Developer share of supply, developer sells and holder growth over the last 24 hours; with ``pool_events`` also ``lp_locked`` (false without a lock)."""
     day = F.expr("INTERVAL 24 HOURS")
     supply = holdings.groupBy("token").agg(F.sum("balance").alias("supply"), F.count(F.lit(1)).alias("holders_now"))
     dev = holdings.join(developers, ["token", "address"], "left_semi").groupBy("token").agg(F.sum("balance").alias("dev_balance"))
@@ -124,9 +131,12 @@ def dev_and_growth(holdings: DataFrame, transfers: DataFrame, developers: DataFr
         F.count(F.lit(1)).alias("dev_sells_24h"))
     before = holders_from_transfers(transfers.where(F.col("ts") <= as_of - day)).groupBy("token").agg(F.count(F.lit(1)).alias("holders_before"))
     out = supply.join(dev, "token", "left").join(sells, "token", "left").join(before, "token", "left").fillna({"dev_balance": 0.0, "dev_sells_24h": 0, "holders_before": 0})
+    locked = []
+    if pool_events is not None:
+        out, locked = out.join(lp_locked(pool_events, as_of), "token", "left").fillna({"lp_locked": False}), ["lp_locked"]
     return out.select(
         "token", ratio(F.col("dev_balance") * 100.0, F.col("supply")).alias("dev_holding_percentage"), "dev_sells_24h",
-        ratio(F.col("holders_now") - F.col("holders_before"), F.col("holders_before")).alias("holder_growth_24h"))
+        ratio(F.col("holders_now") - F.col("holders_before"), F.col("holders_before")).alias("holder_growth_24h"), *locked)
 
 
 # ---------------------------------------------------------------- social

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainsieve.operators.ordered import join_same, ordered_scan, time_slice
+from chainsieve.operators.ordered import even_slices, join_same, ordered_scan, time_slice
 from chainsieve.tables import money
 
 #: Quantities are shifted so that a key's total has eleven digits before the point: 27 decimals are left for its smallest trade.
@@ -62,6 +62,7 @@ def fifo_match(
     require_prior_buy: bool = False,
     slice_seconds: int = 3600,
     rows_per_slice: int = 100_000,
+    even: bool = False,
 ) -> DataFrame:
     """One row per sell that matched at least one buy.
 
@@ -74,6 +75,7 @@ def fifo_match(
 
     ``compat`` charges a partly used lot against its remaining quantity.
     ``require_prior_buy`` lets a sell use only inventory bought before it.
+    ``even`` cuts a slice of time with more than ``rows_per_slice`` trades by rows.
     """
     ks = list(keys)
     extra = [c for c in ("chain",) if c in trades.columns and c not in ks]
@@ -84,6 +86,8 @@ def fifo_match(
     power = (F.floor(F.log10(F.sum("amount"))) - DIGITS).cast("int").alias("power")
     base = join_same(base, base.groupBy(*ks).agg(power), ks).withColumn("qty", shifted(F.col("amount"), F.col("power"))).drop("amount", "power")
     when = time_slice("ts", slice_seconds)
+    if even:
+        base, when = even_slices(base, ks, ("ts", "trade_id"), seconds=slice_seconds, most=rows_per_slice, name="__even"), F.col("__even")
     if require_prior_buy:
         base = _sellable(base, ks, when)
     zero = F.lit(0).cast(QTY)

@@ -47,6 +47,45 @@ def value_slice(value: Column | str, per_octave: int = 64) -> Column:
     return F.floor(F.signum(v) * F.log2(1.0 + F.abs(v) * 1.0e6) * per_octave)
 
 
+#: Bits of an order value that each finer cut leaves out: about 4 seconds, 4 milliseconds and one
+#: microsecond of time, then the tie column among rows of one microsecond.
+TIME_CUTS, TIE_CUTS = (22, 12, 0), (42, 28, 14, 0)
+
+
+def even_slices(df: DataFrame, keys: Sequence[str], order: tuple[str, str], *, seconds: int = 3600, most: int = 1_000_000, name: str = "even_slice") -> DataFrame:
+    """``df`` with a slice column for ``ordered_scan`` that is cut by rows where time alone is too coarse.
+
+    ``order`` is a timestamp and an integer that orders rows of one timestamp. Slices
+    are ``seconds`` long. One that holds more than ``most`` rows is cut again by exact
+    counts: rows are counted in finer and finer cells, cells in order are put together
+    until they hold ``most`` rows, and only cells that are still too full are opened
+    further. So no slice has more than twice ``most`` rows, unless rows have equal order
+    values. A null timestamp or integer is a cell of its own, before all others.
+
+    Counts of too full cells are written out while the plan is built, one small job per
+    cut that is needed; with no such cell that is the first count alone.
+    """
+    at, tie = F.unix_micros(_name(order[0])), F.col(order[1]).cast("bigint")
+    cuts = [F.shiftright(at, bits) for bits in TIME_CUTS] + [F.struct(at, F.shiftright(tie, bits)) for bits in TIE_CUTS]
+    path, fine, rows = "__path", "__fine", df.withColumn("__path", F.struct(*keys, time_slice(order[0], seconds).alias("s")))
+    full = cut_lineage(rows.groupBy(path).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(path))
+    levels = ["s"]
+    for depth, cut in enumerate(cuts):
+        if full.isEmpty():
+            break
+        counts = rows.join(full, path).groupBy(path, cut.alias(fine)).agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy(path).orderBy(fine).rowsBetween(Window.unboundedPreceding, 0))
+        cells = cut_lineage(counts.select(F.struct(path, fine).alias(CELL), F.floor((upto - F.col("n")) / most).alias("__at"), "n"))
+        level = f"s{depth}"
+        deeper = lambda p, place: F.struct(*[F.col(p)[c].alias(c) for c in [*keys, *levels]], place.alias(level))  # noqa: E731, B023
+        rows = rows.withColumn(CELL, F.struct(F.col(path), cut.alias(fine))).join(cells.select(CELL, "__at"), CELL, "left")
+        rows = rows.withColumn(path, deeper(path, F.coalesce("__at", F.lit(-1)))).drop(CELL, "__at")
+        held = cells.withColumn(path, deeper(f"{CELL}.{path}", F.col("__at"))).groupBy(path).agg(F.sum("n").alias("n"))
+        full = cut_lineage(held.where(F.col("n") > 2 * most).select(path))
+        levels.append(level)
+    return rows.withColumn(name, F.struct(*[F.col(path)[c].alias(c) for c in levels])).drop(path)
+
+
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equality join on keys that may be null: a null equals a null."""
     named = right.withColumn(CELL, F.struct(*keys)).drop(*keys)

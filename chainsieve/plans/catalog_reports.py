@@ -47,6 +47,15 @@ def _pool_events(t):
     return t.events.select((F.col("event_id") % 10).cast("int").alias("token"), "ts", kind.alias("type"), F.col("value").alias("value_usd"))
 
 
+LOCK_NOW = "2024-01-15 00:00:00"
+
+
+@query("lp_locked", f"""WITH s AS (SELECT event_id % 10 AS token, CAST(sum(CASE event_type WHEN 'purchase' THEN 0 WHEN 'view' THEN 0 WHEN 'click' THEN CAST(value AS DECIMAL(30,12)) ELSE -CAST(value AS DECIMAL(30,12)) END) AS DOUBLE) AS held
+ FROM events WHERE ts <= TIMESTAMP '{LOCK_NOW}' GROUP BY 1) SELECT CAST(token AS INT) AS token, held > 0 AS lp_locked, round(greatest(held, 0), 6) AS lp_locked_usd FROM s""")
+def _(t):
+    return ft.lp_locked(_pool_events(t), F.lit(LOCK_NOW).cast("timestamp"))
+
+
 def _token_posts(t):
     return t.posts.withColumn("token", (F.col("post_id") % 10).cast("int"))
 

@@ -191,6 +191,29 @@ def _(t):
     return report.select(F.col("batch").cast("long").alias("batch"), (F.col("drift_detected").isNotNull() & (F.col("confidence") >= 0) & (F.col("confidence") <= 1)).alias("in_range"))
 
 
+BATCH_OF = f"""v AS (SELECT *, CASE WHEN trade_id % 5 = 0 THEN least(own + 1, {BATCHES - 1}) ELSE own END AS batch FROM (SELECT *, least((epoch_us(ts) - (SELECT epoch_us(min(ts)) FROM events)) * {BATCHES} // (SELECT epoch_us(max(ts)) - epoch_us(min(ts)) FROM events), {BATCHES - 1}) AS own FROM v_trades)),
+ lg AS (SELECT batch, 'amount_usd' AS feature, amount_usd AS x FROM v UNION ALL SELECT batch, 'gas_price', gas_price FROM v UNION ALL SELECT batch, 'prediction', token_age_hours / 72 FROM v),
+ pr AS (SELECT b AS batch, feature, x, batch = 0 AS ref FROM lg, (VALUES (1), (2)) o(b) WHERE x IS NOT NULL AND batch IN (0, b))"""
+
+
+@query("stream_drift_tests", f"""WITH {BATCH_OF}, ct AS (SELECT batch, feature, x, count(*) FILTER (WHERE ref) AS r, count(*) FILTER (WHERE NOT ref) AS c FROM pr GROUP BY ALL),
+ cm AS (SELECT batch, feature, sum(r) OVER w AS rr, sum(c) OVER w AS cc, sum(r) OVER a AS nr, sum(c) OVER a AS nc FROM ct WINDOW w AS (PARTITION BY batch, feature ORDER BY x), a AS (PARTITION BY batch, feature))
+ SELECT batch, feature, round(max(abs(rr / nr - cc / nc)), 6) AS statistic, CAST(max(nr) AS BIGINT) AS n_reference, CAST(max(nc) AS BIGINT) AS n_current FROM cm GROUP BY ALL""")
+def _(t):
+    """The distance of each later batch from the first one, which stays the reference."""
+    out, path = folder(t), f"{folder(t)}/landed"
+    span = t.events.agg(F.unix_micros(F.min("ts")).alias("a"), F.unix_micros(F.max("ts")).alias("b")).first()
+    a, b = span["a"] or 0, span["b"] or 1
+    own = F.least(F.floor((F.unix_micros("ts") - a) * BATCHES / max(1, b - a)), F.lit(BATCHES - 1))
+    due = t.events.withColumn("due", F.when(F.col("event_id") % 5 == 0, F.least(own + 1, F.lit(BATCHES - 1))).otherwise(own))
+    for k in range(BATCHES):  # what has landed since is one batch
+        due.where(F.col("due") == k).drop("due").write.mode("append").parquet(path)
+        rows = trade_rows(live.read_rows(t.spark, path, t.events.schema, max_files=1_000_000))
+        rows = rows.select("ts", F.col("trade_id").alias("row_id"), "amount_usd", "gas_price", (F.col("token_age_hours") / 72.0).alias("prediction"), (F.col("side") == "buy").cast("double").alias("performance"))
+        monitor.stream_drift(rows, ["amount_usd", "gas_price"], out, reset_on_drift=False, once=True).awaitTermination()
+    return t.spark.read.parquet(f"{out}/tests").select(F.col("batch").cast("int").alias("batch"), "feature", "statistic", "n_reference", "n_current")
+
+
 @query("incremental_scoring", "SELECT b AS batch, true AS in_range FROM range(0, 3) r(b)")
 def _(t):
     out = folder(t)

@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from chainsieve.operators import wallet as w
 from chainsieve.operators.matching import fifo_match, min_trade_size, wallet_volumes
+from chainsieve.operators.ordered import even_slices, ordered_scan
 from chainsieve.plans.registry import query
-from chainsieve.tables import as_of
+from chainsieve.tables import as_of, money
 
 CLOSED_COLS = """trade_id, token, wallet, entry_ts, exit_ts, round(cost_basis_usd, 6) AS cost_basis_usd, sell_value_usd,
   round(pnl, 6) AS pnl, round(roi, 6) AS roi, round(holding_hours, 6) AS holding_hours, matched_buys"""
@@ -16,6 +17,21 @@ def _(t):
     return fifo_match(t.trades).drop("chain")
 
 
+@query("fifo_match_even", f"SELECT {CLOSED_COLS} FROM v_closed")
+def _(t):
+    """Months of trades cut by rows where they hold more than 1,000 of one key."""
+    return fifo_match(t.trades, slice_seconds=30 * 86_400, rows_per_slice=1000, even=True).drop("chain")
+
+
+@query("running_volume_even", """SELECT chain, trade_id, CAST(sum(CAST(amount_usd AS DECIMAL(18,2))) OVER w AS DOUBLE) AS volume_usd, count(*) OVER w AS trades,
+ coalesce(lag(trade_id) OVER (PARTITION BY chain ORDER BY ts, trade_id), -1) AS previous FROM v_trades WINDOW w AS (PARTITION BY chain ORDER BY ts, trade_id ROWS UNBOUNDED PRECEDING)""")
+def _(t):
+    """A chain's trades in slices of a month, each cut again by rows."""
+    rows = even_slices(t.trades.select("chain", "ts", "trade_id", "amount_usd"), ["chain"], ("ts", "trade_id"), seconds=30 * 86_400, most=1000)
+    run = ordered_scan(rows, ["chain"], ["ts", "trade_id"], F.col("even_slice"), running={"volume": ("sum", money("amount_usd")), "trades": ("count", F.lit(1))}, before={"previous": F.col("trade_id")})
+    return run.select("chain", "trade_id", F.col("volume").cast("double").alias("volume_usd"), "trades", F.coalesce("previous", F.lit(-1)).alias("previous"))
+
+
 @query("fifo_match_compat", """
 WITH o AS (SELECT s.trade_id, s.usd, (least(s.hi, b.hi) - greatest(s.lo, b.lo)) / (b.hi - greatest(s.lo, b.lo)) * b.usd AS cost
   FROM v_lots s JOIN v_lots b ON s.side = 'sell' AND b.side = 'buy' AND s.token = b.token AND s.wallet = b.wallet AND b.lo < s.hi AND s.lo < b.hi)

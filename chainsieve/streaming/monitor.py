@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from chainsieve.operators.drift import drift_report
+from chainsieve.operators.drift import ROWS, merge_summaries, sample_summary, summary_report, summary_tests
 from chainsieve.operators.evaluation import classification_metrics, probability_losses, recency_weights
 from chainsieve.operators.ordered import time_slice
 
@@ -33,7 +33,7 @@ def newest(rows: DataFrame, n: int, ts: str = "ts", tie: str = "row_id") -> Data
 
 def stream_drift(
     rows: DataFrame, names: list[str], folder: str, *, reference_size: int | None = None, current_size: int | None = None, least: int = 100,
-    reset_on_drift: bool = True, once: bool = False,
+    reset_on_drift: bool = True, exact_values: int = 65_536, once: bool = False,
 ) -> StreamingQuery:
     """Report per batch whether its rows differ from the reference window.
 
@@ -42,31 +42,46 @@ def stream_drift(
     ``reference_size`` and ``current_size`` make them row windows: the first rows
     of the stream, filled up over batches, and the newest rows. After a detected change
     the current window takes the place of the reference. Columns: ts, row_id, the named
-    features, prediction, performance. Reports land in ``folder``/reports; a batch that
-    only fills the reference has none.
+    features, prediction, performance. Reports land in ``folder``/reports, the tests
+    of each feature in ``folder``/tests; a batch that only fills the reference has none.
+
+    Of the reference only counts per value are kept, and per band of values for a
+    feature with more than ``exact_values`` of them, so its size does not grow with the
+    rows. Tests carry the error that bands bring (``statistic_error``).
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark, prior = batch.sparkSession, f"{folder}/windows/batch={batch_id - 1}"
-        old = spark.read.parquet(prior) if _exists(spark, prior) else batch.limit(0).withColumn("is_reference", F.lit(True))
-        reference, waiting = old.where("is_reference").drop("is_reference"), old.where("not is_reference").drop("is_reference")
-        have = reference.count()
+        spark, batch = batch.sparkSession, batch.persist()
+        started = _exists(spark, f"{folder}/reference/batch={batch_id - 1}")
+        old = spark.read.parquet(f"{folder}/reference/batch={batch_id - 1}") if started else None
+        have = (old.where(F.col("feature") == ROWS).agg(F.sum("n").alias("n")).first()["n"] or 0) if started else 0
         if reference_size is None:
-            fill = batch if have < least else batch.limit(0)
+            fill, fresh = (batch, batch.limit(0)) if have < least else (batch.limit(0), batch)
         else:
             fill = batch.orderBy("ts", "row_id").limit(max(0, reference_size - have))
-        fresh = batch.join(fill.select("row_id"), "row_id", "left_anti").select(*batch.columns)
-        current = fresh if current_size is None else newest(waiting.unionByName(fresh), current_size)
-        both = reference.unionByName(fill).withColumn("is_reference", F.lit(True)).unionByName(current.withColumn("is_reference", F.lit(False))).persist()
+            fresh = batch.join(fill.select("row_id"), "row_id", "left_anti").select(*batch.columns) if have < reference_size else batch
+        waiting = f"{folder}/waiting/batch={batch_id - 1}"
+        if current_size is not None and _exists(spark, waiting):
+            fresh = spark.read.parquet(waiting).select(*batch.columns).unionByName(fresh)
+        current = (fresh if current_size is None else newest(fresh, current_size)).persist()
+        added = sample_summary(fill, names)
+        reference = merge_summaries(added.limit(0) if old is None else old, added, exact_values).persist()
         fired = False
-        if both.where("not is_reference").limit(1).count():
-            report = drift_report(both, [], names).withColumn("ts", F.lit(batch_id)).persist()
+        if current.limit(1).count():
+            empty = sample_summary(current.limit(0), names).limit(0)
+            now = merge_summaries(empty, sample_summary(current, names), exact_values).persist()
+            summary_tests(reference, now).write.mode("overwrite").parquet(f"{folder}/tests/batch={batch_id}")
+            tests = spark.read.parquet(f"{folder}/tests/batch={batch_id}")
+            report = summary_report(tests, reference, now, names).withColumn("ts", F.lit(batch_id))
             report.write.mode("overwrite").parquet(f"{folder}/reports/batch={batch_id}")
-            fired = reset_on_drift and report.where("drift_detected").count() > 0
-            report.unpersist()
-        kept = both.where("not is_reference").withColumn("is_reference", F.lit(True)) if fired else both if current_size is not None else both.where("is_reference")
-        kept.write.mode("overwrite").parquet(f"{folder}/windows/batch={batch_id}")
-        both.unpersist()
+            fired = reset_on_drift and spark.read.parquet(f"{folder}/reports/batch={batch_id}").where("drift_detected").count() > 0
+            if fired:
+                reference = now
+        reference.write.mode("overwrite").parquet(f"{folder}/reference/batch={batch_id}")
+        if current_size is not None:
+            (current.limit(0) if fired else current).write.mode("overwrite").parquet(f"{folder}/waiting/batch={batch_id}")
+        for df in (batch, current, reference):
+            df.unpersist()
 
     writer = rows.writeStream.option("checkpointLocation", f"{folder}/state").foreachBatch(step)
     return (writer.trigger(availableNow=True) if once else writer).start()

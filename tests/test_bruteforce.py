@@ -13,7 +13,7 @@ from chainsieve.operators import features as ft
 from chainsieve.operators import graph as g
 from chainsieve.operators import patterns as pt
 from chainsieve.operators.matching import fifo_match
-from chainsieve.operators.ordered import middle_values, neighbours, ordered_scan, rank_desc, time_slice
+from chainsieve.operators.ordered import even_slices, middle_values, neighbours, ordered_scan, rank_desc, time_slice
 from chainsieve.operators.timing import read_as_of
 
 T0 = datetime(2024, 1, 1)
@@ -261,3 +261,62 @@ def test_pattern_clusters_with_crowded_cells(spark, seed, threshold):
     want = {i: g for g, own in groups.items() if len(own) > 1 for i in own}
     got = pattern_clusters(spark.createDataFrame(rows, "wallet long, avg_hold double, win_rate double, trades long"), threshold)
     assert {r.wallet: r.cluster_id for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("spread", [3_000_000_000, 5_000, 1])
+def test_a_hot_hour_is_cut_by_rows(spark, spread):
+    """One key and one hour hold most rows: over the hour, within milliseconds, or all at one microsecond."""
+    rnd = random.Random(5)
+    rows = [(i * 3, "hot" if i % 20 else "cold", T0 + timedelta(microseconds=7_200_000_000 + rnd.randrange(spread)) if i % 10 else T0 + timedelta(seconds=rnd.randrange(90_000)), i % 7) for i in range(2000)]
+    rows += [(6001, "hot", None, 1), (6002, None, T0, 2), (6003, None, None, 3)]
+    df = spark.createDataFrame(rows, "trade_id bigint, token string, ts timestamp, amount bigint").repartition(8)
+    cut = even_slices(df, ["token"], ("ts", "trade_id"), most=50).cache()
+    assert cut.count() == len(rows)
+    sizes = cut.groupBy("token", "even_slice").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 100 and sizes.where("token = 'hot'").count() >= 18
+    got = ordered_scan(cut, ["token"], ["ts", "trade_id"], F.col("even_slice"), running={"upto": ("sum", F.col("amount"))}, before={"prev": F.col("trade_id")})
+    want, last, total = {}, {}, {}
+    for i, token, _, amount in sorted(rows, key=lambda r: (r[2] or datetime.min, r[0])):
+        total[token] = total.get(token, 0) + amount
+        want[i] = (total[token], last.get(token))
+        last[token] = i
+    assert {r.trade_id: (r.upto, r.prev) for r in got.collect()} == want
+
+
+def test_first_in_first_out_over_even_slices(spark):
+    trades = spark.createDataFrame(skewed_trades(), SCHEMA)
+    plain = {r.trade_id: (round(r.pnl, 6), r.matched_buys) for r in fifo_match(trades, require_prior_buy=True).collect()}
+    even = fifo_match(trades, require_prior_buy=True, slice_seconds=30 * 86_400, rows_per_slice=40, even=True)
+    assert {r.trade_id: (round(r.pnl, 6), r.matched_buys) for r in even.collect()} == plain
+
+
+def test_drift_of_merged_summaries(spark):
+    """Exact while values are few; beyond the limit the state is bands and the error bound holds."""
+    rnd = random.Random(2)
+    draw = lambda n, shift: [(rnd.expovariate(1) * 100 + shift, float(rnd.randrange(40)), 1.0) for _ in range(n)]
+    parts = [spark.createDataFrame(draw(n, s), "x double, prediction double, performance double") for n, s in ((3000, 0), (2000, 0), (4000, 25))]
+    sums = [dr.sample_summary(p, ["x"]) for p in parts]
+    both = parts[0].unionByName(parts[1]).withColumn("is_reference", F.lit(True)).unionByName(parts[2].withColumn("is_reference", F.lit(False)))
+    want = {r.feature: r.statistic for r in dr.feature_drift(dr.long_features(both, [], ["x", "prediction"], ["is_reference"]), []).collect()}
+    for limit, bands in ((100_000, False), (1000, True)):
+        ref = dr.merge_summaries(sums[0], sums[1], limit).cache()
+        now = dr.merge_summaries(sums[2].limit(0), sums[2], limit)
+        assert {r.feature for r in ref.where("banded").select("feature").distinct().collect()} == ({"x"} if bands else set())
+        for r in dr.summary_tests(ref, now).collect():
+            assert (r.n_reference, r.n_current) == (5000, 4000)
+            assert want[r.feature] - r.statistic_error - 1e-12 <= r.statistic <= want[r.feature] + 1e-12
+            assert (r.statistic_error > 0) == (bands and r.feature == "x")
+        more = ref
+        for _ in range(3):  # the same values again: the state stays as it is, its counts grow
+            more = dr.merge_summaries(more, ref, limit)
+        assert more.count() == ref.count()
+        old = dr.drift_report(both, [], ["x"]).first()
+        new = dr.summary_report(dr.summary_tests(ref, now), ref, now, ["x"]).first()
+        assert (old["drift_detected"], old["drift_type"], old["affected_features"]) == (new["drift_detected"], new["drift_type"], new["affected_features"])
+
+
+def test_locked_liquidity(spark):
+    rows = [("a", T0, "lock", 5.0), ("a", T0 + timedelta(hours=1), "unlock", 5.0), ("b", T0, "lock", 5.0), ("b", T0 + timedelta(hours=1), "unlock", 2.0), ("c", T0, "add", 9.0), ("d", T0 + timedelta(days=9), "lock", 9.0), ("e", T0, "unlock", None)]
+    events = spark.createDataFrame(rows, "token string, ts timestamp, type string, value_usd double")
+    got = {r.token: (r.lp_locked, r.lp_locked_usd) for r in ft.lp_locked(events, F.lit(T0 + timedelta(days=1))).collect()}
+    assert got == {"a": (False, 0.0), "b": (True, 3.0), "c": (False, 0.0), "e": (False, 0.0)}
