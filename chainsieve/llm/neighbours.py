@@ -10,20 +10,23 @@ visits is set on sample vectors kept back from the fit, for a stated recall.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainsieve.llm.topk import best, matrix, merged, packed, usable
+from chainsieve.llm.topk import best, matrix, merged, packed, usable, width_of
 
 #: Vectors that the partition is learned on, at most about; rows per part aimed at; rows and queries in one cell.
 SAMPLE, PER_PART, CELL, BLOCK = 4000, 1500, 8192, 4096
 #: Fewest and most parts.
 PARTS = (8, 64)
+#: Widths of vectors that get a learned partition, those with most rows; rows of any other are one part, searched whole.
+WIDTHS = 4
 FOUND = "query_id long, ids array<long>, scores array<double>"
 
 
@@ -191,46 +194,68 @@ def approximate_top_k(
 
     The partition is learned on about ``sample`` vectors, picked by a hash of the id;
     every row is indexed. A vector that is null, empty or zero, or holds a null or
-    non-finite component, takes no part, nor does a null id or a vector of another
-    width than that of the smallest id. A query skips all rows with its id; a
-    repeated query is searched once, by its least vector. A part is split into cells
-    of bounded size, so copies of one vector that fill a part are scored in many tasks.
+    non-finite component, takes no part, nor does a null id. Vectors of different
+    widths are not compared: the four widths with most rows have a partition each, any
+    other width is one part and searched exactly. A query skips all rows with its id;
+    of repeated queries of one width the least vector is searched, and an id with
+    queries of several widths gets the best of all. A part is split into cells of
+    bounded size, so copies of one vector that fill a part are scored in many tasks.
     """
     spark = vectors.sparkSession
     ready = usable(vectors, id_col, vector_col).where(F.exists("v", lambda x: x != 0.0))
-    facts = ready.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", F.size("v").alias("w"))).alias("f"), F.count_if(is_query).alias("q")).first()
-    n, width = facts["n"], (facts["f"]["w"] if facts["n"] else 1)
-    ready = ready.where(F.size("v") == width)
+    facts = ready.groupBy(F.size("v").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).collect()  # a row per width
+    facts.sort(key=lambda r: (-r["n"], r["w"]))
+    learned = {r["w"]: r["n"] for r in facts[:WIDTHS]}
     chance = F.pmod(F.xxhash64(F.lit("sample"), "id", "v"), F.lit(1 << 30)) / float(1 << 30)
-    picked = ready.where(chance < min(1.0, sample / max(n, 1))).distinct().collect()
-    x = np.array([r["v"] for r in sorted(picked, key=lambda r: (r["id"], r["v"]))]).reshape(-1, width)
-    x = x[np.sort(np.unique(x, axis=0, return_index=True)[1])] if len(x) else x  # copies of one vector teach nothing
-    router = spark.sparkContext.broadcast(learn(x, min(max(n // PER_PART, PARTS[0]), PARTS[1]), max(3, math.ceil(k * len(x) / max(n, 1))), recall))  # at most width x hidden + hidden x parts numbers
+    share = F.lit(0.0)
+    for w, n in learned.items():
+        share = F.when(F.size("v") == w, F.lit(min(1.0, sample / n))).otherwise(share)
+    picked: dict[int, list] = {w: [] for w in learned}
+    for r in ready.where(chance < share).distinct().collect():  # about ``sample`` rows per learned width
+        picked[len(r["v"])].append((r["id"], r["v"]))
+    routers, parts = {}, 0
+    for r in facts:
+        w, n = r["w"], r["n"]
+        x = np.array([v for _, v in sorted(picked.get(w, ()))]).reshape(-1, w)
+        x = x[np.sort(np.unique(x, axis=0, return_index=True)[1])] if len(x) else x  # copies of one vector teach nothing
+        router = learn(x, min(max(n // PER_PART, PARTS[0]), PARTS[1]), max(3, math.ceil(k * len(x) / n)), recall) if w in learned else None
+        routers[w] = (parts, router)
+        parts += router.w2.shape[1] if router else 1
+    routing = spark.sparkContext.broadcast(routers)  # at most width x hidden + hidden x parts numbers per learned width
+
+    def asked(column: pa.Array, answer: Callable[[Router, np.ndarray], np.ndarray]) -> list:
+        """The parts (a number or a row of numbers) for each vector, numbered over all widths."""
+        out, lengths = [None] * len(column), pc.list_value_length(column).to_numpy(zero_copy_only=False)
+        for w in np.unique(lengths):
+            at, (first, router) = np.flatnonzero(lengths == w), routing.value[int(w)]
+            own = answer(router, matrix(column.take(pa.array(at)), int(w))) if router else np.zeros((len(at), 1), int)
+            for i, p in zip(at, (own + first).tolist()):
+                out[i] = p
+        return out
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = matrix(batch.column(1), width)
-            part = router.value.part(v) if len(v) else np.zeros(0, int)
+            part = [p[0] for p in asked(batch.column(1), lambda r, v: r.part(v)[:, None])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32())], names=["id", "v", "part"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = matrix(batch.column(1), width)
-            routes = router.value.routes(v) if len(v) else np.zeros((0, 1), int)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(routes.tolist(), pa.list_(pa.int32()))], names=["query", "q", "parts"])
+            routes = asked(batch.column(1), lambda r, v: r.routes(v))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(routes, pa.list_(pa.int32()))], names=["query", "q", "parts"])
 
     placed = ready.select("id", "v").mapInArrow(place, "id long, v array<double>, part int")
     sizes = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}  # one number per part
     cells = {p: max(1, math.ceil(c / CELL)) for p, c in sizes.items()}
-    blocks = max(1, math.ceil(facts["q"] / BLOCK))
+    blocks = max(1, math.ceil(sum(r["q"] for r in facts) / BLOCK))
     of_part = F.create_map(*[F.lit(v) for p, c in cells.items() for v in (p, c)]) if cells else F.create_map(F.lit(0), F.lit(1))
     cell = F.pmod(F.xxhash64(F.lit("cell"), "id", "v"), of_part[F.col("part")]).cast("int")
     rows = placed.select("part", cell.alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "v")
-    asking = ready.where(is_query).groupBy("id").agg(F.min("v").alias("v")).mapInArrow(route, "query long, q array<double>, parts array<int>")
+    asking = ready.where(is_query).groupBy("id", F.size("v")).agg(F.min("v").alias("v")).select("id", "v").mapInArrow(route, "query long, q array<double>, parts array<int>")
     asking = asking.select("query", "q", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("of_block"), F.explode("parts").alias("of_part")).where(of_part[F.col("of_part")].isNotNull())
     asking = asking.select("of_part", F.explode(F.sequence(F.lit(0), of_part[F.col("of_part")] - 1)).alias("of_cell"), "of_block", "query", "q")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        width = width_of(left.column("v"), right.column("q"))  # a part holds vectors of one width
         x, q = matrix(left.column("v"), width), matrix(right.column("q"), width)
         if not len(x) or not len(q):
             return packed(np.zeros(0, np.int64), (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)))

@@ -34,6 +34,11 @@ def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
+def width_of(*columns: pa.ChunkedArray) -> int:
+    """The width of the vectors in a group, all of one width; either column may be empty."""
+    return next((len(c[0]) for c in columns if len(c)), 1)
+
+
 class BallTree:
     """Balls over halves of halves; ``lo, hi`` are ranges of ``order``."""
 
@@ -166,41 +171,44 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str =
 
     Components become floor(scale * x). ``is_query`` is a condition on ``id``. A
     vector that is null or empty, or holds a null or non-finite component, takes no
-    part, nor does a null id; vectors of another width than that of the smallest id
-    don't either. Rows with one id are separate candidates, and a query skips all rows
-    with its id; a repeated query row is searched once. Scores are exact while the
-    sum of squares of a vector stays under 2^53. Queries and rows meet in cells of a
-    shard and a block of queries, each of bounded size.
+    part, nor does a null id. Vectors of different widths are not compared. Rows with
+    one id are separate candidates, and a query skips all rows with its id; of repeated
+    query rows of one width the least vector is searched, and an id with query rows of
+    several widths gets the best of all. Scores are exact while the sum of squares of a
+    vector stays under 2^53. Queries and rows meet in cells of a width, a shard and a
+    block of queries, each of bounded size.
     """
     ready = usable(vectors, id_col, vector_col).withColumn("v", F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x).cast("double")))
-    facts = ready.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", F.size("v").alias("w"))).alias("f"), F.count_if(is_query).alias("q")).first()
-    width, partitions = (facts["f"]["w"] if facts["n"] else 1), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ready = ready.where(F.size("v") == width)
+    facts = ready.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).first()
+    partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shards = max(math.ceil(facts["n"] / SHARD), min(partitions, math.ceil(facts["n"] / 1024)), 1)
     blocks = max(1, math.ceil(facts["q"] / BLOCK))
     shard = F.pmod(F.xxhash64(F.lit("shard"), "id"), F.lit(shards)).cast("int")
-    rows = ready.select("id", "v", is_query.alias("asks"), shard.alias("shard"))
-    queries = rows.where("asks").groupBy("id", "shard").agg(F.min("v").alias("v"))
+    rows = ready.select("id", "v", is_query.alias("asks"), F.size("v").alias("width"), shard.alias("shard"))
+    queries = rows.where("asks").groupBy("id", "width", "shard").agg(F.min("v").alias("v"))
 
     def home(table: pa.Table) -> pa.Table:
-        x, ids = matrix(table.column("v"), width), table.column("id").to_numpy()
+        x, ids = matrix(table.column("v"), width_of(table.column("v"))), table.column("id").to_numpy()
         asks = np.flatnonzero(table.column("asks").to_numpy(zero_copy_only=False).astype(bool))
         asks = asks[np.lexsort((*x[asks].T[::-1], ids[asks]))]  # of rows with one id, the least vector asks
         asks = asks[np.diff(ids[asks], prepend=ids[asks[0]] - 1) != 0] if len(asks) else asks
         return packed(ids[asks], search(x, ids, x[asks], ids[asks], np.full(len(asks), -np.inf), k))
 
-    first = rows.groupBy("shard").applyInArrow(home, FOUND)
+    first = rows.groupBy("width", "shard").applyInArrow(home, FOUND)
 
     def elsewhere(left: pa.Table, right: pa.Table) -> pa.Table:
+        width = width_of(left.column("v"), right.column("q"))
         x, q = matrix(left.column("v"), width), matrix(right.column("q"), width)
         q_ids = right.column("query").to_numpy()
         return packed(q_ids, search(x, left.column("id").to_numpy(), q, q_ids, right.column("least").to_numpy(), k))
 
-    least = first.select(F.col("query_id").alias("id"), F.when(F.size("scores") >= k, F.array_min("scores")).otherwise(F.lit(float("-inf"))).alias("least"))
-    asked = queries.join(least, "id", "left").select(F.col("shard").alias("home"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "v", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+    none = F.lit(float("-inf"))
+    least = first.groupBy(F.col("query_id").alias("id")).agg(F.max(F.when(F.size("scores") >= k, F.array_min("scores")).otherwise(none)).alias("least"))
+    asked = queries.join(least, "id", "left").select("width", F.col("shard").alias("home"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "v", F.coalesce("least", none).alias("least"))
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != F.col("home"))
-    offered = rows.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "v")
-    second = offered.groupBy("shard", "block").cogroup(asked.select(F.col("shard").alias("of"), F.col("block").alias("part"), F.col("id").alias("query"), F.col("v").alias("q"), "least").groupBy("of", "part")).applyInArrow(elsewhere, FOUND)
+    offered = rows.select("width", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "v")
+    asked = asked.select(F.col("width").alias("of_width"), F.col("shard").alias("of"), F.col("block").alias("part"), F.col("id").alias("query"), F.col("v").alias("q"), "least")
+    second = offered.groupBy("width", "shard", "block").cogroup(asked.groupBy("of_width", "of", "part")).applyInArrow(elsewhere, FOUND)
     return merged(first.unionByName(second), k, F.col("score").cast("long"))
 
 

@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, extra columns with clashing names."""
 
+import math
 import sys
 from pathlib import Path
 
@@ -193,3 +194,30 @@ def test_nearest_neighbours(vectors):
         assert found == sorted(found, key=lambda x: (-x[0], x[1])) and q not in {i for _, i in found}
     assert neighbours.approximate_top_k(vectors.limit(0), F.col("id") % 20 == 0).collect() == []
     assert len(neighbours.approximate_top_k(vectors.where("vec_id in (0, 20, 5)"), F.col("id") % 20 == 0).collect()) == 4
+
+
+def test_searches_compare_vectors_of_one_width(spark):
+    """The smallest id has an odd width; an id asks in two widths; more widths than get a partition."""
+    import random
+
+    rng = random.Random(4)
+    width = lambda i: 3 if i < 2 else (8, 8, 8, 5, 4, 6, 7)[i % 7]
+    rows = [(i, [rng.gauss(0, 1) for _ in range(width(i))]) for i in range(700)] + [(20, [1.0] * 5), (700, [1.0] * 11)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    for scale, search in ((64, topk.exact_top_k), (0, neighbours.approximate_top_k)):
+        usable = [(i, [math.floor(scale * x) if scale else x for x in v]) for i, v in rows]
+        want = {}
+        for q in (i for i in range(701) if i % 20 == 0):
+            asked = {len(v): v for v in sorted((v for i, v in usable if i == q), reverse=True)}
+            best = sorted((-sum(a * b for a, b in zip(asked[len(v)], v)), i) for i, v in usable if i != q and len(v) in asked)[:20]
+            if best:
+                want[q] = best
+        got: dict = {}
+        for r in search(table, F.col("id") % 20 == 0).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+        assert got.keys() == want.keys()
+        if scale:
+            assert got == want
+        else:
+            hits = sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in want)
+            assert hits >= 0.9 * sum(map(len, want.values()))
