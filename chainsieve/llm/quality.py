@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainsieve.llm.common import buffers, lower_ascii, mix, steps, texts, word_bounds, word_hashes
+from chainsieve.llm.common import buffers, cut_lineage, lower_ascii, mix, steps, texts, word_bounds, word_hashes
 
 #: Labelled documents that the fit uses, at most about; words that the text view takes from these, and again from the others; rounds of exchange.
 LABELLED, WORDS, ROUNDS = 12_000, 2_048, 4
@@ -33,6 +33,8 @@ N_META = SLOTS + SLOTS // 4 + SIZES
 #: Word counts that a task gathers before it hands them on.
 GATHERED = 1 << 20
 SHAPES = 10
+#: Steps to a unit in which shapes are summed.
+GRAIN = 1 << 16
 
 _KIND = np.zeros(256, np.uint8)  # 1 upper, 2 digit, 3 other printable ASCII, 4 line break
 _KIND[65:91] = 1
@@ -171,14 +173,13 @@ def _labels(p: np.ndarray) -> np.ndarray:
 def exchange(rows: DataFrame, model: QualityModel, fits: tuple[np.ndarray, np.ndarray], wanted: np.ndarray, words: int) -> Taught:
     """One round over all ``rows`` (doc_id, text, meta): each view labels those it is sure of for the other one.
 
-    A text that repeats within a task counts once, as copies would pass for evidence.
+    Sums are of whole numbers, so they don't depend on how rows are dealt to tasks.
     """
     sent = rows.sparkSession.sparkContext.broadcast((model, fits, wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, fits, wanted = sent.value
-        documents, shapes_, cells = np.zeros(2, np.int64), np.zeros((2, SHAPES)), np.zeros((SLOTS * (SLOTS // 4) * SIZES, 2), np.int64)
-        seen: set[int] = set()
+        documents, shapes_, cells = np.zeros(2, np.int64), np.zeros((2, SHAPES), np.int64), np.zeros((SLOTS * (SLOTS // 4) * SIZES, 2), np.int64)
         held, n_held = [], 0
 
         def out(kind, key, bad, good):
@@ -196,14 +197,9 @@ def exchange(rows: DataFrame, model: QualityModel, fits: tuple[np.ndarray, np.nd
             meta = batch.column(2).flatten().to_numpy().reshape(-1, 3)
             z = model.logits((shapes, row, h), meta)
             by_text, by_meta = (_labels(1 / (1 + np.exp(-np.clip(z[:, i] * w[0] + w[1], -40, 40)))) for i, w in enumerate(fits))
-            edges = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            fresh = shapes[:, -1] == 0  # a document without words says nothing
-            for i in np.flatnonzero(fresh & ((by_text >= 0) | (by_meta >= 0))).tolist():
-                k = hash(h[edges[i] : edges[i + 1]].tobytes())
-                fresh[i] = k not in seen
-                seen.add(k)
-            by_text[~fresh] = by_meta[~fresh] = -1
-            scaled = model.scaled(shapes)
+            silent = shapes[:, -1] > 0  # a document without words says nothing
+            by_text[silent] = by_meta[silent] = -1
+            scaled = np.rint(model.scaled(shapes) * GRAIN).astype(np.int64)
             for c in (0, 1):
                 mine = by_meta == c
                 documents[c] += mine.sum()
@@ -230,7 +226,7 @@ def exchange(rows: DataFrame, model: QualityModel, fits: tuple[np.ndarray, np.nd
         if r["kind"] == 4:
             documents[:] = r["bad"], r["good"]
         elif r["kind"] == 3:
-            shapes[:, r["key"]] = r["bad"], r["good"]
+            shapes[:, r["key"]] = r["bad"] / GRAIN, r["good"] / GRAIN
         elif r["kind"] == 2:
             cells.append((r["key"], r["bad"], r["good"]))
     share = float(np.clip(documents[1] / max(documents.sum(), 1), 0.01, 0.99))
@@ -308,6 +304,13 @@ def co_train(view: tuple, meta: np.ndarray, y: np.ndarray, others: DataFrame | N
     return model
 
 
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """One row (doc_id, text, meta) per text, with the least metadata and then doc_id: copies would pass for evidence."""
+    marked = rows.withColumn("mark", F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit("second"), "text").alias("b")))
+    least = marked.groupBy("mark").agg(F.min(F.struct("meta", "doc_id")).alias("m"), F.first("text").alias("text"))
+    return cut_lineage(least.select("m.doc_id", "text", "m.meta"))
+
+
 def _chance(salt: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
 
@@ -316,7 +319,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) ->
     """A model of good documents (quality 1, not toxic); None without labels of both kinds.
 
     At most about ``labelled`` labelled documents come to the driver, picked by a hash of
-    doc_id. All other documents take part in the exchange. Several labels of a document count as its worst. A null
+    doc_id. All other documents take part in the exchange, each text once. Several labels of a document count as its worst. A null
     quality is no label, a null toxic counts as 0.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality"), F.coalesce(F.col("toxic").cast("int"), F.lit(0)).alias("toxic")).where("id IS NOT NULL AND quality IS NOT NULL")
@@ -339,7 +342,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) ->
             )
 
     found = got.mapInArrow(read, "doc_id long, y int, meta array<int>, shapes array<double>, words binary").collect()
-    found.sort(key=lambda r: (r["doc_id"] if r["doc_id"] is not None else -1, r["words"]))
+    found.sort(key=lambda r: (r["doc_id"] if r["doc_id"] is not None else -1, r["words"], r["meta"]))
     y = np.array([r["y"] for r in found])
     if not (y == 1).any() or not (y == 0).any():
         return None
@@ -350,7 +353,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) ->
     shapes, meta = np.array([r["shapes"] for r in found]), np.array([r["meta"] for r in found])
     row, h = np.repeat(np.arange(len(found), dtype=np.int32), [len(w) for w in words]), np.concatenate(words)
     del found, words
-    return co_train((shapes, row, h), meta, y, others)
+    return co_train((shapes, row, h), meta, y, distinct_texts(others))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
