@@ -221,19 +221,3 @@ def test_searches_compare_vectors_of_one_width(spark):
         else:
             hits = sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in want)
             assert hits >= 0.9 * sum(map(len, want.values()))
-
-
-def test_quality_does_not_depend_on_how_rows_are_dealt(spark):
-    folder = "/root/testdata/sf0.001"
-    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
-    own = docs.where("doc_id % 9 = 0").withColumn("doc_id", F.col("doc_id") + 1_000_000)  # copies, of another source and without a label
-    docs = docs.unionByName(own).unionByName(own.withColumn("doc_id", F.col("doc_id") + 1_000_000).withColumn("source", F.lit("elsewhere"))).cache()
-    runs = [{r.doc_id: (r.score, r.keep) for r in quality.quality_scores(docs.repartition(n), labels).collect()} for n in (2, 16)]
-    assert runs[0] == runs[1] and len({s for s, _ in runs[0].values()}) > 10
-
-
-def test_one_row_of_each_text(spark):
-    rows = [(3, "a", [2]), (1, "a", [2]), (2, "a", [1]), (4, None, [0]), (5, "", [0]), (6, None, [0]), (None, "b", [7]), (7, "b", [7])]
-    got = quality.distinct_texts(spark.createDataFrame(rows, "doc_id long, text string, meta array<int>").repartition(3)).collect()
-    assert sorted((r.text or "", r.doc_id or 0) for r in got if r.text) == [("a", 2), ("b", 0)]
-    assert sum(not r.text for r in got) == 2
